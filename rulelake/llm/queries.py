@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, langid, mixing, packing, quality_gam, sharding, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.schedule(mixing.mix(_documents(spark, sf_dir)))
     words = F.coalesce(F.sum("words"), F.lit(0)).cast("long")
@@ -35,8 +39,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("from_snapshot")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.judge(_documents(spark, sf_dir))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op6_exact_dedup": op6}
+    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op9_quality_gam": op9}
 
 
 def oracle_sql() -> dict[str, str]:
