@@ -75,6 +75,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, rows
     sizes = base.groupBy("__g").agg(F.count("*").alias("__n"), F.sum("__w").alias("__t"))
     sizes = sizes.withColumn("__nb", F.greatest(F.lit(1), F.ceil(F.col("__n") / rows_per_bucket)).cast("long")).select("__g", "__nb", "__t")
     base = base.join(sizes, "__g").withColumn("__b", F.expr("cast(__h / (9223372036854775807 / __nb) as long)"))
+    base = base.repartition(F.col("__g"), F.col("__b"))  # else the join's partitioning by group would do for what follows, and a hot group would stay whole
     sums = base.groupBy("__g", "__b").agg(F.sum("__w").alias("__s"))
     sums = sums.withColumn("__base", F.coalesce(F.sum("__s").over(W.partitionBy("__g").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__s")
     base = base.join(sums, ["__g", "__b"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, n_words, partitions, ranked
+from .common import col, cut, n_words, partitions, ranked
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the sum of a source's words is its target rounded. Null sources form one source; null texts have no words. An empty
     table gives an empty result; rows that repeat an id are placed each for itself.
     """
-    sized = docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), n_words(col(text_col)).alias("size"))
+    sized = cut(docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), n_words(col(text_col)).alias("size")), "sizes")
     targets = source_targets(sized, weights, most)
     placed = ranked(sized, ["source"], [F.col("doc_id"), F.col("size")], "before", weight=F.col("size"))
     both = placed.join(targets.withColumnRenamed("source", "__s"), placed["source"].eqNullSafe(F.col("__s"))).drop("__s")
