@@ -1,12 +1,72 @@
-"""Stages from raw documents to packed sequences; each stage's table is written and the next one reads it."""
+"""From raw documents to packed sequences: each stage's table is written, and the next stage reads it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from rulelake.llm import exact_dedup, mixing, ngram_join, packing, quality_gam
+from rulelake.llm.common import cut, partitions, sized
+from rulelake.runtime import ship
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the ids that are dropped; rows without an id stay."""
+    return docs.join(sized(dropped.select(F.col("doc_id").alias("__id"))), F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.3 or more."""
+    return quality_gam.keep_good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is equal but for white space; of repeated rows, one."""
+    ship(spark)
+    verdict = cut(exact_dedup.exact_dedup(docs), "verdict")
+    if not verdict.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return _without(docs, verdict.filter("not kept"))
+    # ids repeat: by text as well
+    digest = F.sha2(F.encode(exact_dedup.normalised(F.col("text")), "UTF-8"), 256)
+    kept = verdict.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.withColumn("__digest", digest)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that shares 85 of 100 word 4-grams, link by link."""
+    ship(spark)
+    groups = ngram_join.jaccard_components(docs)
+    return _without(docs, cut(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents as often as the mix takes them (0 to 3 times), in training order."""
+    ship(spark)
+    names = docs.columns
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    # the table that is read gives a row the same number each time
+    rows = docs.withColumn("__row", F.monotonically_increasing_id() if repeated else F.col("doc_id"))
+    placed = mixing.mix(rows, id_col="__row", whole=True).select(F.col("doc_id").alias("__row"), F.explode("placements.position").alias("__position"))
+    out = rows.join(placed.hint("merge"), "__row").repartitionByRange(partitions(spark), "__position", "__row").sortWithinPartitions("__position", "__row")
+    return out.select(*names)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("packing", pack)]
+#: Learned scores and tokenisation have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,6 +60,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df (a table of ids), to be broadcast if it has at most most_rows rows, else to be joined by merging."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("merge")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, rows_per_bucket: int = 4096, weight: Column | None = None, total: str | None = None) -> DataFrame:
     """Add `rank`: the sum of `weight` (default 1) over the rows of the group that come before this one.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, col, cut
+from .common import SPACE_CHARS, col, cut, sized
 
 FILTER = "bucket long, seed long, segment_length long, segments long, fingerprints binary"
 
@@ -137,9 +137,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(1, -(-d.count() // keys_per_bucket))
     hits = screen(new, snapshot_filters(old, buckets), buckets)
     met = cut(new.join(hits, "digest", "left_semi").join(old.withColumnsRenamed({"n": "n_old", "best": "best_old"}), "digest"), "met")
-    # the bytes of one representative of each side; the same join at every size, as the ids grow with the data
+    # the bytes of one representative of each side; their ids are broadcast only up to a number
     ids = met.select("digest", F.explode(F.array(F.struct("best.id", F.lit(False).alias("old")), F.struct("best_old.id", F.lit(True).alias("old")))).alias("r")).select("digest", "r.*")
-    bodies = docs.select(col(id_col).alias("id"), normalised(col(text_col)).alias("body"), side.alias("old")).join(ids.hint("merge"), ["id", "old"])
+    bodies = docs.select(col(id_col).alias("id"), normalised(col(text_col)).alias("body"), side.alias("old")).join(sized(ids), ["id", "old"])
     bodies = bodies.withColumn("same", F.unhex(F.sha2(F.encode("body", "UTF-8"), 256)) == F.col("digest")).filter("same")
     equal = bodies.groupBy("digest").agg(F.countDistinct("body").alias("n_bodies")).filter("n_bodies = 1")
     one = met.join(equal, "digest", "left_semi").select("digest", (F.col("n") + F.col("n_old")).alias("n_all"), F.greatest("best", "best_old").alias("best_all"))

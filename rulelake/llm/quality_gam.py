@@ -187,3 +187,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
     out = table.mapInArrow(score, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; they are scored where they are read."""
+    model = train(cut(feature_table(docs, id_col, text_col), "features"), labels)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                b = whole.slice(first, 1000)
+                x = np.array([features(t.as_py()) for t in b.column(at)], dtype=float).reshape(-1, len(FEATURES))
+                yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
