@@ -5,7 +5,7 @@ groups by prefix gram give candidates. The order is cut into fragments; a pair's
 fragment, by different tasks, and the partial counts are summed per pair.
 
 Equal sets are joined once. In a large group, not all pairs are counted: all members are compared with a few leaders,
-the same in each group that holds them; then only those that aren't yet in the main component of their cluster of groups
+the same in each group that holds them, if most pairs pass the filters of length and place; then only those that aren't yet in the main component of their cluster of groups
 are compared with the rest of it, in blocks. No link between components is lost.
 """
 
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, col, cut
 from .components import components
 
-FRAGMENTS = 4
+#: Where the order of the grams that aren't frequent is cut; those are the last fragment. The first one screens pairs.
+CUTS = (2**61, 9 * 2**60)
 #: Members up to which a group's pairs are all candidates; leaders of a larger one; members of a block.
-SMALL, LEADERS, BLOCK, LEFT = 16, 3, 1024, 64
-SALTS = 64
+SMALL, LEADERS, BLOCK, LEFT = 16, 6, 1024, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -141,11 +141,10 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
 _MEMBER = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
-def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
+def _deal(reps: DataFrame, buckets: int) -> DataFrame:
     """Prefix grams with their documents, packed by bucket: (bucket, members)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unique(order.value.frequent & np.uint64((1 << 48) - 1))
         for b in batches:
             parts = []
             for doc, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -154,8 +153,7 @@ def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
                 g = np.zeros((k, 8), dtype=np.uint8)
                 g[:, :6] = np.frombuffer(raw, np.uint8).reshape(k, 6)
                 g = g.view(np.uint64).ravel()
-                # frequent grams are dealt over salts, so that none gathers in one task
-                m["gram"] = np.where(_in(g, often), g | np.uint64((doc * 0x9E3779B1 >> 7) % SALTS + 1 << 48), g)
+                m["gram"] = g
                 m["doc"], m["n"], m["at"] = doc, n, np.arange(k)
                 parts.append(m)
             every = np.concatenate(parts) if parts else np.zeros(0, dtype=_MEMBER)
@@ -181,8 +179,7 @@ def _candidates(percent: int):
             most = 1 + np.minimum(na - a["at"] - 1, nb - b["at"] - 1)
             return (a["doc"] != b["doc"]) & (most * (100 + percent) >= percent * (na + nb))
 
-        # the parts of a salted gram count as large groups of their own, whatever their size
-        large = (sizes > SMALL) | (m["gram"][starts] >> np.uint64(48) > 0)
+        large = sizes > SMALL
         for size in np.unique(sizes[(sizes > 1) & ~large]):
             at = starts[(sizes == size) & ~large]
             for i in range(size):
@@ -192,12 +189,27 @@ def _candidates(percent: int):
                     pairs.append(np.stack([a["doc"][ok], b["doc"][ok]], 1))
         for s, size in zip(starts[large], sizes[large], strict=True):
             g = m[s : s + size]
+            n, at = g["n"].astype(np.int64), g["at"].astype(np.int64)
+            # the smaller of two similar sets has its first common gram this early
+            early = np.flatnonzero(at <= n - -(-2 * percent * n // (100 + percent)))
+            some, dense, seen = [], len(early) > 4096, np.zeros(size, dtype=bool)
+            for e in np.array_split(early, len(early) // 256 + 1) if not dense else []:
+                most = 1 + np.minimum((n - at - 1)[e, None], (n - at - 1)[None, :])
+                i, j = np.nonzero((g["doc"][e, None] != g["doc"][None, :]) & (most * (100 + percent) >= percent * (n[e, None] + n[None, :])))
+                some.append(np.sort(np.stack([g["doc"][e[i]], g["doc"][j]], 1), axis=1))
+                seen[e[i]] = seen[j] = True
+            if not dense:
+                some = np.unique(np.concatenate(some), axis=0)
+                dense = len(some) > 8 * size
+            if not dense:
+                pairs.append(some)
+                continue
+            g, n = (g[seen], n[seen]) if seen.any() else (g, n)
             leaders = np.argsort(_mix(g["doc"].astype(np.uint64)))[:LEADERS]
             for k in leaders:
-                na, nb = int(g["n"][k]), g["n"].astype(np.int64)
-                b = g["doc"][(g["doc"] != g["doc"][k]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))]
+                b = g["doc"][(g["doc"] != g["doc"][k]) & (100 * np.minimum(n[k], n) >= percent * np.maximum(n[k], n))]
                 pairs.append(np.stack([np.full(len(b), g["doc"][k]), b], 1))
-            members.append((int(g["gram"][0] & np.uint64((1 << 48) - 1)), int(g["doc"][leaders[0]]), np.unique(g["doc"])))
+            members.append((int(g["gram"][0]), int(g["doc"][leaders[0]]), np.unique(g["doc"])))
         p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
         cuts = np.flatnonzero(np.diff(p[:, 0])) + 1
         rows = [(0, None, int(x[0, 0]), x[:, 1]) for x in (np.split(p, cuts) if len(p) else [])]
@@ -221,7 +233,7 @@ def _segments(docs: DataFrame, chosen: DataFrame, order, n: int) -> DataFrame:
                     if hashlib.blake2b(h.tobytes(), digest_size=16).digest() != digest:
                         continue  # another row with this id
                     ordered, rare = order.value.sort(h)
-                    limits = np.searchsorted(ordered[:rare], np.array([k * (2**64 // (FRAGMENTS - 1)) for k in range(1, FRAGMENTS - 1)], dtype=np.uint64))
+                    limits = np.searchsorted(ordered[:rare], np.array(CUTS, dtype=np.uint64))
                     for k, part in enumerate(np.split(ordered, [*limits.tolist(), rare])):
                         for o, v in zip(out, (doc, len(h), k, np.sort(part).tobytes()), strict=True):
                             o.append(v)
@@ -231,40 +243,94 @@ def _segments(docs: DataFrame, chosen: DataFrame, order, n: int) -> DataFrame:
     return both.mapInArrow(cuts, "doc long, n long, fragment int, grams binary")
 
 
-def _partial(key: tuple, t: pa.Table) -> pa.Table:
-    """Common grams of each left with each right document of a block in one fragment."""
-    sides = []
-    for s in (0, 1):
-        some = t.filter(pa.compute.equal(t.column("side"), s)).sort_by("doc")
-        doc = some.column("doc").to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-        some = some.take(pa.array(first, pa.int64()))
-        sides.append((some.column("doc").to_numpy(), some.column("n").to_numpy(), [np.frombuffer(x, np.uint64) for x in some.column("grams").to_pylist()]))
-    (ld, ln, lg), (rd, rn, rg) = sides
-    counts = np.zeros((len(ld), len(rd)), dtype=np.uint32)
-    flat = np.concatenate([*rg, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(rd)), [len(x) for x in rg])
+def _blocks(t: pa.Table) -> Iterator[tuple]:
+    """Each block's name and its left and right documents: ids, set sizes and grams."""
+    t = t.sort_by([("block", "ascending"), ("side", "ascending"), ("doc", "ascending")])
+    name, side, doc, n = (t.column(k).to_numpy() for k in ("block", "side", "doc", "n"))
+    grams = t.column("grams").to_pylist()
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, int)
+    for a, b in zip(first, [*first[1:], len(name)], strict=True):
+        sides = []
+        for s in (0, 1):
+            at = a + np.flatnonzero(side[a:b] == s)
+            at = at[np.concatenate([[True], doc[at][1:] != doc[at][:-1]])] if len(at) else at
+            sides.append((doc[at], n[at], [np.frombuffer(grams[k], np.uint64) for k in at]))
+        yield name[a], *sides
+
+
+def _counts(lg: list[np.ndarray], rg: list[np.ndarray]) -> np.ndarray:
+    """Common grams of each left with each right document."""
+    counts = np.zeros((len(lg), len(rg)), dtype=np.uint32)
+    flat, owner = np.concatenate([*rg, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rg)), [len(x) for x in rg])
     for i, g in enumerate(lg):
-        counts[i] = np.bincount(owner[_in(flat, g)], minlength=len(rd))
-    row = {"block": [key[0].as_py()], "left": [ld.tobytes()], "left_n": [ln.tobytes()], "right": [rd.tobytes()], "right_n": [rn.tobytes()], "counts": [counts.tobytes()]}
-    return pa.table({k: pa.array(v, pa.string() if k == "block" else pa.binary()) for k, v in row.items()})
+        counts[i] = np.bincount(owner[_in(flat, g)], minlength=len(rg))
+    return counts
+
+
+_PARTIAL = ("left", "left_n", "right", "right_n", "counts")
+
+
+def _partial(key: tuple, t: pa.Table) -> pa.Table:
+    """The partial counts of each block in one fragment."""
+    rows = [(name, ld.tobytes(), ln.tobytes(), rd.tobytes(), rn.tobytes(), _counts(lg, rg).tobytes()) for name, (ld, ln, lg), (rd, rn, rg) in _blocks(t)]
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()), "block": pa.array(cols[0], pa.string()), **{k: pa.array(c, pa.binary()) for k, c in zip(_PARTIAL, cols[1:], strict=True)}})
 
 
 def _summed(percent: int):
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        first = {k: np.frombuffer(t.column(k)[0].as_py(), np.int64) for k in ("left", "left_n", "right", "right_n")}
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in t.column("counts").to_pylist()).reshape(len(first["left"]), len(first["right"]))
-        union = first["left_n"][:, None] + first["right_n"][None, :] - total
-        i, j = np.nonzero((100 * total >= percent * union) & (total > 0))
-        return pa.table({"a": first["left"][i], "b": first["right"][j]})
+        total, sides = {}, {}
+        for r in t.to_pylist():
+            counts = np.frombuffer(r["counts"], np.uint32).astype(np.int64)
+            total[r["block"]] = total.get(r["block"], 0) + counts
+            sides[r["block"]] = [np.frombuffer(r[k], np.int64) for k in _PARTIAL[:4]]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for block, c in total.items():
+            ld, ln, rd, rn = sides[block]
+            c = c.reshape(len(ld), len(rd))
+            i, j = np.nonzero((100 * c >= percent * (ln[:, None] + rn[None, :] - c)) & (c > 0))
+            a.append(ld[i])
+            b.append(rd[j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return add
 
 
+def _screened(percent: int):
+    def keep(key: tuple, t: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, (ld, ln, lg), (rd, rn, rg) in _blocks(t):
+            rest = np.minimum((ln - [len(x) for x in lg])[:, None], (rn - [len(x) for x in rg])[None, :])
+            i, j = np.nonzero((100 + percent) * (_counts(lg, rg) + rest) >= percent * (ln[:, None] + rn[None, :]))
+            a.append(ld[i])
+            b.append(rd[j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return keep
+
+
+def _parts(requests: DataFrame, segments: DataFrame) -> DataFrame:
+    """The grams that each block needs, blocks dealt to buckets of about a thousand requests."""
+    buckets = max(12, requests.count() // 1000)
+    return requests.join(segments.hint("merge"), "doc").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
+
+
 def _links(requests: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Links among the left and right documents of each block: requests(block, side, doc)."""
-    parts = requests.join(segments, "doc").groupBy("block", "fragment").applyInArrow(_partial, "block string, left binary, left_n binary, right binary, right_n binary, counts binary")
-    return parts.groupBy("block").applyInArrow(_summed(percent), "a long, b long").filter("a <> b")
+    parts = _parts(requests, segments).groupBy("bucket", "fragment").applyInArrow(_partial, "bucket long, block string, left binary, left_n binary, right binary, right_n binary, counts binary")
+    return parts.groupBy("bucket").applyInArrow(_summed(percent), "a long, b long").filter("a <> b")
+
+
+def _screen(requests: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link, given their common grams in the first fragment."""
+    return _parts(requests, segments.filter("fragment = 0")).groupBy("bucket").applyInArrow(_screened(percent), "a long, b long").filter("a <> b")
+
+
+def _by_leader(pairs: DataFrame) -> DataFrame:
+    """Blocks of a document with its partners, at most about BLOCK of them in each."""
+    blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).alias("k"))
+    right = pairs.join(blocks, "a").select("a", F.concat_ws("/", F.col("a"), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"), "b")
+    return right.select("block", F.lit(1).alias("side"), F.col("b").alias("doc")).unionByName(right.select("block", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct())
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, members_per_bucket: int = 1_000_000) -> DataFrame:
@@ -273,7 +339,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     Two documents link when 100 * common >= percent * all distinct grams. Null, empty and blank texts have no grams and
     no links. A null id has no component. Rows that repeat an id are one document; if their texts differ, the links of
     the one with the smallest digest stand for it. An empty table gives an empty result; only id and text are read.
-    `sample` documents only tell which grams are frequent, for speed; memory per task is bounded by members_per_bucket.
+    `sample` documents only tell which grams are frequent, for speed. A task gets about members_per_bucket prefix grams, 24
+    bytes each, and all documents with a common prefix gram; frequent grams come last in the order, so that prefixes
+    rarely hold them.
     """
     spark = docs.sparkSession
     docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
@@ -285,7 +353,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     reps = table.join(chosen.hint("merge"), ["doc_id", "digest"], "left_semi")
     total = table.agg(F.sum(F.length("prefix") / 6)).first()[0] or 0
     buckets = max(1, int(-(-total // members_per_bucket))) * 3
-    found = _deal(reps, order, buckets).groupBy("bucket").applyInArrow(_candidates(percent), "kind int, gram long, a long, docs array<long>")
+    found = _deal(reps, buckets).groupBy("bucket").applyInArrow(_candidates(percent), "kind int, gram long, a long, docs array<long>")
     found = cut(found, "candidates")
     pairs = found.filter("kind = 0").select("a", F.explode("docs").alias("b")).distinct()
     large = cut(found.filter("kind = 1").select("gram", "a", F.explode("docs").alias("doc")).distinct(), "members")
@@ -294,18 +362,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     segments = cut(_segments(docs, chosen.join(active, "doc_id"), order, n), "segments")
 
     # all pairs of small groups, and leaders of large ones with their members
-    blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).alias("k"))
-    right = pairs.join(blocks, "a").select("a", F.concat_ws("/", F.col("a"), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"), "b")
-    requests = right.select("block", F.lit(1).alias("side"), F.col("b").alias("doc")).unionByName(right.select("block", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct())
-    links = cut(_links(requests, segments, percent), "links")
+    likely = cut(_screen(_by_leader(pairs), segments, percent), "likely")
+    links = cut(_links(_by_leader(likely), segments, percent), "links")
 
     if large.limit(1).count():
         known = components(links)
-        # a cluster: large groups that share documents; the parts of a salted gram belong together
-        tops = large.groupBy("gram").agg(F.min("a").alias("m"))
-        spokes = large.select("doc", "a").unionByName(large.select("gram", F.col("a").alias("doc")).distinct().join(tops, "gram").select("doc", F.col("m").alias("a")))
-        edges = spokes.select(F.col("doc").alias("a"), F.col("a").alias("b"))
-        cluster = components(edges).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
+        # a cluster: dense groups that share documents
+        cluster = components(large.select(F.col("doc").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
         placed = cut(cluster.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "clusters")
         main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("n"))
         rest = placed.join(main, "cluster")
