@@ -5,15 +5,303 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import callgraph, catalog, conditions, depgraph, hierarchy, layers, memory
+from ..sources.star import CTE, Star
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, cte: bool = True):
+    def add(f: Callable[[Star], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Star(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = f"WITH RECURSIVE {CTE} {sql}" if cte else sql
+        return f
+
+    return add
+
+
+def text(c: str) -> F.Column:
+    return F.array_join(F.col(c), ",")
+
+
+@query("SELECT * FROM usage")
+def type_usage(s: Star) -> DataFrame:
+    return s.usage()
+
+
+@query("SELECT * FROM ancestors")
+def type_ancestors(s: Star) -> DataFrame:
+    p = s.table("part")
+    pairs = p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("type"), s.kind().alias("ancestor")).unionByName(p.select(s.kind().alias("type"), F.concat(F.lit("brand:"), F.col("p_brand")).alias("ancestor")))
+    return hierarchy.closure(pairs, "type", "ancestor")
+
+
+@query("SELECT ancestor AS type, count(*) AS descendants FROM ancestors GROUP BY ALL")
+def type_descendants(s: Star) -> DataFrame:
+    return hierarchy.descendants(s.ancestors()).groupBy("type").agg(F.count("*").alias("descendants"))
+
+
+@query("SELECT type, string_agg(ancestor, ',' ORDER BY CASE WHEN ancestor LIKE 'kind:%' THEN 0 ELSE 1 END) AS ancestors FROM ancestors GROUP BY type")
+def ancestor_order(s: Star) -> DataFrame:
+    return hierarchy.ordered_ancestors(s.ancestors()).select("type", text("ancestors").alias("ancestors"))
+
+
+@query("SELECT a.ancestor AS type, string_agg(a.type, ',' ORDER BY CASE WHEN a.ancestor LIKE 'brand:%' AND a.type LIKE 'part:%' THEN 1 ELSE 0 END, a.type) AS descendants FROM ancestors a GROUP BY 1")
+def descendant_order(s: Star) -> DataFrame:
+    return hierarchy.ordered_descendants(hierarchy.ordered_ancestors(s.ancestors())).select("type", text("descendants").alias("descendants"))
+
+
+def _graph(s: Star) -> tuple[DataFrame, DataFrame]:
+    return s.usage(), hierarchy.reflexive(s.ancestors(), s.types())
+
+
+@query("SELECT * FROM edges")
+def dep_edges(s: Star) -> DataFrame:
+    return depgraph.edges(*_graph(s))
+
+
+@query("SELECT * FROM matches")
+def edge_matches(s: Star) -> DataFrame:
+    return depgraph.edge_matches(*_graph(s))
+
+
+@query("SELECT prod, string_agg(DISTINCT u, ',' ORDER BY u) AS upstream, string_agg(DISTINCT d, ',' ORDER BY d) AS downstream FROM (SELECT consumer AS prod, producer AS u, NULL AS d FROM edges UNION ALL SELECT producer, NULL, consumer FROM edges) GROUP BY prod")
+def dep_neighbours(s: Star) -> DataFrame:
+    n = depgraph.neighbours(depgraph.edges(*_graph(s)))
+    none = lambda c: F.when(F.size(c) > 0, text(c)).alias(c)
+    return n.select("prod", none("upstream"), none("downstream"))
+
+
+_FLAGS = "SELECT prod FROM productions p WHERE kind = 'rule' AND "
+_MAKES = "EXISTS (SELECT 1 FROM usage u WHERE u.prod = p.prod AND u.role <> 'consume')"
+
+
+def _flags(s: Star, which: str) -> DataFrame:
+    usage, up = _graph(s)
+    return depgraph.flags(s.productions(), usage, depgraph.edges(usage, up)).filter(which).select("prod")
+
+
+@query(_FLAGS + "NOT EXISTS (SELECT 1 FROM edges WHERE consumer = p.prod)")
+def source_rules(s: Star) -> DataFrame:
+    return _flags(s, "source")
+
+
+@query(_FLAGS + _MAKES + " AND NOT EXISTS (SELECT 1 FROM edges WHERE producer = p.prod AND consumer LIKE 'rule/%')")
+def sink_rules(s: Star) -> DataFrame:
+    return _flags(s, "sink")
+
+
+@query(_FLAGS + "NOT " + _MAKES)
+def unlinked_rules(s: Star) -> DataFrame:
+    return _flags(s, "unlinked")
+
+
+@query("SELECT p.prod, f.text FROM productions p JOIN (SELECT 'rule/' || doc_id AS prod, text FROM documents) f USING (prod) WHERE (contains(text, 'the') OR contains(text, 'retract')) AND NOT " + _MAKES)
+def unresolved_rules(s: Star) -> DataFrame:
+    rhs = s.table("documents").select(F.concat(F.lit("rule/"), F.col("doc_id").cast("string")).alias("prod"), "text")
+    return depgraph.unresolved(s.productions().join(rhs, "prod"), s.usage(), "text", ("the", "retract")).select("prod", "text")
+
+
+@query("SELECT r.type, sum((r.role = 'consume')::INT)::BIGINT AS used_by, sum((r.role = 'insert')::INT)::BIGINT AS inserted_by, sum((r.role = 'retract')::INT)::BIGINT AS retracted_by FROM (SELECT prod, role, type FROM usage UNION SELECT u.prod, u.role, a.type FROM usage u JOIN ancestors a ON a.ancestor = u.type WHERE role = 'consume' UNION SELECT u.prod, u.role, a.ancestor FROM usage u JOIN ancestors a USING (type) WHERE role <> 'consume') r GROUP BY r.type")
+def fact_type_usage(s: Star) -> DataFrame:
+    return depgraph.type_rollup(s.usage(), s.ancestors())
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS rules, (SELECT count(*) FROM customer) AS queries, (SELECT count(DISTINCT type) FROM usage) AS fact_types")
+def rulebase_counts(s: Star) -> DataFrame:
+    n = s.productions().agg(F.count_if(F.col("kind") == "rule").alias("rules"), F.count_if(F.col("kind") == "query").alias("queries"))
+    return n.crossJoin(s.usage().agg(F.countDistinct("type").alias("fact_types")))  # one row each
+
+
+@query("SELECT p_type AS ident, count(DISTINCT p_name) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_name) > 1", cte=False)
+def id_collisions(s: Star) -> DataFrame:
+    return depgraph.id_collisions(s.table("part").withColumn("ident", F.col("p_type")), "p_name", "ident")
+
+
+@query()
+def route_ids(s: Star) -> DataFrame:
+    return s.table("part").select("p_partkey", names.route_id(F.col("p_name")).alias("route_id"))
+
+
+def _places(s: Star) -> DataFrame:
+    edge = lambda t, a, pa, b, pb: s.table(t).select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("caller"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("callee"))
+    return edge("nation", "n_regionkey", "r", "n_nationkey", "n").unionByName(edge("customer", "c_nationkey", "n", "c_custkey", "c")).unionByName(edge("orders", "o_custkey", "c", "o_orderkey", "o"))
+
+
+_PLACES = "places AS (SELECT 'r' || n_regionkey AS caller, 'n' || n_nationkey AS callee FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"
+
+
+@query(f"WITH {_PLACES} SELECT callee, string_agg(DISTINCT caller, ',' ORDER BY caller) AS callers FROM places GROUP BY callee", cte=False)
+def direct_callers(s: Star) -> DataFrame:
+    return callgraph.direct_callers(_places(s)).select("callee", text("callers").alias("callers"))
+
+
+@query(f"WITH RECURSIVE {_PLACES}, t AS (SELECT caller, callee FROM places UNION SELECT t.caller, p.callee FROM t JOIN places p ON t.callee = p.caller) SELECT * FROM t", cte=False)
+def node_reachability(s: Star) -> DataFrame:
+    return callgraph.reachable(_places(s))
+
+
+@query(f"WITH {_PLACES} SELECT callee AS id, string_agg(DISTINCT caller, ',' ORDER BY caller) AS parents FROM places GROUP BY callee", cte=False)
+def node_parents(s: Star) -> DataFrame:
+    nodes = _places(s).groupBy(F.col("caller").alias("id")).agg(F.collect_list("callee").alias("children"))
+    return callgraph.parents(nodes).select("id", text("parents").alias("parents"))
+
+
+@query(f"WITH {_PLACES} SELECT a.caller AS start, d.callee AS node, a.caller || ',' || b.caller || ',' || c.caller || ',' || d.callee AS path FROM places a JOIN places b ON a.callee = b.caller JOIN places c ON b.callee = c.caller JOIN (SELECT caller, callee FROM places) d ON d.caller = c.caller AND d.callee = c.callee WHERE a.caller LIKE 'r%' AND d.callee LIKE 'o%'", cte=False)
+def shortest_paths(s: Star) -> DataFrame:
+    starts = s.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
+    return callgraph.shortest_paths(_places(s), starts).filter("node like 'o%'").select("start", "node", text("path").alias("path"))
+
+
+@query("SELECT event_id AS uid, event_type AS type, row_number() OVER (ORDER BY o, event_type, canon, event_id) AS fact_id FROM (SELECT event_id, event_type, coalesce(props, '') AS canon, min(event_id) OVER (PARTITION BY event_type) AS o FROM events)", cte=False)
+def fact_ids(s: Star) -> DataFrame:
+    e = s.table("events").select(F.col("event_id").alias("uid"), F.col("event_type").alias("type"), F.coalesce("props", F.lit("")).alias("canon"))
+    return memory.fact_ids(e, e.groupBy("type").agg(F.min("uid").alias("type_order")))
+
+
+@query("SELECT l_orderkey AS uid, string_agg(DISTINCT 'rule/' || l_suppkey, ',' ORDER BY 'rule/' || l_suppkey) AS used_by FROM lineitem GROUP BY 1", cte=False)
+def fact_used_by(s: Star) -> DataFrame:
+    rows = s.table("lineitem").select(F.col("l_orderkey").alias("uid"), F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"))
+    return memory.gathered(rows, "uid", "prod", "used_by").select("uid", text("used_by").alias("used_by"))
+
+
+@query("SELECT l_partkey AS uid, string_agg(DISTINCT 'rule/' || l_suppkey, ',' ORDER BY 'rule/' || l_suppkey) AS inserted_from FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 45 GROUP BY 1", cte=False)
+def fact_origin(s: Star) -> DataFrame:
+    rows = s.table("lineitem").filter("l_returnflag = 'N' and l_quantity >= 45").select(F.col("l_partkey").alias("uid"), F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"))
+    return memory.gathered(rows, "uid", "prod", "inserted_from").select("uid", text("inserted_from").alias("inserted_from"))
+
+
+@query("SELECT o_orderpriority AS type, coalesce('rule/' || s, 'Root Facts (External)') AS role, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem WHERE l_quantity >= 49) ON l_orderkey = o_orderkey GROUP BY ALL", cte=False)
+def role_groups(s: Star) -> DataFrame:
+    facts = s.table("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("type"))
+    roles = s.table("lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("uid"), F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"))
+    return memory.role_groups(facts, roles)
+
+
+@query("SELECT 'rule/' || l_suppkey AS prod, o_custkey AS uid, count(DISTINCT o_orderpriority) AS n_bindings, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS bindings FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL", cte=False)
+def match_bindings(s: Star) -> DataFrame:
+    rows = s.table("orders").join(s.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"), F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("binding"))
+    return memory.match_bindings(rows).select("prod", "uid", "n_bindings", text("bindings").alias("bindings"))
+
+
+@query("SELECT rule, key, value, layer FROM (SELECT *, row_number() OVER (PARTITION BY rule, key ORDER BY pos DESC) AS k FROM entries) WHERE k = 1 AND NOT tombstone")
+def layer_last_wins(s: Star) -> DataFrame:
+    return layers.last_wins(s.entries())
+
+
+@query("SELECT rule, key, (SELECT string_agg(value, ',' ORDER BY p) FROM (SELECT value, min(pos) AS p FROM live l WHERE l.rule = k.rule AND l.key = k.key GROUP BY value)) AS values, (SELECT string_agg(layer, ',' ORDER BY p) FROM (SELECT layer, min(pos) AS p FROM live l WHERE l.rule = k.rule AND l.key = k.key GROUP BY layer)) AS provenance FROM (SELECT DISTINCT rule, key FROM live) k")
+def layer_union(s: Star) -> DataFrame:
+    return layers.union(s.entries()).select("rule", "key", text("values").alias("values"), text("provenance").alias("provenance"))
+
+
+@query("SELECT rule, key, string_agg(value, ',' ORDER BY p) AS values FROM (SELECT rule, key, value, min(pos) AS p FROM live l WHERE pos >= coalesce((SELECT max(pos) FROM live r WHERE r.rule = l.rule AND r.key = l.key AND r.layer = 'layer-3'), -1) GROUP BY ALL) GROUP BY rule, key")
+def layer_replace(s: Star) -> DataFrame:
+    return layers.union(s.entries(), "layer = 'layer-3'").select("rule", "key", text("values").alias("values"))
+
+
+@query("SELECT rule, key, string_agg(value, chr(10) ORDER BY pos) AS notes FROM live GROUP BY ALL")
+def layer_notes(s: Star) -> DataFrame:
+    return layers.appended(s.entries())
+
+
+@query("SELECT DISTINCT rule, key, value FROM live a WHERE layer IN ('layer-5', 'layer-6') AND NOT EXISTS (SELECT 1 FROM live b WHERE b.layer NOT IN ('layer-5', 'layer-6') AND b.rule = a.rule AND b.key = a.key AND b.value = a.value)")
+def annotation_delta(s: Star) -> DataFrame:
+    live = layers.alive(s.entries())
+    extra = F.col("layer").isin("layer-5", "layer-6")
+    return layers.delta(live.filter(~extra), live.filter(extra))
+
+
+@query("SELECT rule, key, pos FROM (SELECT *, lag(value) OVER w AS b, lag(tombstone) OVER w AS t FROM entries WINDOW w AS (PARTITION BY rule, key ORDER BY pos)) WHERE t IS NOT NULL AND NOT t AND NOT tombstone AND value = b")
+def lint_no_op(s: Star) -> DataFrame:
+    return layers.no_op_entries(s.entries()).select("rule", "key", "pos")
+
+
+@query("SELECT event_id, event_type || ':' || substr(sha256(event_type || chr(31) || user_id || chr(31) || ordinal), 1, 8) AS callsite_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS ordinal FROM events)", cte=False)
+def callsite_ids(s: Star) -> DataFrame:
+    return layers.callsite_ids(s.table("events"), ["event_type", "user_id"], ["event_id"]).select("event_id", "callsite_id")
+
+
+@query("SELECT user_id, CASE WHEN bool_and(s = 'full') THEN 'full' WHEN bool_and(s = 'none') THEN 'none' ELSE 'partial' END AS resolution, count(*) AS n FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'full' WHEN event_type = 'error' THEN 'none' ELSE 'partial' END AS s FROM events WHERE event_id % 5 = 0) GROUP BY user_id", cte=False)
+def resolution(s: Star) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "full").when(F.col("event_type") == "error", "none").otherwise("partial")
+    return layers.resolution(s.table("events").filter("event_id % 5 = 0").select("user_id", status.alias("status")), ["user_id"])
+
+
+@query("SELECT DISTINCT rule FROM entries WHERE rule NOT IN (SELECT 'rule/' || s_suppkey FROM supplier)")
+def lint_unknown(s: Star) -> DataFrame:
+    return catalog.unknown(s.entries().select(F.col("rule").alias("prod")).distinct(), s.productions(), "prod").withColumnRenamed("prod", "rule")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", cte=False)
+def rule_not(s: Star) -> DataFrame:
+    return conditions.absent(s.table("customer").select("c_custkey", "c_name"), s.table("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", cte=False)
+def rule_exists(s: Star) -> DataFrame:
+    urgent = s.table("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return conditions.exists(s.table("customer").select("c_custkey", "c_name"), urgent, ["c_custkey"])
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > c_acctbal * 10", cte=False)
+def rule_expr_join(s: Star) -> DataFrame:
+    o = s.table("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return conditions.both(o, s.table("customer"), ["c_custkey"], F.expr("o_totalprice > c_acctbal * 10")).select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey AS id, 'rich' AS why FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT o_custkey, 'big order' FROM orders WHERE o_totalprice > 400000", cte=False)
+def rule_or(s: Star) -> DataFrame:
+    return conditions.either(s.table("customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("id"), F.lit("rich").alias("why")), s.table("orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("id"), F.lit("big order").alias("why")))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(max(o_totalprice), 0.0) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", cte=False)
+def rule_accumulate(s: Star) -> DataFrame:
+    o = s.table("orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return conditions.accumulate_outer(s.table("customer").select("c_custkey"), o, ["c_custkey"], {"n": 0, "most": 0.0}, n=F.count("*"), most=F.max("o_totalprice"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND contains(lower(p_name), 'part')", cte=False)
+def nav_search(s: Star) -> DataFrame:
+    return catalog.search(s.table("part"), "p_name", "Part 1").select("p_partkey", "p_name")
+
+
+@query("SELECT split_part(p_brand, '#', 1) AS \"group\", count(*) AS n FROM part GROUP BY 1", cte=False)
+def nav_groups(s: Star) -> DataFrame:
+    return catalog.groups(s.table("part"), F.substring_index("p_brand", "#", 1))
+
+
+@query("SELECT p_partkey, CASE WHEN k = 0 THEN p_type ELSE p_type || '__dup-' || k END AS stable_key FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part)", cte=False)
+def stable_keys(s: Star) -> DataFrame:
+    return catalog.stable_keys(s.table("part"), "p_type", ["p_partkey"]).select("p_partkey", "stable_key")
+
+
+@query("SELECT prod, CASE WHEN prod LIKE 'rule/%' THEN 'moved' || substr(prod, 5) ELSE prod END AS rebased FROM productions")
+def rebase_names(s: Star) -> DataFrame:
+    return catalog.rebase(s.productions().select("prod"), "prod", s.spark.createDataFrame([("rule", "moved")], "old_ns string, new_ns string"))
+
+
+@query("SELECT prod, split_part(prod, '/', 1) AS ns, split_part(prod, '/', 2) AS name FROM productions")
+def name_split(s: Star) -> DataFrame:
+    return s.productions().select("prod", names.namespace(F.col("prod")).alias("ns"), names.local_name(F.col("prod")).alias("name"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every producer-to-consumer edge with its number of type pairs and the flags of its ends."""
+    s = Star(spark, sf_dir)
+    usage, up = _graph(s)
+    pairs = depgraph.edge_matches(usage, up).groupBy("producer", "consumer").agg(F.count("*").alias("n_pairs"), F.bool_or(F.col("via") == "retract").alias("retracts"))
+    f = depgraph.flags(s.productions(), usage, depgraph.edges(usage, up))
+    return pairs.join(f.select(F.col("prod").alias("producer"), "source"), "producer").join(f.select(F.col("prod").alias("consumer"), "sink"), "consumer")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
