@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, sharding, weak_quality
+from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, sharding, suffix_dedup, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.judge(_documents(spark, sf_dir))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).drop("spans")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -52,7 +56,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op9_quality_gam": op9, "op10_ngram_jaccard_join": op10}
+    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op8_suffix_array_dedup": op8, "op9_quality_gam": op9, "op10_ngram_jaccard_join": op10}
 
 
 def oracle_sql() -> dict[str, str]:
