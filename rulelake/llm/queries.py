@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, sharding, suffix_dedup, weak_quality
+from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, secret_forest, sharding, suffix_dedup, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", sharding.record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(_documents(spark, sf_dir))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("from_snapshot")
 
@@ -56,7 +60,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op8_suffix_array_dedup": op8, "op9_quality_gam": op9, "op10_ngram_jaccard_join": op10}
+    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op5_secret_forest": op5, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op8_suffix_array_dedup": op8, "op9_quality_gam": op9, "op10_ngram_jaccard_join": op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,29 @@
+import re
+
+from pyspark.sql import functions as F
+
+from rulelake.llm import secret_forest
+
+
+def test_candidates_are_all_found(documents):
+    want = sorted((r.doc_id, k, c) for r in documents.collect() for k, c in enumerate(re.findall(secret_forest.CANDIDATE, r.text or "")))
+    assert sorted((r.doc_id, r.nth, r.candidate) for r in secret_forest.candidates(documents).collect()) == want
+
+
+def test_held_out_findings(spark):
+    model = secret_forest.train(secret_forest.labelled_findings(spark, 3000, 7))
+    other = secret_forest.described(secret_forest.labelled_findings(spark, 800, 99))
+    rows = model.transform(secret_forest.VectorAssembler(inputCols=list(secret_forest.FEATURES), outputCol="features").transform(other)).select("label", "prediction").collect()
+    assert sum(r.label == r.prediction for r in rows) / len(rows) > 0.97
+
+
+def test_documents(spark):
+    texts = ['x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "at commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff we", "see images/header/default/content12.html", None, "", "plain words only"]
+    rows = secret_forest.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.is_secret} == {0}
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_odd(spark, odd, none):
+    assert secret_forest.scan(odd).filter(F.col("doc_id").isin(0, 1, 3)).collect() == []
+    assert secret_forest.scan(none).collect() == []
