@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, col, cut
+from .common import SPACE_CHARS, col, cut, sized
 from .components import components
 
 #: Where the order of the grams that aren't frequent is cut; those are the last fragment. The first one screens pairs.
@@ -239,7 +239,7 @@ def _segments(docs: DataFrame, chosen: DataFrame, order, n: int) -> DataFrame:
                             o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc", "n", "fragment", "grams"])
 
-    both = docs.join(chosen.hint("merge"), "doc_id").select("doc_id", "text", "digest")
+    both = docs.join(sized(chosen), "doc_id").select("doc_id", "text", "digest")
     return both.mapInArrow(cuts, "doc long, n long, fragment int, grams binary")
 
 
