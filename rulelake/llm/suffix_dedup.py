@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     contexts = bodies.groupBy("bucket").cogroup(met.filter(f"kind = {READS}").groupBy("bucket")).applyInArrow(read, "gram long, doc long, crc long, lo long, context binary")
     contexts = cut(contexts, "contexts")
     size = contexts.agg(F.sum(F.length("context"))).first()[0] or 0
-    parts = max(6, int(-(-size // (4 << 20))))
+    parts = max(6, int(-(-size // (1 << 20))))
     inner = contexts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts))).groupBy("part").applyInArrow(repeats, PACKED)
     cuts = dealt.filter(f"kind = {CUTS}").unionByName(met.filter(f"kind = {CUTS}")).unionByName(inner)
     return bodies.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
