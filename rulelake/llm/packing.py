@@ -23,8 +23,10 @@ ROOM = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoder: dict[str, tuple] = {}
-#: Words remembered per worker, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words remembered per worker, and the longest of them in bytes.
+REMEMBERED, LONGEST = 600_000, 64
+#: A-Z in lower case, as the tokenizer has them, and a blank for a line end.
+_LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def default_tokenizer() -> str:
@@ -52,7 +54,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     This tokenizer drops white space and never joins what it separates, so that a text's ids are those of its parts
     between blanks, one after the other; the ids of short parts are remembered."""
     t, known = _tokenizer(path)
-    parts = [x.replace("\n", " ").split(" ") for x in texts]
+    parts = [x.encode("utf-8", "surrogatepass").translate(_LOWER).split(b" ") for x in texts]
     new = list({w for p in parts for w in p if w and w not in known})
     once = {}
     if new:
@@ -61,9 +63,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             new = list({w for p in parts for w in p if w})
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, t.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 (known if len(w) <= LONGEST else once)[w] = np.array(e.ids, dtype="<u4").tobytes()
-    known[""] = b""
+    known[b""] = b""
     if once:
         return [b"".join([known[w] if w in known else once[w] for w in p]) for p in parts]
     return [b"".join(map(known.__getitem__, p)) for p in parts]
