@@ -8,6 +8,7 @@ packs many sequences. Pieces then find their place by their rank among those of
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ _encoder: dict[str, tuple] = {}
 #: Words remembered per worker, and the longest of them in bytes.
 REMEMBERED, LONGEST = 600_000, 64
 #: A-Z in lower case, as the tokenizer has them, and a blank for a line end.
+#: Between a letter and a full stop or comma before a blank, tokens always end.
+_STOP = re.compile(rb"([a-z]|\xc3[\xa0-\xb6\xb8-\xbf])([.,]) ")
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -54,7 +57,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     This tokenizer drops white space and never joins what it separates, so that a text's ids are those of its parts
     between blanks, one after the other; the ids of short parts are remembered."""
     t, known = _tokenizer(path)
-    parts = [x.encode("utf-8", "surrogatepass").translate(_LOWER).split(b" ") for x in texts]
+    parts = [_STOP.sub(rb"\1 \2 ", x.encode("utf-8", "surrogatepass").translate(_LOWER)).split(b" ") for x in texts]
     new = list({w for p in parts for w in p if w and w not in known})
     once = {}
     if new:
