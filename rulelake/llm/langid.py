@@ -22,7 +22,8 @@ from .common import col, cut, fold
 UNKNOWN = "und"
 #: Longest piece and longest stretch of a word that is segmented as one.
 PIECE, STRETCH = 12, 24
-REMEMBERED = 300_000
+#: Words whose scores a Python worker keeps.
+REMEMBERED = 1_000_000
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Index 0 stands for a character that the vocabulary lacks.
 _FLOOR = 1e-9
@@ -56,15 +57,16 @@ def stretches(text: str) -> list[str]:
     return out
 
 
-def lattice(words: list[str], vocab: dict[str, int]) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, piece index of each word or -1) of words of equal length."""
+def lattice(words: list[str], vocab: dict[str, int]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, words that have a piece there, its index) of words of equal length; arcs in order of their ends."""
     out, n, get = [], len(words[0]), vocab.get
     for j in range(1, n + 1):
         for i in range(max(0, j - PIECE), j):
             one = 0 if j - i == 1 else -1
             idx = np.array([get(w[i:j], one) for w in words], dtype=np.int32)
-            if (idx >= 0).any():
-                out.append((i, j, idx))
+            at = np.flatnonzero(idx >= 0)
+            if len(at):
+                out.append((i, j, at, idx[at]))
     return out
 
 
@@ -79,8 +81,8 @@ def forward(words: list[str], vocab: dict[str, int], p: np.ndarray) -> np.ndarra
             some = ks[at : at + 5000]
             alpha = np.zeros((n + 1, len(some), p.shape[1]))
             alpha[0] = 1
-            for i, j, idx in lattice([words[k] for k in some], vocab):
-                alpha[j] += alpha[i] * p[idx]
+            for i, j, at_words, idx in lattice([words[k] for k in some], vocab):
+                alpha[j, at_words] += alpha[i, at_words] * p[idx]
             out[some] = np.log(alpha[n])
     return out
 
@@ -97,13 +99,13 @@ def expected(words: list[str], counts: np.ndarray, vocab: dict[str, int], p: np.
             arcs = lattice([words[k] for k in some], vocab)
             a, b = np.zeros((n + 1, len(some))), np.zeros((n + 1, len(some)))
             a[0], b[n] = 1, 1
-            for i, j, idx in arcs:
-                a[j] += a[i] * p[idx]
-            for i, j, idx in sorted(arcs, key=lambda x: -x[0]):
-                b[i] += b[j] * p[idx]
+            for i, j, w, idx in arcs:
+                a[j, w] += a[i, w] * p[idx]
+            for i, j, w, idx in sorted(arcs, key=lambda x: -x[0]):
+                b[i, w] += b[j, w] * p[idx]
             scale = counts[some] / a[n]
-            for i, j, idx in arcs:
-                total += np.bincount(idx % len(p), a[i] * p[idx] * b[j] * scale, len(p))
+            for i, j, w, idx in arcs:
+                np.add.at(total, idx, a[i, w] * p[idx] * b[j, w] * scale[w])
     return total
 
 
@@ -126,7 +128,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
         _known[model.key] = ({}, np.zeros((REMEMBERED, n), dtype=np.float32))
     index, values = _known[model.key]
     parts = [stretches(t or "") for t in texts]
-    if len(index) > REMEMBERED // 2:
+    if len(index) == REMEMBERED:
         index.clear()
     new = list({w for p in parts for w in p if w not in index})
     extra = {}
