@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, secret_forest, sharding, suffix_dedup, weak_quality
+from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, secret_forest, sharding, sql, suffix_dedup, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": sql.EXACT_DEDUP, "op8_suffix_array_dedup": sql.REPEATS, "op10_ngram_jaccard_join": sql.NGRAM_JOIN}
