@@ -25,8 +25,8 @@ from .components import components
 
 #: Where the order of the grams that aren't frequent is cut; those are the last fragment. The first one screens pairs.
 CUTS = (2**61, 9 * 2**60)
-#: Members up to which a group's pairs are all candidates; leaders of a larger one; members of a block.
-SMALL, LEADERS, BLOCK, LEFT = 16, 6, 1024, 64
+#: Members up to which a group's pairs are all candidates; leaders of a larger one; members of a block, and their grams.
+SMALL, LEADERS, BLOCK, LEFT, GRAMS = 16, 6, 1024, 512, 1 << 21
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -371,9 +371,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         cluster = components(large.select(F.col("doc").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
         placed = cut(cluster.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "clusters")
         main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("n"))
-        rest = placed.join(main, "cluster")
-        others = rest.filter("label <> main").groupBy("cluster").agg(F.count("*").alias("m"))
-        rest = rest.join(others, "cluster").withColumns({"l": F.ceil(F.col("m") / LEFT).cast("int"), "r": F.ceil(F.col("n") / BLOCK).cast("int")})
+        # a member is copied once for each block of the other side, so blocks are as large as their grams allow
+        sizes = segments.filter("fragment = 0").select("doc", F.col("n").alias("grams"))
+        rest = placed.join(main, "cluster").join(sizes, "doc")
+        apart = F.col("label") != F.col("main")
+        blocks = rest.groupBy("cluster").agg(F.count_if(apart).alias("m"), F.sum(F.when(apart, F.col("grams"))).alias("gl"), F.sum("grams").alias("gr")).filter("m > 0")
+        many = lambda n, size, grams: F.ceil(F.greatest(F.col(n) / size, F.col(grams) / GRAMS)).cast("int")
+        rest = rest.join(blocks, "cluster").withColumns({"l": many("m", LEFT, "gl"), "r": many("n", BLOCK, "gr")})
         name = lambda l, r: F.concat_ws("/", F.lit("c"), F.col("cluster"), l, r)  # noqa: E731, E741
         lefts = rest.filter("label <> main").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda r: name(F.pmod(F.xxhash64("doc"), F.col("l")), r))).alias("block"), F.lit(0).alias("side"), "doc")
         rights = rest.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("l") - 1), lambda l: name(l, F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("r"))))).alias("block"), F.lit(1).alias("side"), "doc")
