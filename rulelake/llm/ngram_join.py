@@ -5,13 +5,15 @@ groups by prefix gram give candidates. The order is cut into fragments; a pair's
 fragment, by different tasks, and the partial counts are summed per pair.
 
 Equal sets are joined once. In a large group, not all pairs are counted: all members are compared with a few leaders,
-the same in each group that holds them, if most pairs pass the filters of length and place; then only those that aren't yet in the main component of their cluster of groups
-are compared with the rest of it, in blocks. No link between components is lost.
+the same in each group that holds them, if most pairs pass the filters of length and place; then only those that aren't
+yet in the main component of their cluster of groups are compared with members of similar size, in blocks: one fragment
+screens, and pairs that are still in different components are counted in full. No link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -371,17 +373,26 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         cluster = components(large.select(F.col("doc").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
         placed = cut(cluster.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "clusters")
         main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("n"))
-        # a member is copied once for each block of the other side, so blocks are as large as their grams allow
+        # similar sets are in the same or neighbouring bands of size; a member is copied once for each block of the other
+        # side, so blocks are as large as their grams allow
+        width = math.log(100 / min(max(percent, 1), 99)) * 1.0001
         sizes = segments.filter("fragment = 0").select("doc", F.col("n").alias("grams"))
-        rest = placed.join(main, "cluster").join(sizes, "doc")
-        apart = F.col("label") != F.col("main")
-        blocks = rest.groupBy("cluster").agg(F.count_if(apart).alias("m"), F.sum(F.when(apart, F.col("grams"))).alias("gl"), F.sum("grams").alias("gr")).filter("m > 0")
-        many = lambda n, size, grams: F.ceil(F.greatest(F.col(n) / size, F.col(grams) / GRAMS)).cast("int")
-        rest = rest.join(blocks, "cluster").withColumns({"l": many("m", LEFT, "gl"), "r": many("n", BLOCK, "gr")})
-        name = lambda l, r: F.concat_ws("/", F.lit("c"), F.col("cluster"), l, r)  # noqa: E731, E741
-        lefts = rest.filter("label <> main").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda r: name(F.pmod(F.xxhash64("doc"), F.col("l")), r))).alias("block"), F.lit(0).alias("side"), "doc")
-        rights = rest.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("l") - 1), lambda l: name(l, F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("r"))))).alias("block"), F.lit(1).alias("side"), "doc")
-        links = links.unionByName(cut(_links(lefts.unionByName(rights), segments, percent), "links"))
+        rights = placed.join(main, "cluster").join(sizes, "doc").withColumn("band", F.floor(F.log("grams") / width))
+        lefts = rights.filter("label <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        many = lambda size: F.ceil(F.greatest(F.count("*") / size, F.sum("grams") / GRAMS)).cast("int")
+        blocks = lefts.groupBy("cluster", "band").agg(many(LEFT).alias("l")).join(rights.groupBy("cluster", "band").agg(many(BLOCK).alias("r")), ["cluster", "band"])
+        name = lambda l, r: F.concat_ws("/", F.lit("c"), "cluster", "band", l, r)  # noqa: E731, E741
+        lefts = lefts.join(blocks, ["cluster", "band"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda r: name(F.pmod(F.xxhash64("doc"), F.col("l")), r))).alias("block"), F.lit(0).alias("side"), "doc")
+        rights = rights.join(blocks, ["cluster", "band"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col("l") - 1), lambda l: name(l, F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("r"))))).alias("block"), F.lit(1).alias("side"), "doc")
+        likely = cut(_screen(cut(lefts.unionByName(rights), "requests"), segments, percent), "likely")
+        # two partners first, those that come first and last in one order, so that the rest are mostly in one component
+        ends = likely.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("first"), F.max_by("b", F.xxhash64("b")).alias("last"))
+        ends = ends.select("a", F.explode(F.array("first", "last")).alias("b")).distinct()
+        links = cut(links.unionByName(_links(_by_leader(ends), segments, percent)), "links")
+        known = components(links)
+        label = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        open_ = likely.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+        links = links.unionByName(cut(_links(_by_leader(cut(open_.select("a", "b").distinct(), "open")), segments, percent), "links"))
 
     labels = components(links).select(F.col("node").alias("rep"), "label")
     per = firsts.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
