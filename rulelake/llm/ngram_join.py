@@ -7,7 +7,8 @@ fragment, by different tasks, and the partial counts are summed per pair.
 Equal sets are joined once. In a large group, not all pairs are counted: all members are compared with a few leaders,
 the same in each group that holds them, if most pairs pass the filters of length and place; then only those that aren't
 yet in the main component of their cluster of groups are compared with members of similar size, in blocks: one fragment
-screens, and pairs that are still in different components are counted in full. No link between components is lost.
+screens, two partners of each are counted in full, and then all pairs that are still in different components. No link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -246,9 +247,10 @@ def _segments(docs: DataFrame, chosen: DataFrame, order, n: int) -> DataFrame:
 
 
 def _blocks(t: pa.Table) -> Iterator[tuple]:
-    """Each block's name and its left and right documents: ids, set sizes and grams."""
+    """Each block's name and its left and right documents: ids, set sizes, grams and labels (their ids without any)."""
     t = t.sort_by([("block", "ascending"), ("side", "ascending"), ("doc", "ascending")])
     name, side, doc, n = (t.column(k).to_numpy() for k in ("block", "side", "doc", "n"))
+    label = t.column("label").to_numpy() if "label" in t.column_names else doc
     grams = t.column("grams").to_pylist()
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, int)
     for a, b in zip(first, [*first[1:], len(name)], strict=True):
@@ -256,7 +258,7 @@ def _blocks(t: pa.Table) -> Iterator[tuple]:
         for s in (0, 1):
             at = a + np.flatnonzero(side[a:b] == s)
             at = at[np.concatenate([[True], doc[at][1:] != doc[at][:-1]])] if len(at) else at
-            sides.append((doc[at], n[at], [np.frombuffer(grams[k], np.uint64) for k in at]))
+            sides.append((doc[at], n[at], [np.frombuffer(grams[k], np.uint64) for k in at], label[at]))
         yield name[a], *sides
 
 
@@ -274,7 +276,7 @@ _PARTIAL = ("left", "left_n", "right", "right_n", "counts")
 
 def _partial(key: tuple, t: pa.Table) -> pa.Table:
     """The partial counts of each block in one fragment."""
-    rows = [(name, ld.tobytes(), ln.tobytes(), rd.tobytes(), rn.tobytes(), _counts(lg, rg).tobytes()) for name, (ld, ln, lg), (rd, rn, rg) in _blocks(t)]
+    rows = [(name, ld.tobytes(), ln.tobytes(), rd.tobytes(), rn.tobytes(), _counts(lg, rg).tobytes()) for name, (ld, ln, lg, _), (rd, rn, rg, _) in _blocks(t)]
     cols = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()), "block": pa.array(cols[0], pa.string()), **{k: pa.array(c, pa.binary()) for k, c in zip(_PARTIAL, cols[1:], strict=True)}})
 
@@ -298,12 +300,20 @@ def _summed(percent: int):
     return add
 
 
-def _screened(percent: int):
+def _screened(percent: int, ends: bool = False):
     def keep(key: tuple, t: pa.Table) -> pa.Table:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, (ld, ln, lg), (rd, rn, rg) in _blocks(t):
+        for _, (ld, ln, lg, ll), (rd, rn, rg, rl) in _blocks(t):
             rest = np.minimum((ln - [len(x) for x in lg])[:, None], (rn - [len(x) for x in rg])[None, :])
-            i, j = np.nonzero((100 + percent) * (_counts(lg, rg) + rest) >= percent * (ln[:, None] + rn[None, :]))
+            ok = (100 + percent) * (_counts(lg, rg) + rest) >= percent * (ln[:, None] + rn[None, :])
+            ok &= ll[:, None] != rl[None, :]
+            if ends and ok.size:
+                line = np.argsort(_mix(rd.astype(np.uint64)))
+                i, ok = np.flatnonzero(ok.any(axis=1)), ok[:, line]
+                j = np.concatenate([line[ok[i].argmax(axis=1)], line[len(rd) - 1 - ok[i, ::-1].argmax(axis=1)]])
+                i = np.concatenate([i, i])
+            else:
+                i, j = np.nonzero(ok)
             a.append(ld[i])
             b.append(rd[j])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -328,6 +338,32 @@ def _screen(requests: DataFrame, segments: DataFrame, percent: int) -> DataFrame
     return _parts(requests, segments.filter("fragment = 0")).groupBy("bucket").applyInArrow(_screened(percent), "a long, b long").filter("a <> b")
 
 
+def _open_pairs(cluster: DataFrame, links: DataFrame, segments: DataFrame, percent: int, ends: bool) -> DataFrame:
+    """Pairs of a cluster's members that may link and are in different components of the links so far.
+
+    Those outside their cluster's main component are compared with members in the same or neighbouring bands of size. A
+    member is copied once for each block of the other side, so blocks are as large as their grams allow. With `ends`,
+    only two partners of each are returned, the first and last of a block in one order, so that a group meets there."""
+    known = components(links)
+    placed = cut(cluster.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "clusters")
+    main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"))
+    width = math.log(100 / min(max(percent, 1), 99)) * 1.0001
+    sizes = segments.filter("fragment = 0").select("doc", F.col("n").alias("grams"))
+    rights = placed.join(main, "cluster").join(sizes, "doc").withColumn("band", F.floor(F.log("grams") / width))
+    lefts = rights.filter("label <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    many = lambda size: F.ceil(F.greatest(F.count("*") / size, F.sum("grams") / GRAMS)).cast("int")
+    blocks = lefts.groupBy("cluster", "band").agg(many(LEFT).alias("l")).join(rights.groupBy("cluster", "band").agg(many(BLOCK).alias("r")), ["cluster", "band"])
+
+    def named(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(side), "doc"), F.col(own))
+        name = lambda k: F.concat_ws("/", F.lit("c"), "cluster", "band", *((mine, k) if side == 0 else (k, mine)))
+        return rows.join(blocks, ["cluster", "band"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), name)).alias("block"), F.lit(side).alias("side"), "doc", "label")
+
+    requests = cut(named(lefts, 0, "l", "r").unionByName(named(rights, 1, "r", "l")), "requests")
+    found = _parts(requests, segments.filter("fragment = 0")).groupBy("bucket").applyInArrow(_screened(percent, ends), "a long, b long")
+    return cut(found.distinct(), "open")
+
+
 def _by_leader(pairs: DataFrame) -> DataFrame:
     """Blocks of a document with its partners, at most about BLOCK of them in each."""
     blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).alias("k"))
@@ -368,31 +404,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     links = cut(_links(_by_leader(likely), segments, percent), "links")
 
     if large.limit(1).count():
-        known = components(links)
         # a cluster: dense groups that share documents
-        cluster = components(large.select(F.col("doc").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
-        placed = cut(cluster.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "clusters")
-        main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("n"))
-        # similar sets are in the same or neighbouring bands of size; a member is copied once for each block of the other
-        # side, so blocks are as large as their grams allow
-        width = math.log(100 / min(max(percent, 1), 99)) * 1.0001
-        sizes = segments.filter("fragment = 0").select("doc", F.col("n").alias("grams"))
-        rights = placed.join(main, "cluster").join(sizes, "doc").withColumn("band", F.floor(F.log("grams") / width))
-        lefts = rights.filter("label <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        many = lambda size: F.ceil(F.greatest(F.count("*") / size, F.sum("grams") / GRAMS)).cast("int")
-        blocks = lefts.groupBy("cluster", "band").agg(many(LEFT).alias("l")).join(rights.groupBy("cluster", "band").agg(many(BLOCK).alias("r")), ["cluster", "band"])
-        name = lambda l, r: F.concat_ws("/", F.lit("c"), "cluster", "band", l, r)  # noqa: E731, E741
-        lefts = lefts.join(blocks, ["cluster", "band"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda r: name(F.pmod(F.xxhash64("doc"), F.col("l")), r))).alias("block"), F.lit(0).alias("side"), "doc")
-        rights = rights.join(blocks, ["cluster", "band"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col("l") - 1), lambda l: name(l, F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("r"))))).alias("block"), F.lit(1).alias("side"), "doc")
-        likely = cut(_screen(cut(lefts.unionByName(rights), "requests"), segments, percent), "likely")
-        # two partners first, those that come first and last in one order, so that the rest are mostly in one component
-        ends = likely.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("first"), F.max_by("b", F.xxhash64("b")).alias("last"))
-        ends = ends.select("a", F.explode(F.array("first", "last")).alias("b")).distinct()
-        links = cut(links.unionByName(_links(_by_leader(ends), segments, percent)), "links")
-        known = components(links)
-        label = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-        open_ = likely.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-        links = links.unionByName(cut(_links(_by_leader(cut(open_.select("a", "b").distinct(), "open")), segments, percent), "links"))
+        cluster = cut(components(large.select(F.col("doc").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("cluster")), "cluster")
+        for ends in (True, False):
+            more = _open_pairs(cluster, links, segments, percent, ends)
+            links = cut(links.unionByName(_links(_by_leader(more), segments, percent)), "links")
 
     labels = components(links).select(F.col("node").alias("rep"), "label")
     per = firsts.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
