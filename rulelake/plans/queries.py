@@ -229,7 +229,7 @@ def callsite_ids(s: Star) -> DataFrame:
 @query("SELECT user_id, CASE WHEN bool_and(s = 'full') THEN 'full' WHEN bool_and(s = 'none') THEN 'none' ELSE 'partial' END AS resolution, count(*) AS n FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'full' WHEN event_type = 'error' THEN 'none' ELSE 'partial' END AS s FROM events WHERE event_id % 5 = 0) GROUP BY user_id", cte=False)
 def resolution(s: Star) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "full").when(F.col("event_type") == "error", "none").otherwise("partial")
-    return layers.resolution(s.table("events").filter("event_id % 5 = 0").select("user_id", status.alias("status")), ["user_id"])
+    return layers.resolution(s.table("events").select("user_id", status.alias("status")), ["user_id"])
 
 
 @query("SELECT DISTINCT rule FROM entries WHERE rule NOT IN (SELECT 'rule/' || s_suppkey FROM supplier)")
