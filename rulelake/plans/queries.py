@@ -155,7 +155,7 @@ def node_parents(s: Star) -> DataFrame:
 @query(f"WITH {_PLACES} SELECT a.caller AS start, d.callee AS node, a.caller || ',' || b.caller || ',' || c.caller || ',' || d.callee AS path FROM places a JOIN places b ON a.callee = b.caller JOIN places c ON b.callee = c.caller JOIN (SELECT caller, callee FROM places) d ON d.caller = c.caller AND d.callee = c.callee WHERE a.caller LIKE 'r%' AND d.callee LIKE 'o%'", cte=False)
 def shortest_paths(s: Star) -> DataFrame:
     starts = s.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
-    return callgraph.shortest_paths(_places(s), starts).filter("node like 'o%'").select("start", "node", text("path").alias("path"))
+    return callgraph.shortest_paths(_places(s), starts).select("start", "node", text("path").alias("path"))
 
 
 @query("SELECT event_id AS uid, event_type AS type, row_number() OVER (ORDER BY o, event_type, canon, event_id) AS fact_id FROM (SELECT event_id, event_type, coalesce(props, '') AS canon, min(event_id) OVER (PARTITION BY event_type) AS o FROM events)", cte=False)
