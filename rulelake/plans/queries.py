@@ -179,7 +179,7 @@ def fact_origin(s: Star) -> DataFrame:
 @query("SELECT o_orderpriority AS type, coalesce('rule/' || s, 'Root Facts (External)') AS role, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem WHERE l_quantity >= 49) ON l_orderkey = o_orderkey GROUP BY ALL", cte=False)
 def role_groups(s: Star) -> DataFrame:
     facts = s.table("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("type"))
-    roles = s.table("lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("uid"), F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"))
+    roles = s.table("lineitem").select(F.col("l_orderkey").alias("uid"), F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"))
     return memory.role_groups(facts, roles)
 
 
