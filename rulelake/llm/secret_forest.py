@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are runs of 16 or more characters that secrets are written in, with a digit among them. Each is described by
+Candidates are runs of 16 or more characters that secrets are written in; where 16 follow an =, a new one begins. Each is described by
 its length, character transitions, dictionary coverage, path signs and neighbouring words. A random forest trained from
 labelled findings tells secrets from hashes, identifiers, paths and words.
 """
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-CHARS = "A-Za-z0-9+/=_-"
-CANDIDATE = f"(?<![{CHARS}])(?=[A-Za-z+/=_-]{{0,64}}[0-9])[{CHARS}]{{16,}}"
+CHARS = "A-Za-z0-9+/_-"
+#: A run's part up to an = that 16 characters follow, or to its end. Shorter values stay with their names.
+_SPLIT = f"[{CHARS}][={CHARS}]{{15}}"
+CANDIDATE = f"(?:(?<![={CHARS}])|(?<==)(?=[{CHARS}]))(?=[={CHARS}]{{16}})(?![={CHARS}]{{0,15}}={_SPLIT})[{CHARS}]*+(?:=+(?!{_SPLIT})[{CHARS}]*+)*"
 #: Up to so many characters before a candidate are its neighbourhood.
 NEAR = 40
-WITH_CONTEXT = f"([^\\n]{{0,{NEAR}}}?)({CANDIDATE})"
 #: Words that identifiers, paths and examples are made of.
 DICTIONARY = "account|address|admin|annotation|build|cache|change|class|client|color|column|commit|config|content|data|default|document|element|error|event|example|field|file|format|function|group|handler|header|height|html|http|image|index|item|label|layout|license|line|link|list|local|message|method|model|module|name|node|number|object|option|order|package|page|param|path|point|product|project|query|record|report|request|resource|response|result|script|section|select|server|service|session|source|string|style|system|table|template|test|text|time|title|type|update|user|value|version|video|view|width|window"
 ABOUT_SECRETS = "key|token|secret|passw|pwd|auth|bearer|credential|private|apikey|aws"
@@ -60,13 +61,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Only texts that hold one are searched with their neighbourhoods."""
     t = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).filter(F.rlike("text", F.lit(CANDIDATE)))
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(WITH_CONTEXT), F.lit(1)).alias("before"), F.regexp_extract_all("text", F.lit(WITH_CONTEXT), F.lit(2)).alias("candidate"))
-    return t.select("doc_id", F.posexplode(both).alias("nth", "f")).select("doc_id", "nth", F.col("f.before").alias("before"), F.col("f.candidate").alias("candidate"))
+    before = F.transform(F.split("text", CANDIDATE, -1), lambda x: F.substring_index(F.right(x, F.lit(NEAR)), "\n", -1))
+    both = F.arrays_zip(before.alias("before"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("candidate"))
+    # what follows the last candidate has none
+    return t.select("doc_id", F.posexplode(both).alias("nth", "f")).select("doc_id", "nth", F.col("f.before").alias("before"), F.col("f.candidate").alias("candidate")).filter("candidate is not null")
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> DataFrame:
     """before, candidate and label of n findings made from hashes: keys, tokens and passwords (1); digests, identifiers,
-    numbers, paths and names with digits (0). The same rows for the same seed, in any partitioning."""
+    numbers, paths, names, words and lines (0). A quarter of both have no digit. The same rows for the same seed, in any partitioning."""
     i = F.col("id")
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(f"{seed}/{salt}"), i.cast("string")), 256)
     pick = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(options))) + 1).cast("int"))
@@ -84,6 +87,18 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
         .otherwise(F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("-"), word("w7"), F.lit("-"), word("w8")))
     )
     near = pick("o", ["commit ", "sha256: ", "md5 = ", "uuid ", "see ", "order ", "the ", "in ", "card ", "checksum: ", "id ", "of the ", "", "path: "])
+    letters, bare = F.translate(base64, "0123456789", "QwErTyUiOp"), F.pmod(F.xxhash64(F.lit("bare"), i), F.lit(4)) == 0
+    syllables = F.translate(F.substring(h("y"), 1, 36), "0123456789", "tionersahl")
+    secret = F.when(~bare, secret).when(i % 4 == 0, F.concat_ws("-", *[word(f"v{k}") for k in range(4)])).otherwise(F.concat(pick("p", ["ghp_", "sk-", "xoxb-", ""]), F.substring(letters, 1, 36)))
+    other = (
+        F.when(~bare, other)
+        .when(i % 6 == 0, F.concat_ws("/", F.lit(""), *[word(f"x{k}") for k in range(5)]))
+        .when(i % 6 == 1, F.concat(word("x5"), F.initcap(word("x6")), F.initcap(word("x7")), F.lit("Handler")))
+        .when(i % 6 == 2, F.concat_ws("_", word("x8"), word("x9"), word("y1"), F.lit("name")))
+        .when(i % 6 == 3, F.repeat(pick("l", ["-", "=", "_", "/"]), (i % 60 + 16).cast("int")))
+        .otherwise(F.substring(syllables, 1, (i % 11 + 16).cast("int")))
+    )
+    near = F.when(bare & (F.pmod(F.xxhash64(F.lit("close"), i), F.lit(5)) == 0), pick("c", ["the key to ", "a secret ", "token of ", "author: ", "passwords and "])).otherwise(near)
     label = (F.pmod(F.xxhash64(F.lit(seed), i), F.lit(2)) == 0).cast("double")
     return spark.range(n).select(F.when(label == 1, about).otherwise(near).alias("before"), F.when(label == 1, secret).otherwise(other).alias("candidate"), label.alias("label"))
 
