@@ -35,9 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that shares 85 of 100 word 4-grams, link by link."""
+    """The document with the smallest id of each group that shares 80 of 100 word 5-grams, link by link."""
     ship(spark)
-    groups = ngram_join.jaccard_components(docs)
+    groups = ngram_join.jaccard_components(docs, n=5, percent=80)
     return _without(docs, cut(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
 
 

@@ -66,3 +66,19 @@ def test_run(spark, sf, documents):
     assert {r.doc_id for r in rows} <= {r.doc_id for r in documents.collect()}
     per = Counter(r.sequence_id for r in rows for _ in range(r.length))
     assert rows and max(per.values()) <= packing.ROOM
+
+
+def test_near_takes_five_words(spark, sf):
+    from test_ngram_join import grams
+
+    base = [f"w{k}" for k in range(200)]
+    texts = {1: " ".join(base), 2: "other words that are not in the first", 3: None}
+    for i, edits in enumerate(((40, 80, 120, 160), (30, 60, 90, 120, 150), (20, 21, 22), (10,)), 4):
+        texts[i] = " ".join(f"x{i}" if k in edits else w for k, w in enumerate(base))
+    sets, up = {i: grams(t, 5) for i, t in texts.items()}, {i: i for i in texts}
+    for _ in texts:  # the smallest label spreads
+        for a in texts:
+            up[a] = min(up[b] for b in texts if a == b or sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert up[4] == 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in stage(2)(spark, docs, sf).collect()} == {i for i in texts if up[i] == i}
