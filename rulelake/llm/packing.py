@@ -46,8 +46,8 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _encoder[path] = (t, {})
+        added = [a.content.encode().translate(_LOWER) for a in t.get_added_tokens_decoder().values()]
+        _encoder[path] = (t, {}, added)
     return _encoder[path]
 
 
@@ -55,9 +55,17 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, little-endian unsigned 32-bit.
 
     This tokenizer drops white space and never joins what it separates, so that a text's ids are those of its parts
-    between blanks, one after the other; the ids of short parts are remembered."""
-    t, known = _tokenizer(path)
-    parts = [_STOP.sub(rb"\1 \2 ", x.encode("utf-8", "surrogatepass").translate(_LOWER)).split(b" ") for x in texts]
+    between blanks, one after the other; the ids of short parts are remembered. Texts that hold an added token, in any
+    case, are encoded whole."""
+    t, known, added = _tokenizer(path)
+    lowered = [x.encode("utf-8", "surrogatepass").translate(_LOWER) for x in texts]
+    whole = {k: texts[k].encode("utf-8", "surrogatepass").decode("utf-8", "replace") for k, x in enumerate(lowered) if any(a in x for a in added)}
+    if whole:
+        found = t.encode_batch_fast(list(whole.values()), add_special_tokens=False)
+        ids = dict(zip(whole, (np.array(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
+        others = iter(encode([x for k, x in enumerate(texts) if k not in whole], path))
+        return [ids[k] if k in ids else next(others) for k in range(len(texts))]
+    parts = [_STOP.sub(rb"\1 \2 ", x).split(b" ") for x in lowered]
     new = list({w for p in parts for w in p if w and w not in known})
     once = {}
     if new:

@@ -68,3 +68,12 @@ def test_parts_are_encoded_like_the_whole(text):
     t = Tokenizer.from_file(packing.default_tokenizer())
     t.encode_special_tokens = True
     assert np.frombuffer(packing.encode([text], packing.default_tokenizer())[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "x<|startoftext|>Y.\n<|endoftext|>", "a <|ENDOFTEXT|> b", "<|endof text|> plain"])
+def test_added_tokens_are_those_of_the_file(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    got = packing.encode(["one two", text, "three."], packing.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in ("one two", text, "three.")]
