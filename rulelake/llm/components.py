@@ -31,5 +31,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if not row["n"] or state == before:
             break
         now = cut(_star(_star(now, True), False), "edges")
+    else:
+        raise RuntimeError(f"components change after {most_rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -17,16 +17,19 @@ def direct_callers(calls: DataFrame) -> DataFrame:
 
 
 def shortest_paths(calls: DataFrame, starts: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """start, node, path: breadth first; of paths of equal length, the smallest by names."""
+    """start, node, path: breadth first; of paths of equal length, the smallest by names. Paths that are not whole after
+    most_rounds hops are an error."""
     e = calls.select("caller", "callee").distinct().persist()
     level = starts.select(F.col("start"), F.col("start").alias("node"), F.array("start").alias("path")).persist()
     every = level
-    for _ in range(most_rounds):
+    for _ in range(most_rounds + 1):
         step = level.join(e, F.col("node") == F.col("caller")).select("start", F.col("callee").alias("node"), F.array_append("path", F.col("callee")).alias("path")).groupBy("start", "node").agg(F.min("path").alias("path"))
         level = step.join(every.select("start", "node"), ["start", "node"], "left_anti").persist()
         if not level.limit(1).count():
             break
         every = every.unionByName(level)
+    else:
+        raise RuntimeError(f"paths go on after {most_rounds} rounds")
     return every
 
 
