@@ -1,20 +1,19 @@
 """N-gram Jaccard join by vertical partitioning, and its components.
 
-Word n-grams have one global order, rare ones first. Two similar sets share a gram among their first ones (prefixes), so
-groups by prefix gram give candidates. The order is cut into fragments; a pair's common grams are counted fragment by
-fragment, by different tasks, and the partial counts are summed per pair.
-
-Equal sets are joined once. In a large group, not all pairs are counted: all members are compared with a few leaders,
-the same in each group that holds them, if most pairs pass the filters of length and place; then only those that aren't
-yet in the main component of their cluster of groups are compared with members of similar size, in blocks: one fragment
-screens, two partners of each are counted in full, and then all pairs that are still in different components. No link
-between components is lost.
+Word n-grams have one global order, rare ones first, which is cut into fragments. Two similar sets share a gram among their
+first ones (prefixes), so groups by prefix gram give candidates. What candidates of a group can't have in common is bounded
+from below, by how many grams each has in each of 16 fragments, and then by a bitmap of parities. Candidates that pass form
+clusters. A cluster's grams meet in blocks: there, a pair's common grams are counted fragment by fragment, apart from each
+other, and the partial counts are summed per pair.
+
+Equal sets are joined once. No pairs of a large group are listed: its members form one cluster. Of a large cluster, blocks
+are counted together with a few leaders first; then only members outside its main component meet all others, as bitmaps
+in blocks, and those with a partner left there are counted in full. A block returns a spanning forest of its links.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +25,16 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, col, cut, sized
 from .components import components
 
-#: Where the order of the grams that aren't frequent is cut; those are the last fragment. The first one screens pairs.
+#: Where the order of the grams that aren't frequent is cut for counting; those are the last fragment.
 CUTS = (2**61, 9 * 2**60)
-#: Members up to which a group's pairs are all candidates; leaders of a larger one; members of a block, and their grams.
-SMALL, LEADERS, BLOCK, LEFT, GRAMS = 16, 6, 1024, 512, 1 << 21
+#: Fragments whose sizes are compared first: the highest bits of a gram say which.
+BINS = 16
+#: Members up to which a group's pairs are all candidates, and beyond which none is listed; leaders of a large cluster.
+SMALL, LARGE, LEADERS = 16, 4096, 4
+#: Members and grams of a block that is counted, and members of a block of bitmaps.
+BLOCK, GRAMS, SCREENED = 1024, 1 << 21, 4096
+#: Members of a frequent prefix gram that may meet in one task.
+HOT = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -82,12 +87,15 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 class Order:
-    """The global order of grams: those that a sample doesn't find often by hash, then the frequent ones, rarer first."""
+    """The global order of grams: those that a sample doesn't find often by hash, then the frequent ones, rarer first.
 
-    def __init__(self, frequent: dict[int, int]):
+    salts: the number of tasks that the members of a frequent prefix gram are dealt to."""
+
+    def __init__(self, frequent: dict[int, int], scale: float = 1.0):
         by_hash = sorted(frequent)
         self.frequent = np.array(by_hash, dtype=np.uint64)
         self.count = np.array([frequent[h] for h in by_hash], dtype=np.int64)
+        self.salts = np.ceil(self.count * scale / HOT).astype(np.uint64)
 
     def sort(self, h: np.ndarray) -> tuple[np.ndarray, int]:
         """The grams in order, and how many of them aren't frequent."""
@@ -109,8 +117,8 @@ def _texts(b: pa.RecordBatch, k: int) -> Iterator[bytes | None]:
 
 def _frequent(docs: DataFrame, n: int, sample: int, most: int) -> Order:
     """Grams of at least 1 in 500 of about `sample` documents, at most `most`. Any order is right; this one is fast."""
-    scale = 1 << 20
-    share = max(1, int(scale * min(1.0, sample / max(1, docs.count()))))
+    scale, rows = 1 << 20, docs.count()
+    share = max(1, int(scale * min(1.0, sample / max(1, rows))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,249 +127,313 @@ def _frequent(docs: DataFrame, n: int, sample: int, most: int) -> Order:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "n"])
 
     some = docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(scale)) < share).select("text")
-    rows = some.mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, sample // 500)).orderBy(F.desc("n"), "h").limit(most).collect()
-    return Order({r["h"] % (1 << 64): r["n"] for r in rows})
+    found = some.mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, sample // 500)).orderBy(F.desc("n"), "h").limit(most).collect()
+    return Order({r["h"] % (1 << 64): r["n"] for r in found}, scale / share)
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    """A bitmap of two bits a gram or more: each bit tells whether an odd number of grams falls on it."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    at = (_mix(h + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+SETS = "doc_id long, n_grams long, digest binary, prefix binary, sizes binary, sketch binary"
 
 
 def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """doc_id, n_grams, digest of the set and its prefix (six bytes a gram) of every row."""
+    """doc_id, n_grams, digest of the set, its prefix (six bytes a gram), the sizes of its fragments (clipped at 255) and its bitmap."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, digests, prefixes = [], [], []
-            for t in _texts(b, 1):
-                h = gram_hashes(t, n)
-                size = len(h)
-                sizes.append(size)
-                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if size else None)
-                first = order.value.sort(h)[0][: size - _least_overlap(size, percent) + 1] if size else h
-                prefixes.append(np.ascontiguousarray(first.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n_grams", "digest", "prefix"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                out: list[list] = [[], [], [], [], []]
+                for t in _texts(b, 1):
+                    h = gram_hashes(t, n)
+                    size = len(h)
+                    if not size:
+                        for o, v in zip(out, (0, None, b"", b"", b""), strict=True):
+                            o.append(v)
+                        continue
+                    first = order.value.sort(h)[0][: size - _least_overlap(size, percent) + 1]
+                    prefix = np.ascontiguousarray(first.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    sizes = np.minimum(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+                    for o, v in zip(out, (size, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), prefix, sizes, _sketch(h)), strict=True):
+                        o.append(v)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), *[pa.array(o, pa.binary()) for o in out[1:]]], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return docs.mapInArrow(rows, "doc_id long, n_grams long, digest binary, prefix binary")
+    return docs.mapInArrow(rows, SETS)
 
 
-_MEMBER = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("at", "<u4")])
+_MEMBER = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sizes", "u1", BINS)])
 
 
-def _deal(reps: DataFrame, buckets: int) -> DataFrame:
-    """Prefix grams with their documents, packed by bucket: (bucket, members)."""
+def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
+    """Prefix grams with their documents, packed by bucket: (bucket, members). Those of hot grams are salted by document."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for doc, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                k = len(raw) // 6
-                m = np.zeros(k, dtype=_MEMBER)
-                g = np.zeros((k, 8), dtype=np.uint8)
-                g[:, :6] = np.frombuffer(raw, np.uint8).reshape(k, 6)
-                g = g.view(np.uint64).ravel()
-                m["gram"] = g
-                m["doc"], m["n"], m["at"] = doc, n, np.arange(k)
-                parts.append(m)
-            every = np.concatenate(parts) if parts else np.zeros(0, dtype=_MEMBER)
-            to = (_mix(every["gram"]) % np.uint64(buckets)).astype(np.int64)
-            line = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[line])) + 1
-            groups = np.split(line, cuts) if len(line) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[g[0]]) for g in groups], pa.int64()), pa.array([every[g].tobytes() for g in groups], pa.binary())], names=["bucket", "members"])
-
-    return reps.select("doc_id", "n_grams", "prefix").mapInArrow(deal, "bucket long, members binary")
-
-
-def _candidates(percent: int):
+        hot = order.value.salts > 1
+        low = order.value.frequent[hot] & np.uint64((1 << 48) - 1)
+        line = np.argsort(low)
+        names, salts = low[line], order.value.salts[hot][line]
+        for whole in batches:
+            for start in range(0, whole.num_rows, 5000):
+                b = whole.slice(start, 5000)
+                parts = []
+                for doc, n, raw, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    k = len(raw) // 6
+                    m = np.zeros(k, dtype=_MEMBER)
+                    g = np.zeros((k, 8), dtype=np.uint8)
+                    g[:, :6] = np.frombuffer(raw, np.uint8).reshape(k, 6)
+                    m["gram"] = g.view(np.uint64).ravel()
+                    m["doc"], m["n"], m["at"], m["sizes"] = doc, n, np.arange(k), np.frombuffer(sizes, np.uint8)
+                    parts.append(m)
+                every = np.concatenate(parts) if parts else np.zeros(0, dtype=_MEMBER)
+                spread = every["gram"].copy()
+                salted = _in(spread, names)
+                if salted.any():
+                    spread[salted] += np.uint64(1 << 50) * (1 + _mix(every["doc"][salted].view(np.uint64)) % salts[np.searchsorted(names, spread[salted])])
+                to = (_mix(spread) % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(to, kind="stable")
+                cuts = np.flatnonzero(np.diff(to[by])) + 1
+                groups = np.split(by, cuts) if len(by) else []
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[g[0]]) for g in groups], pa.int64()), pa.array([every[g].tobytes() for g in groups], pa.binary())], names=["bucket", "members"])
+
+    return reps.select("doc_id", "n_grams", "prefix", "sizes").mapInArrow(deal, "bucket long, members binary")
+
+
+def _candidates(percent: int, order):
     def find(key: tuple, t: pa.Table) -> pa.Table:
+        salted = np.sort(order.value.frequent[order.value.salts > 1] & np.uint64((1 << 48) - 1))
         m = np.frombuffer(b"".join(t.column("members").to_pylist()), dtype=_MEMBER)
         m = m[np.lexsort([m["doc"], m["gram"]])]
         starts = np.flatnonzero(np.concatenate([[True], m["gram"][1:] != m["gram"][:-1]])) if len(m) else np.zeros(0, int)
-        sizes = np.diff(np.append(starts, len(m)))
+        counts = np.diff(np.append(starts, len(m)))
         pairs, members = [], []
 
         def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether the rest after the gram suffices, and the fragments' sizes don't differ too much."""
             na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
             most = 1 + np.minimum(na - a["at"] - 1, nb - b["at"] - 1)
-            return (a["doc"] != b["doc"]) & (most * (100 + percent) >= percent * (na + nb))
-
-        large = sizes > SMALL
-        for size in np.unique(sizes[(sizes > 1) & ~large]):
-            at = starts[(sizes == size) & ~large]
+            ok = (a["doc"] != b["doc"]) & (most * (100 + percent) >= percent * (na + nb))
+            ok = np.broadcast_to(ok, np.broadcast_shapes(a.shape, b.shape)).copy()
+            i = np.nonzero(ok)
+            a, b = np.broadcast_to(a, ok.shape)[i], np.broadcast_to(b, ok.shape)[i]
+            apart = np.abs(a["sizes"].astype(np.int16) - b["sizes"].astype(np.int16)).sum(1, dtype=np.int64)
+            ok[i] = apart * (100 + percent) <= (100 - percent) * (a["n"].astype(np.int64) + b["n"].astype(np.int64))
+            return ok
+
+        large = (counts > SMALL) | _in(m["gram"][starts], salted)
+        for size in np.unique(counts[(counts > 1) & ~large]):
+            at = starts[(counts == size) & ~large]
             for i in range(size):
                 for j in range(i + 1, size):
                     a, b = m[at + i], m[at + j]
                     ok = fits(a, b)
                     pairs.append(np.stack([a["doc"][ok], b["doc"][ok]], 1))
-        for s, size in zip(starts[large], sizes[large], strict=True):
+        for s, size in zip(starts[large], counts[large], strict=True):
             g = m[s : s + size]
-            n, at = g["n"].astype(np.int64), g["at"].astype(np.int64)
-            # the smaller of two similar sets has its first common gram this early
-            early = np.flatnonzero(at <= n - -(-2 * percent * n // (100 + percent)))
-            some, dense, seen = [], len(early) > 4096, np.zeros(size, dtype=bool)
-            for e in np.array_split(early, len(early) // 256 + 1) if not dense else []:
-                most = 1 + np.minimum((n - at - 1)[e, None], (n - at - 1)[None, :])
-                i, j = np.nonzero((g["doc"][e, None] != g["doc"][None, :]) & (most * (100 + percent) >= percent * (n[e, None] + n[None, :])))
-                some.append(np.sort(np.stack([g["doc"][e[i]], g["doc"][j]], 1), axis=1))
-                seen[e[i]] = seen[j] = True
+            dense = size > LARGE or bool(_in(g["gram"][:1], salted)[0])
             if not dense:
+                n, at = g["n"].astype(np.int64), g["at"].astype(np.int64)
+                # the smaller of two similar sets has its first common gram this early
+                early = np.flatnonzero(at <= n - -(-2 * percent * n // (100 + percent)))
+                some, seen = [np.zeros((0, 2), dtype=np.int64)], np.zeros(size, dtype=bool)
+                for e in np.array_split(early, len(early) // 256 + 1):
+                    i, j = np.nonzero(fits(g[e][:, None], g[None, :]))
+                    some.append(np.sort(np.stack([g["doc"][e[i]], g["doc"][j]], 1), axis=1))
+                    seen[e[i]] = seen[j] = True
                 some = np.unique(np.concatenate(some), axis=0)
-                dense = len(some) > 8 * size
-            if not dense:
-                pairs.append(some)
-                continue
-            g, n = (g[seen], n[seen]) if seen.any() else (g, n)
-            leaders = np.argsort(_mix(g["doc"].astype(np.uint64)))[:LEADERS]
-            for k in leaders:
-                b = g["doc"][(g["doc"] != g["doc"][k]) & (100 * np.minimum(n[k], n) >= percent * np.maximum(n[k], n))]
-                pairs.append(np.stack([np.full(len(b), g["doc"][k]), b], 1))
-            members.append((int(g["gram"][0]), int(g["doc"][leaders[0]]), np.unique(g["doc"])))
+                if len(some) <= 8 * size:
+                    pairs.append(some)
+                    continue
+                g = g[seen]
+            members.append((int(g["gram"][0]), np.unique(g["doc"])))
         p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
         cuts = np.flatnonzero(np.diff(p[:, 0])) + 1
-        rows = [(0, None, int(x[0, 0]), x[:, 1]) for x in (np.split(p, cuts) if len(p) else [])]
-        rows += [(1, g, a, d) for g, a, d in members]
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table({"kind": pa.array(cols[0], pa.int32()), "gram": pa.array(cols[1], pa.int64()), "a": pa.array(cols[2], pa.int64()), "docs": pa.array([x.tolist() for x in cols[3]], pa.list_(pa.int64()))})
+        rows = [(0, int(x[0, 0]), x[:, 1]) for x in (np.split(p, cuts) if len(p) else [])] + [(1, a, d) for a, d in members]
+        cols = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.table({"kind": pa.array(cols[0], pa.int32()), "a": pa.array(cols[1], pa.int64()), "docs": pa.array([x.tolist() for x in cols[2]], pa.list_(pa.int64()))})
 
     return find
 
 
-def _segments(docs: DataFrame, chosen: DataFrame, order, n: int) -> DataFrame:
-    """The grams of each chosen document (doc_id, digest), cut by fragment of the global order."""
+def _apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """On how many bits the bitmaps of each left and right document differ; larger ones are folded to the smaller size.
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                out: list[list] = [[], [], [], []]
-                for doc, t, digest in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist(), strict=True):
-                    h = gram_hashes(t, n)
-                    if hashlib.blake2b(h.tobytes(), digest_size=16).digest() != digest:
-                        continue  # another row with this id
-                    ordered, rare = order.value.sort(h)
-                    limits = np.searchsorted(ordered[:rare], np.array(CUTS, dtype=np.uint64))
-                    for k, part in enumerate(np.split(ordered, [*limits.tolist(), rare])):
-                        for o, v in zip(out, (doc, len(h), k, np.sort(part).tobytes()), strict=True):
-                            o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc", "n", "fragment", "grams"])
+    This is at most the number of grams that only one of them has."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+
+    def by_size(some: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        size = np.array([len(x) for x in some])
+        return {int(s): (np.flatnonzero(size == s), np.frombuffer(b"".join(x for x in some if len(x) == s), np.uint64).reshape(-1, s // 8)) for s in np.unique(size)}
+
+    def folded(x: np.ndarray, width: int) -> np.ndarray:
+        while x.shape[1] > width:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
 
-    both = docs.join(sized(chosen), "doc_id").select("doc_id", "text", "digest")
-    return both.mapInArrow(cuts, "doc long, n long, fragment int, grams binary")
+    rights = by_size(right)
+    for i, x in by_size(left).values():
+        for j, y in rights.values():
+            width = min(x.shape[1], y.shape[1])
+            a, b = folded(x, width), folded(y, width)
+            for k, one in zip(i, a, strict=True):
+                out[k, j] = np.bitwise_count(b ^ one).sum(1)
+    return out
 
 
-def _blocks(t: pa.Table) -> Iterator[tuple]:
-    """Each block's name and its left and right documents: ids, set sizes, grams and labels (their ids without any)."""
+def _bitmap_blocks(t: pa.Table) -> Iterator[tuple]:
+    """Each block's name and its left and right documents: ids, set sizes, bitmaps and labels (their ids without any)."""
     t = t.sort_by([("block", "ascending"), ("side", "ascending"), ("doc", "ascending")])
     name, side, doc, n = (t.column(k).to_numpy() for k in ("block", "side", "doc", "n"))
     label = t.column("label").to_numpy() if "label" in t.column_names else doc
-    grams = t.column("grams").to_pylist()
+    sketch = t.column("sketch").to_pylist()
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, int)
     for a, b in zip(first, [*first[1:], len(name)], strict=True):
         sides = []
         for s in (0, 1):
             at = a + np.flatnonzero(side[a:b] == s)
             at = at[np.concatenate([[True], doc[at][1:] != doc[at][:-1]])] if len(at) else at
-            sides.append((doc[at], n[at], [np.frombuffer(grams[k], np.uint64) for k in at], label[at]))
+            sides.append((doc[at], n[at], [sketch[k] for k in at], label[at]))
         yield name[a], *sides
 
 
-def _counts(lg: list[np.ndarray], rg: list[np.ndarray]) -> np.ndarray:
-    """Common grams of each left with each right document."""
-    counts = np.zeros((len(lg), len(rg)), dtype=np.uint32)
-    flat, owner = np.concatenate([*rg, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rg)), [len(x) for x in rg])
-    for i, g in enumerate(lg):
-        counts[i] = np.bincount(owner[_in(flat, g)], minlength=len(rg))
-    return counts
-
-
-_PARTIAL = ("left", "left_n", "right", "right_n", "counts")
-
+def _may_link(left: tuple, right: tuple, percent: int) -> np.ndarray:
+    (ld, ln, lg, ll), (rd, rn, rg, rl) = left, right
+    if not len(ld) or not len(rd):
+        return np.zeros((len(ld), len(rd)), dtype=bool)
+    return (_apart(lg, rg) * (100 + percent) <= (100 - percent) * (ln[:, None] + rn[None, :])) & (ll[:, None] != rl[None, :])
 
-def _partial(key: tuple, t: pa.Table) -> pa.Table:
-    """The partial counts of each block in one fragment."""
-    rows = [(name, ld.tobytes(), ln.tobytes(), rd.tobytes(), rn.tobytes(), _counts(lg, rg).tobytes()) for name, (ld, ln, lg, _), (rd, rn, rg, _) in _blocks(t)]
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()), "block": pa.array(cols[0], pa.string()), **{k: pa.array(c, pa.binary()) for k, c in zip(_PARTIAL, cols[1:], strict=True)}})
 
+def _likely(percent: int):
+    """The pairs of a document and its candidates that their bitmaps allow."""
 
-def _summed(percent: int):
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        total, sides = {}, {}
-        for r in t.to_pylist():
-            counts = np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-            total[r["block"]] = total.get(r["block"], 0) + counts
-            sides[r["block"]] = [np.frombuffer(r[k], np.int64) for k in _PARTIAL[:4]]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for block, c in total.items():
-            ld, ln, rd, rn = sides[block]
-            c = c.reshape(len(ld), len(rd))
-            i, j = np.nonzero((100 * c >= percent * (ln[:, None] + rn[None, :] - c)) & (c > 0))
-            a.append(ld[i])
-            b.append(rd[j])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return add
-
-
-def _screened(percent: int, ends: bool = False):
     def keep(key: tuple, t: pa.Table) -> pa.Table:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, (ld, ln, lg, ll), (rd, rn, rg, rl) in _blocks(t):
-            rest = np.minimum((ln - [len(x) for x in lg])[:, None], (rn - [len(x) for x in rg])[None, :])
-            ok = (100 + percent) * (_counts(lg, rg) + rest) >= percent * (ln[:, None] + rn[None, :])
-            ok &= ll[:, None] != rl[None, :]
-            if ends and ok.size:
-                line = np.argsort(_mix(rd.astype(np.uint64)))
-                i, ok = np.flatnonzero(ok.any(axis=1)), ok[:, line]
-                j = np.concatenate([line[ok[i].argmax(axis=1)], line[len(rd) - 1 - ok[i, ::-1].argmax(axis=1)]])
-                i = np.concatenate([i, i])
-            else:
-                i, j = np.nonzero(ok)
-            a.append(ld[i])
-            b.append(rd[j])
+        for _, left, right in _bitmap_blocks(t):
+            i, j = np.nonzero(_may_link(left, right, percent))
+            a.append(left[0][i])
+            b.append(right[0][j])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return keep
 
 
-def _parts(requests: DataFrame, segments: DataFrame) -> DataFrame:
-    """The grams that each block needs, blocks dealt to buckets of about a thousand requests."""
-    buckets = max(12, requests.count() // 1000)
-    return requests.join(segments.hint("merge"), "doc").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
-
+def _runs(n: np.ndarray) -> np.ndarray:
+    """Which of several smaller blocks each document belongs to, by their number and their grams."""
+    return np.maximum(np.arange(len(n)) // (BLOCK // 2), (np.cumsum(n) // (GRAMS // 2)))
 
-def _links(requests: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links among the left and right documents of each block: requests(block, side, doc)."""
-    parts = _parts(requests, segments).groupBy("bucket", "fragment").applyInArrow(_partial, "bucket long, block string, left binary, left_n binary, right binary, right_n binary, counts binary")
-    return parts.groupBy("bucket").applyInArrow(_summed(percent), "a long, b long").filter("a <> b")
 
+def _requests(percent: int):
+    """(block, doc) of the documents of a block of bitmaps that have a partner there, in blocks small enough to count."""
 
-def _screen(requests: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link, given their common grams in the first fragment."""
-    return _parts(requests, segments.filter("fragment = 0")).groupBy("bucket").applyInArrow(_screened(percent), "a long, b long").filter("a <> b")
+    def keep(key: tuple, t: pa.Table) -> pa.Table:
+        rows: list[tuple[str, np.ndarray]] = []
+        for name, left, right in _bitmap_blocks(t):
+            ok = _may_link(left, right, percent)
+            i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            li, rj = _runs(left[1][i]), _runs(right[1][j])
+            for u in np.unique(li):
+                for v in np.unique(rj):
+                    some = ok[np.ix_(i[li == u], j[rj == v])]
+                    if some.any():
+                        rows.append((f"{name}/{u}/{v}", np.union1d(left[0][i[li == u][some.any(1)]], right[0][j[rj == v][some.any(0)]])))
+        return pa.table({"block": pa.array([x for x, d in rows for _ in d], pa.string()), "doc_id": pa.array(np.concatenate([np.zeros(0, np.int64), *[d for _, d in rows]]))})
 
+    return keep
 
-def _open_pairs(cluster: DataFrame, links: DataFrame, segments: DataFrame, percent: int, ends: bool) -> DataFrame:
-    """Pairs of a cluster's members that may link and are in different components of the links so far.
 
-    Those outside their cluster's main component are compared with members in the same or neighbouring bands of size. A
-    member is copied once for each block of the other side, so blocks are as large as their grams allow. With `ends`,
-    only two partners of each are returned, the first and last of a block in one order, so that a group meets there."""
-    known = components(links)
-    placed = cut(cluster.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "clusters")
-    main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"))
-    width = math.log(100 / min(max(percent, 1), 99)) * 1.0001
-    sizes = segments.filter("fragment = 0").select("doc", F.col("n").alias("grams"))
-    rights = placed.join(main, "cluster").join(sizes, "doc").withColumn("band", F.floor(F.log("grams") / width))
-    lefts = rights.filter("label <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    many = lambda size: F.ceil(F.greatest(F.count("*") / size, F.sum("grams") / GRAMS)).cast("int")
-    blocks = lefts.groupBy("cluster", "band").agg(many(LEFT).alias("l")).join(rights.groupBy("cluster", "band").agg(many(BLOCK).alias("r")), ["cluster", "band"])
+def _fragment_counts(grams: np.ndarray, who: np.ndarray, m: int) -> np.ndarray:
+    """Common grams of each two of m documents in one fragment. Grams that the same documents have count together."""
+    out = np.zeros((m, m))
+    by = np.argsort(grams, kind="stable")
+    g, w = grams[by], who[by]
+    new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    size = np.diff(np.append(np.flatnonzero(new), len(g)))
+    column = np.cumsum(new) - 1
+    shared = size[column] > 1 if len(g) else new
+    column, w = column[shared], w[shared]
+    if not len(w):
+        return out
+    # a gram's documents as one hash
+    edge = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+    pattern = np.add.reduceat(_mix(w.astype(np.uint64) + np.uint64(12345)), edge)
+    _, one, times = np.unique(pattern, return_index=True, return_counts=True)
+    ends = np.append(edge[1:], len(w))
+    for at in range(0, len(one), 4096):
+        some = one[at : at + 4096]
+        x = np.zeros((m, len(some)))
+        lengths = ends[some] - edge[some]
+        rows = w[np.repeat(edge[some] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
+        x[rows, np.repeat(np.arange(len(some)), lengths)] = 1
+        out += (x * times[at : at + 4096]) @ x.T
+    return out
+
+
+def _forest(percent: int):
+    """A spanning forest (a, b) of the links of each block, counted fragment by fragment."""
+
+    def link(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("block", "ascending"), ("doc", "ascending"), ("fragment", "ascending")])
+        name, doc, n, fragment = (t.column(k).to_numpy() for k in ("block", "doc", "n", "fragment"))
+        grams = t.column("grams").to_pylist()
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, int)
+        a, b = [], []
+        for lo, hi in zip(first, [*first[1:], len(name)], strict=True):
+            ids, who = np.unique(doc[lo:hi], return_inverse=True)
+            sizes = np.zeros(len(ids), dtype=np.int64)
+            sizes[who] = n[lo:hi]
+            total = np.zeros((len(ids), len(ids)))
+            for k in range(len(CUTS) + 2):
+                at = np.flatnonzero(fragment[lo:hi] == k)
+                at = at[np.unique(who[at], return_index=True)[1]]
+                parts = [np.frombuffer(grams[lo + i], np.uint64) for i in at]
+                if parts:
+                    total += _fragment_counts(np.concatenate(parts), np.repeat(who[at], [len(x) for x in parts]), len(ids))
+            common = np.rint(total).astype(np.int64)
+            linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
+            left = np.ones(len(ids), dtype=bool)
+            for root in range(len(ids)):
+                if left[root]:
+                    left[root], front = False, np.array([root])
+                    while len(front):
+                        front = np.flatnonzero(linked[front].any(0) & left)
+                        left[front] = False
+                        a += [int(ids[root])] * len(front)
+                        b += ids[front].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return link
+
+
+def _counted(docs: DataFrame, wanted: DataFrame, order, n: int, percent: int, grams: int) -> DataFrame:
+    """Links among the documents of each block of wanted(doc_id, digest, block): grams meet there, cut by fragment."""
 
-    def named(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.lit(side), "doc"), F.col(own))
-        name = lambda k: F.concat_ws("/", F.lit("c"), "cluster", "band", *((mine, k) if side == 0 else (k, mine)))
-        return rows.join(blocks, ["cluster", "band"]).select(F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), name)).alias("block"), F.lit(side).alias("side"), "doc", "label")
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out: list[list] = [[], [], [], [], []]
+                for doc, t, digest, blocks in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    h = gram_hashes(t, n)
+                    if hashlib.blake2b(h.tobytes(), digest_size=16).digest() != digest:
+                        continue  # another row with this id
+                    ordered, rare = order.value.sort(h)
+                    limits = np.searchsorted(ordered[:rare], np.array(CUTS, dtype=np.uint64))
+                    parts = [np.sort(x).tobytes() for x in np.split(ordered, [*limits.tolist(), rare])]
+                    for block in blocks:
+                        for k, part in enumerate(parts):
+                            if part:
+                                for o, v in zip(out, (block, doc, len(h), k, part), strict=True):
+                                    o.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "doc", "n", "fragment", "grams"])
 
-    requests = cut(named(lefts, 0, "l", "r").unionByName(named(rights, 1, "r", "l")), "requests")
-    found = _parts(requests, segments.filter("fragment = 0")).groupBy("bucket").applyInArrow(_screened(percent, ends), "a long, b long")
-    return cut(found.distinct(), "open")
+    buckets = max(12, grams // (2 * GRAMS))
+    both = docs.join(sized(wanted.groupBy("doc_id", "digest").agg(F.collect_set("block").alias("blocks"))), "doc_id").select("doc_id", "text", "digest", "blocks")
+    parts = both.mapInArrow(cuts, "block string, doc long, n long, fragment int, grams binary").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
+    return parts.groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
 
 
 def _by_leader(pairs: DataFrame) -> DataFrame:
@@ -371,44 +443,79 @@ def _by_leader(pairs: DataFrame) -> DataFrame:
     return right.select("block", F.lit(1).alias("side"), F.col("b").alias("doc")).unionByName(right.select("block", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct())
 
 
+def _dealt(requests: DataFrame, sets: DataFrame, per_bucket: int) -> DataFrame:
+    """The bitmaps that each block needs, blocks dealt to buckets."""
+    buckets = max(12, requests.count() // per_bucket)
+    return requests.join(sets.select("doc", "n", "sketch").hint("merge"), "doc").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
+
+
+def _first_blocks(clusters: DataFrame) -> DataFrame:
+    """doc, digest, cluster, n, whole and block: a small cluster is one block; a large one several, each with its leaders."""
+    leaders = [F.min_by("doc", F.xxhash64(F.lit(k), "doc")) for k in range(LEADERS)]
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / GRAMS)).cast("int")
+    per = clusters.groupBy("cluster").agg(parts.alias("parts"), F.array_distinct(F.array(*leaders)).alias("leaders"))
+    own = F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    blocks = F.when(F.array_contains("leaders", F.col("doc")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    rows = clusters.join(per, "cluster").withColumn("part", F.explode(blocks))
+    return rows.select("doc", "digest", "cluster", "n", (F.col("parts") == 1).alias("whole"), F.concat_ws("/", F.lit("c"), "cluster", "part").alias("block"))
+
+
+def _open_blocks(placed: DataFrame) -> DataFrame:
+    """Blocks of bitmaps (block, side, doc, label): a cluster's members outside its main component, and all its members."""
+    main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main"), F.sum("n").alias("r"), (F.sum("n") - F.max("n")).alias("l"))
+    main = main.filter("l > 0").select("cluster", "main", F.ceil(F.col("l") / SCREENED).cast("int").alias("l"), F.ceil(F.col("r") / SCREENED).cast("int").alias("r"))
+    rows = placed.join(main, "cluster")
+
+    def named(side: int, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(side), "doc"), F.col(own))
+        name = lambda k: F.concat_ws("/", F.lit("o"), "cluster", *((mine, k) if side == 0 else (k, mine)))
+        some = rows.filter("label <> main") if side == 0 else rows
+        return some.select(F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), name)).alias("block"), F.lit(side).alias("side"), "doc", "label")
+
+    return named(0, "l", "r").unionByName(named(1, "r", "l"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, members_per_bucket: int = 1_000_000) -> DataFrame:
     """doc_id, n_grams (distinct) and component_id (smallest id reachable over links) of every row of docs.
 
     Two documents link when 100 * common >= percent * all distinct grams. Null, empty and blank texts have no grams and
     no links. A null id has no component. Rows that repeat an id are one document; if their texts differ, the links of
     the one with the smallest digest stand for it. An empty table gives an empty result; only id and text are read.
-    `sample` documents only tell which grams are frequent, for speed. A task gets about members_per_bucket prefix grams, 24
-    bytes each, and all documents with a common prefix gram; frequent grams come last in the order, so that prefixes
-    rarely hold them.
+    `sample` documents only tell which grams are frequent, for speed and for salting. A task gets about members_per_bucket
+    prefix grams, 40 bytes each.
     """
     spark = docs.sparkSession
     docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(_frequent(docs, n, sample, 50_000))  # at most 50,000 grams
     table = cut(_prefixes(docs, order, n, percent), "prefixes")
-    firsts = table.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    firsts = cut(firsts, "classes")
+    firsts = cut(table.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = firsts.groupBy("rep").agg(F.min("digest").alias("digest")).withColumnRenamed("rep", "doc_id")
     reps = table.join(chosen.hint("merge"), ["doc_id", "digest"], "left_semi")
     total = table.agg(F.sum(F.length("prefix") / 6)).first()[0] or 0
     buckets = max(1, int(-(-total // members_per_bucket))) * 3
-    found = _deal(reps, buckets).groupBy("bucket").applyInArrow(_candidates(percent), "kind int, gram long, a long, docs array<long>")
-    found = cut(found, "candidates")
-    pairs = found.filter("kind = 0").select("a", F.explode("docs").alias("b")).distinct()
-    large = cut(found.filter("kind = 1").select("gram", "a", F.explode("docs").alias("doc")).distinct(), "members")
-    pairs = cut(pairs, "pairs")
-    active = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("doc").alias("doc_id"))).distinct()
-    segments = cut(_segments(docs, chosen.join(active, "doc_id"), order, n), "segments")
-
-    # all pairs of small groups, and leaders of large ones with their members
-    likely = cut(_screen(_by_leader(pairs), segments, percent), "likely")
-    links = cut(_links(_by_leader(likely), segments, percent), "links")
-
+    found = cut(_deal(reps, order, buckets).groupBy("bucket").applyInArrow(_candidates(percent, order), "kind int, a long, docs array<long>"), "candidates")
+    pairs = cut(found.filter("kind = 0").select("a", F.explode("docs").alias("b")).distinct(), "pairs")
+    sets = table.filter("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), "digest", F.col("n_grams").alias("n"), "sketch").join(chosen.withColumnRenamed("doc_id", "doc").hint("merge"), ["doc", "digest"], "left_semi").dropDuplicates(["doc"])
+    sets = cut(sets, "sets")
+    likely = cut(_dealt(_by_leader(pairs), sets, 5000).groupBy("bucket").applyInArrow(_likely(percent), "a long, b long").filter("a <> b").distinct(), "likely")
+
+    # a large group's gram stands for a node of its own: if it is some document's id, two clusters become one
+    grouped = found.filter("kind = 1").select((-F.col("a") - 1).alias("a"), F.explode("docs").alias("b"))
+    clusters = components(likely.unionByName(grouped)).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
+    clusters = cut(clusters.join(sets.select("doc", "digest", "n").hint("merge"), "doc"), "clusters")
+    blocks = cut(_first_blocks(clusters), "blocks")
+    grams = blocks.agg(F.sum("n")).first()[0] or 0
+    links = cut(_counted(docs, blocks.select(F.col("doc").alias("doc_id"), "digest", "block"), order, n, percent, grams), "links")
+
+    large = blocks.filter("not whole").select("doc", "cluster").distinct()
     if large.limit(1).count():
-        # a cluster: dense groups that share documents
-        cluster = cut(components(large.select(F.col("doc").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("cluster")), "cluster")
-        for ends in (True, False):
-            more = _open_pairs(cluster, links, segments, percent, ends)
-            links = cut(links.unionByName(_links(_by_leader(more), segments, percent)), "links")
+        known = components(links).withColumnRenamed("node", "doc")
+        placed = cut(large.join(known, "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "placed")
+        asked = cut(_dealt(_open_blocks(placed), sets, 8 * SCREENED).groupBy("bucket").applyInArrow(_requests(percent), "block string, doc_id long"), "asked")
+        asked = asked.join(clusters.select(F.col("doc").alias("doc_id"), "digest", "n"), "doc_id")
+        grams = asked.agg(F.sum("n")).first()[0] or 0
+        if grams:
+            links = cut(links.unionByName(_counted(docs, asked.select("doc_id", "digest", "block"), order, n, percent, grams)), "links")
 
     labels = components(links).select(F.col("node").alias("rep"), "label")
     per = firsts.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))

@@ -73,6 +73,23 @@ def test_large_groups_of_near_copies(spark, edits):
     hold(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
+@pytest.mark.parametrize("edits", [2, 5])
+def test_large_clusters_meet_in_several_blocks(spark, edits, monkeypatch):
+    """Clusters of several blocks, and grams whose members are dealt to several tasks."""
+    for name, value in (("BLOCK", 20), ("SCREENED", 16), ("HOT", 10)):
+        monkeypatch.setattr(ngram_join, name, value)
+    test_large_groups_of_near_copies.__wrapped__(spark, edits) if hasattr(test_large_groups_of_near_copies, "__wrapped__") else test_large_groups_of_near_copies(spark, edits)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 700):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        others = [np.unique(np.concatenate([base[: n - k], rng.integers(0, 2**63, j, dtype=np.uint64)])) for k, j in ((0, 0), (n // 10, n // 8), (n // 2, n), (0, 3 * n))]
+        apart = ngram_join._apart([ngram_join._sketch(base)], [ngram_join._sketch(x) for x in others])[0]
+        assert apart[0] == 0 and all(a <= len(np.setxor1d(base, x)) for a, x in zip(apart, others, strict=True))
+
+
 def test_hashes_are_those_of_distinct_grams(documents):
     seen = {}
     for r in documents.limit(60).collect():
