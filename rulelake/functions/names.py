@@ -14,8 +14,19 @@ def namespace(name: Column) -> Column:
 
 
 def local_name(name: Column) -> Column:
-    """The part after the first slash, or the whole name."""
-    return F.regexp_replace(name, "^[^/]*/", "")
+    """The part after the last slash, or the whole name."""
+    return F.substring_index(name, "/", -1)
+
+
+def display_parts(name: Column) -> Column:
+    """(name, ns): cut at the last slash, else at the last dot. Quoted and bracketed names and symbol[..] stay whole."""
+    whole = name.rlike(r'^(["\[]|symbol\[)')
+    slash, dot = F.instr(name, "/") > 0, F.instr(name, ".") > 0
+    by = lambda sign: F.substring_index(name, sign, -1)
+    rest = lambda sign: F.left(name, F.length(name) - F.length(F.substring_index(name, sign, -1)) - 1)
+    short = F.when(whole, name).when(slash, by("/")).when(dot, by(".")).otherwise(name)
+    ns = F.when(whole, F.lit("")).when(slash, rest("/")).when(dot, rest(".")).otherwise(F.lit(""))
+    return F.struct(short.alias("name"), ns.alias("ns"))
 
 
 def production_ns(ns: Column, name: Column) -> Column:
@@ -27,14 +38,39 @@ def resource_path(ns: Column) -> Column:
     return F.translate(ns, ".-", "/_")
 
 
-def type_name(kind: Column, text: Column) -> Column:
-    """Printed name of a fact type by kind; kinds never collide."""
-    return F.when(kind == "keyword", F.concat(F.lit(":"), text)).when(kind == "string", F.concat(F.lit('"'), text, F.lit('"'))).when(kind == "symbol", F.concat(F.lit("symbol["), text, F.lit("]"))).otherwise(text)
+def quoted(text: Column) -> Column:
+    """The text as it is printed: in quotes, with escapes."""
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\f", "\\f"), ("\b", "\\b")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def type_name(kind: Column, text: Column, resolved: Column | None = None) -> Column:
+    """Printed name of a fact type by kind; kinds never collide. A symbol that its namespace knows has the resolved name.
+
+    Classes, tuples, maps and functions are printed as their text says. A null text has no name."""
+    known = F.lit(None).cast("string") if resolved is None else resolved
+    symbol = F.coalesce(known, F.concat(F.lit("symbol["), text, F.lit("]")))
+    return F.when(kind == "keyword", F.concat(F.lit(":"), text)).when(kind == "string", quoted(text)).when(kind == "symbol", symbol).otherwise(text)
+
+
+def type_namespace(kind: Column, text: Column) -> Column:
+    """The namespace of a keyword or symbol, the package of a class; null for others and where there is none."""
+    package = F.when(F.instr(text, ".") > 0, F.left(text, F.length(text) - F.length(F.substring_index(text, ".", -1)) - 1))
+    return F.when(kind.isin("keyword", "symbol"), namespace(text)).when(kind == "class", package)
+
+
+def kind_of(name: Column) -> Column:
+    """The kind that a printed name tells of."""
+    return F.when(name.startswith(":"), "keyword").when(name.startswith('"'), "string").when(name.startswith("symbol["), "symbol").when(name.startswith("["), "tuple").when(name.startswith("{"), "map").otherwise("class")
 
 
 def slug(name: Column) -> Column:
-    """Letters, digits, dots and underscores stay; runs of anything else become one hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._]+", "-"), "^-+|-+$", "")
+    """At most 60 of the letters, digits, dots and hyphens; runs of anything else become one hyphen, none at the ends
+    before the cut. Nothing left: x."""
+    runs = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^A-Za-z0-9.-]", "-"), "-+", "-")
+    cut = F.left(F.regexp_replace(runs, "^-|-$", ""), F.lit(60))
+    return F.when(cut == "", "x").otherwise(cut)
 
 
 def base36(hex_digest: Column) -> Column:
@@ -59,14 +95,17 @@ def base36(hex_digest: Column) -> Column:
 
 
 def route_id(name: Column, length: int = 8) -> Column:
-    """A readable and stable id: slug and the end of the name's SHA-1 in base 36."""
+    """A readable and stable id: slug and the first digits of the name's SHA-1 in base 36. Null stays null."""
     digits = base36(F.sha1(F.encode(name, "UTF-8")))
-    return F.concat_ws("-", slug(name), F.right(digits, F.lit(length)))
+    return F.when(name.isNotNull(), F.concat(slug(name), F.lit("-"), F.left(digits, F.lit(length))))
+
+
+def type_ref(name: Column, known: Column) -> Column:
+    """{name, id, known}, null without a name."""
+    return F.when(name.isNotNull(), F.struct(name.alias("name"), route_id(name).alias("id"), F.coalesce(known, F.lit(False)).alias("known")))
 
 
 def matches(text: Column, query: str) -> Column:
-    """Case-insensitive search of all words of a query."""
-    out = F.lit(True)
-    for word in query.lower().split():
-        out &= F.contains(F.lower(text), F.lit(word))
-    return out
+    """Case-insensitive search of the whole query as one piece; an empty one matches everything. A null text matches none but that."""
+    q = query.lower()
+    return F.lit(True) if not q else F.coalesce(F.contains(F.lower(text), F.lit(q)), F.lit(False))
