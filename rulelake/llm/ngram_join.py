@@ -1,14 +1,15 @@
 """N-gram Jaccard join by vertical partitioning, and its components.
 
-Word n-grams have one global order, rare ones first, which is cut into fragments. Two similar sets share a gram among their
-first ones (prefixes), so groups by prefix gram give candidates. What candidates of a group can't have in common is bounded
-from below, by how many grams each has in each of 16 fragments, and then by a bitmap of parities. Candidates that pass form
-clusters. A cluster's grams meet in blocks: there, a pair's common grams are counted fragment by fragment, apart from each
+Word n-grams have one global order, rare ones first, which is cut into fragments. Two similar sets share grams among their
+first ones (prefixes), the more the larger they are, so groups by prefix gram give candidates. What candidates can't have in
+common is bounded from below, by how many grams each has in each of 16 fragments, and then by a bitmap of parities. Candidates
+that pass form clusters. A cluster's grams meet in blocks: there, a pair's common grams are counted fragment by fragment, apart from each
 other, and the partial counts are summed per pair.
 
 Equal sets are joined once. No pairs of a large group are listed: its members form one cluster. Of a large cluster, blocks
-are counted together with a few leaders first; then only members outside its main component meet all others, as bitmaps
-in blocks, and those with a partner left there are counted in full. A block returns a spanning forest of its links.
+are counted together with a few leaders first. Then its members outside the main component meet all others, as finer bitmaps
+in blocks: each with its nearest partners first, and, while they are in different components, with all that the bitmaps
+allow. A block returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from .components import components
 CUTS = (2**61, 9 * 2**60)
 #: Fragments whose sizes are compared first: the highest bits of a gram say which.
 BINS = 16
-#: Members up to which a group's pairs are all candidates, and beyond which none is listed; leaders of a large cluster.
-SMALL, LARGE, LEADERS = 16, 4096, 4
+#: Members beyond which no pair of a group is listed; pairs a member above which none is; leaders of a large cluster.
+LARGE, DENSE, LEADERS = 4096, 8, 4
+#: Grams per further common gram that a pair must have in its prefixes.
+FURTHER = 100
 #: Members and grams of a block that is counted, and members of a block of bitmaps.
 BLOCK, GRAMS, SCREENED = 1024, 1 << 21, 4096
 #: Members of a frequent prefix gram that may meet in one task.
@@ -131,9 +134,9 @@ def _frequent(docs: DataFrame, n: int, sample: int, most: int) -> Order:
     return Order({r["h"] % (1 << 64): r["n"] for r in found}, scale / share)
 
 
-def _sketch(h: np.ndarray) -> bytes:
-    """A bitmap of two bits a gram or more: each bit tells whether an odd number of grams falls on it."""
-    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+def _sketch(h: np.ndarray, fine: int = 2) -> bytes:
+    """A bitmap of at least `fine` bits a gram: each bit tells whether an odd number of grams falls on it."""
+    bits = max(64, 1 << (fine * len(h) - 1).bit_length())
     at = (_mix(h + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -156,7 +159,7 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                         for o, v in zip(out, (0, None, b"", b"", b""), strict=True):
                             o.append(v)
                         continue
-                    first = order.value.sort(h)[0][: size - _least_overlap(size, percent) + 1]
+                    first = order.value.sort(h)[0][: size - _least_overlap(size, percent) + 1 + size // FURTHER]
                     prefix = np.ascontiguousarray(first.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                     sizes = np.minimum(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
                     for o, v in zip(out, (size, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), prefix, sizes, _sketch(h)), strict=True):
@@ -213,48 +216,56 @@ def _candidates(percent: int, order):
         pairs, members = [], []
 
         def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Whether the rest after the gram suffices, and the fragments' sizes don't differ too much."""
+            """Whether neither the sizes nor those of the fragments differ too much."""
             na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-            most = 1 + np.minimum(na - a["at"] - 1, nb - b["at"] - 1)
-            ok = (a["doc"] != b["doc"]) & (most * (100 + percent) >= percent * (na + nb))
-            ok = np.broadcast_to(ok, np.broadcast_shapes(a.shape, b.shape)).copy()
+            ok = (a["doc"] != b["doc"]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             i = np.nonzero(ok)
             a, b = np.broadcast_to(a, ok.shape)[i], np.broadcast_to(b, ok.shape)[i]
             apart = np.abs(a["sizes"].astype(np.int16) - b["sizes"].astype(np.int16)).sum(1, dtype=np.int64)
             ok[i] = apart * (100 + percent) <= (100 - percent) * (a["n"].astype(np.int64) + b["n"].astype(np.int64))
             return ok
 
-        large = (counts > SMALL) | _in(m["gram"][starts], salted)
+        def listed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """(a, b, whether the rest after this gram suffices if it is their first, common grams needed) of pairs."""
+            na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+            early = (1 + np.minimum(na - a["at"] - 1, nb - b["at"] - 1)) * (100 + percent) >= percent * (na + nb)
+            return np.stack([np.minimum(a["doc"], b["doc"]), np.maximum(a["doc"], b["doc"]), early, 1 + np.minimum(na, nb) // FURTHER], 1)
+
+        large = (counts > 16) | _in(m["gram"][starts], salted)
         for size in np.unique(counts[(counts > 1) & ~large]):
             at = starts[(counts == size) & ~large]
             for i in range(size):
                 for j in range(i + 1, size):
                     a, b = m[at + i], m[at + j]
                     ok = fits(a, b)
-                    pairs.append(np.stack([a["doc"][ok], b["doc"][ok]], 1))
+                    pairs.append(listed(a[ok], b[ok]))
         for s, size in zip(starts[large], counts[large], strict=True):
             g = m[s : s + size]
             dense = size > LARGE or bool(_in(g["gram"][:1], salted)[0])
             if not dense:
-                n, at = g["n"].astype(np.int64), g["at"].astype(np.int64)
-                # the smaller of two similar sets has its first common gram this early
-                early = np.flatnonzero(at <= n - -(-2 * percent * n // (100 + percent)))
-                some, seen = [np.zeros((0, 2), dtype=np.int64)], np.zeros(size, dtype=bool)
-                for e in np.array_split(early, len(early) // 256 + 1):
-                    i, j = np.nonzero(fits(g[e][:, None], g[None, :]))
-                    some.append(np.sort(np.stack([g["doc"][e[i]], g["doc"][j]], 1), axis=1))
-                    seen[e[i]] = seen[j] = True
-                some = np.unique(np.concatenate(some), axis=0)
-                if len(some) <= 8 * size:
-                    pairs.append(some)
+                some, seen, found = [], np.zeros(size, dtype=bool), 0
+                for e in np.array_split(np.arange(size), size // 256 + 1):
+                    i, j = np.nonzero(fits(g[e][:, None], g[None, e[0] :]))
+                    i, j = e[i], e[0] + j
+                    i, j = i[i < j], j[i < j]
+                    seen[i] = seen[j] = True
+                    found += len(i)
+                    if found <= DENSE * size:
+                        some.append(listed(g[i], g[j]))
+                if found <= DENSE * size:
+                    pairs += some
                     continue
                 g = g[seen]
             members.append((int(g["gram"][0]), np.unique(g["doc"])))
-        p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(p[:, 0])) + 1
-        rows = [(0, int(x[0, 0]), x[:, 1]) for x in (np.split(p, cuts) if len(p) else [])] + [(1, a, d) for a, d in members]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"kind": pa.array(cols[0], pa.int32()), "a": pa.array(cols[1], pa.int64()), "docs": pa.array([x.tolist() for x in cols[2]], pa.list_(pa.int64()))})
+        p = np.concatenate([np.zeros((0, 4), dtype=np.int64), *pairs])
+        p = p[np.lexsort([p[:, 1], p[:, 0]])]
+        new = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(1)])) if len(p) else np.zeros(0, int)
+        out = np.stack([p[new, 0], p[new, 1], np.diff(np.append(new, len(p))), np.maximum.reduceat(p[:, 2], new), p[new, 3]], 1) if len(p) else np.zeros((0, 5), np.int64)
+        cuts = np.flatnonzero(np.diff(out[:, 0])) + 1
+        rows = [(0, int(x[0, 0]), *x[:, 1:].T.tolist()) for x in (np.split(out, cuts) if len(out) else [])] + [(1, a, d.tolist(), [], [], []) for a, d in members]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "a", "docs", "times", "early", "need"), cols, kinds, strict=True)})
 
     return find
 
@@ -326,6 +337,29 @@ def _runs(n: np.ndarray) -> np.ndarray:
     return np.maximum(np.arange(len(n)) // (BLOCK // 2), (np.cumsum(n) // (GRAMS // 2)))
 
 
+def _nearest(percent: int):
+    """(a, b) of each left document of a block and the two nearest ones that its bitmap allows, of other components."""
+
+    def keep(key: tuple, t: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, left, right in _bitmap_blocks(t):
+            for at in np.array_split(np.arange(len(left[0])), len(left[0]) // 512 + 1):
+                some = (left[0][at], left[1][at], [left[2][k] for k in at], left[3][at])
+                ok = _may_link(some, right, percent)
+                if not ok.any():
+                    continue
+                far = np.where(ok, _apart(some[2], right[2]), np.iinfo(np.int64).max)
+                for _ in range(2):
+                    j = far.argmin(1)
+                    i = np.flatnonzero(far[np.arange(len(far)), j] < np.iinfo(np.int64).max)
+                    a.append(some[0][i])
+                    b.append(right[0][j[i]])
+                    far[i, j[i]] = np.iinfo(np.int64).max
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return keep
+
+
 def _requests(percent: int):
     """(block, doc) of the documents of a block of bitmaps that have a partner there, in blocks small enough to count."""
 
@@ -408,32 +442,48 @@ def _forest(percent: int):
     return link
 
 
-def _counted(docs: DataFrame, wanted: DataFrame, order, n: int, percent: int, grams: int) -> DataFrame:
-    """Links among the documents of each block of wanted(doc_id, digest, block): grams meet there, cut by fragment."""
+def _wanted(docs: DataFrame, wanted: DataFrame, order, n: int, f, schema: str) -> DataFrame:
+    """f(doc, grams, blocks) -> rows of the schema, for each document of wanted(doc_id, digest, blocks)."""
+    kinds = [pa.field(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in schema.split(", ")]
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                out: list[list] = [[], [], [], [], []]
+                rows: list[tuple] = []
                 for doc, t, digest, blocks in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     h = gram_hashes(t, n)
-                    if hashlib.blake2b(h.tobytes(), digest_size=16).digest() != digest:
-                        continue  # another row with this id
-                    ordered, rare = order.value.sort(h)
-                    limits = np.searchsorted(ordered[:rare], np.array(CUTS, dtype=np.uint64))
-                    parts = [np.sort(x).tobytes() for x in np.split(ordered, [*limits.tolist(), rare])]
-                    for block in blocks:
-                        for k, part in enumerate(parts):
-                            if part:
-                                for o, v in zip(out, (block, doc, len(h), k, part), strict=True):
-                                    o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "doc", "n", "fragment", "grams"])
-
-    buckets = max(12, grams // (2 * GRAMS))
-    both = docs.join(sized(wanted.groupBy("doc_id", "digest").agg(F.collect_set("block").alias("blocks"))), "doc_id").select("doc_id", "text", "digest", "blocks")
-    parts = both.mapInArrow(cuts, "block string, doc long, n long, fragment int, grams binary").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
-    return parts.groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
+                    if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == digest:  # else another row with this id
+                        rows += f(doc, h, blocks, order.value)
+                cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds, strict=True)], names=[k.name for k in kinds])
+
+    return docs.join(sized(wanted), "doc_id").select("doc_id", "text", "digest", "blocks").mapInArrow(make, schema)
+
+
+def _segments(doc: int, h: np.ndarray, blocks: list[str], order: Order) -> list[tuple]:
+    """A document's grams, cut by fragment of the global order, for each of its blocks."""
+    ordered, rare = order.sort(h)
+    limits = np.searchsorted(ordered[:rare], np.array(CUTS, dtype=np.uint64))
+    parts = [np.sort(x).tobytes() for x in np.split(ordered, [*limits.tolist(), rare])]
+    return [(block, doc, len(h), k, part) for block in blocks for k, part in enumerate(parts) if part]
+
+
+def _fine(doc: int, h: np.ndarray, blocks: list[str], order: Order) -> list[tuple]:
+    return [(doc, len(h), _sketch(h, 16))]
+
+
+def _counted(docs: DataFrame, wanted: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """Links among the documents of each block of wanted(doc_id, digest, n, block): their grams meet there.
+
+    A large block is a group of its own, small ones are dealt to groups of about as many grams."""
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    sizes = wanted.groupBy("block").agg(F.sum("n").alias("grams"))
+    own = F.when(F.col("grams") * 8 > GRAMS, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(12, total // (GRAMS // 2)))).cast("string"))
+    named = wanted.join(sizes.withColumn("own", F.concat_ws("|", own, "block")), "block")
+    blocks = named.groupBy("doc_id", "digest").agg(F.collect_set("own").alias("blocks"))
+    parts = _wanted(docs, blocks, order, n, _segments, "block string, doc long, n long, fragment int, grams binary")
+    return parts.withColumn("bucket", F.substring_index("block", "|", 1)).groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
 
 
 def _by_leader(pairs: DataFrame) -> DataFrame:
@@ -482,7 +532,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     no links. A null id has no component. Rows that repeat an id are one document; if their texts differ, the links of
     the one with the smallest digest stand for it. An empty table gives an empty result; only id and text are read.
     `sample` documents only tell which grams are frequent, for speed and for salting. A task gets about members_per_bucket
-    prefix grams, 40 bytes each.
+    prefix grams, 40 bytes each, a large block up to GRAMS grams, 8 bytes each.
     """
     spark = docs.sparkSession
     docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
@@ -493,8 +543,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     reps = table.join(chosen.hint("merge"), ["doc_id", "digest"], "left_semi")
     total = table.agg(F.sum(F.length("prefix") / 6)).first()[0] or 0
     buckets = max(1, int(-(-total // members_per_bucket))) * 3
-    found = cut(_deal(reps, order, buckets).groupBy("bucket").applyInArrow(_candidates(percent, order), "kind int, a long, docs array<long>"), "candidates")
-    pairs = cut(found.filter("kind = 0").select("a", F.explode("docs").alias("b")).distinct(), "pairs")
+    found = cut(_deal(reps, order, buckets).groupBy("bucket").applyInArrow(_candidates(percent, order), "kind int, a long, docs array<long>, times array<long>, early array<long>, need array<long>"), "candidates")
+    each = found.filter("kind = 0").select("a", F.explode(F.arrays_zip("docs", "times", "early", "need")).alias("x")).select("a", F.col("x.docs").alias("b"), "x.times", "x.early", "x.need")
+    pairs = cut(each.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("early").alias("early"), F.max("need").alias("need")).filter("times >= need and early = 1").select("a", "b"), "pairs")
     sets = table.filter("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), "digest", F.col("n_grams").alias("n"), "sketch").join(chosen.withColumnRenamed("doc_id", "doc").hint("merge"), ["doc", "digest"], "left_semi").dropDuplicates(["doc"])
     sets = cut(sets, "sets")
     likely = cut(_dealt(_by_leader(pairs), sets, 5000).groupBy("bucket").applyInArrow(_likely(percent), "a long, b long").filter("a <> b").distinct(), "likely")
@@ -504,18 +555,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     clusters = components(likely.unionByName(grouped)).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
     clusters = cut(clusters.join(sets.select("doc", "digest", "n").hint("merge"), "doc"), "clusters")
     blocks = cut(_first_blocks(clusters), "blocks")
-    grams = blocks.agg(F.sum("n")).first()[0] or 0
-    links = cut(_counted(docs, blocks.select(F.col("doc").alias("doc_id"), "digest", "block"), order, n, percent, grams), "links")
+    links = cut(_counted(docs, blocks.select(F.col("doc").alias("doc_id"), "digest", "n", "block"), order, n, percent), "links")
 
-    large = blocks.filter("not whole").select("doc", "cluster").distinct()
+    large = blocks.filter("not whole").select("doc", "digest", "n", "cluster").distinct()
     if large.limit(1).count():
-        known = components(links).withColumnRenamed("node", "doc")
-        placed = cut(large.join(known, "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "placed")
-        asked = cut(_dealt(_open_blocks(placed), sets, 8 * SCREENED).groupBy("bucket").applyInArrow(_requests(percent), "block string, doc_id long"), "asked")
-        asked = asked.join(clusters.select(F.col("doc").alias("doc_id"), "digest", "n"), "doc_id")
-        grams = asked.agg(F.sum("n")).first()[0] or 0
-        if grams:
-            links = cut(links.unionByName(_counted(docs, asked.select("doc_id", "digest", "block"), order, n, percent, grams)), "links")
+        fine = cut(_wanted(docs, large.select(F.col("doc").alias("doc_id"), "digest", F.array(F.lit("")).alias("blocks")), order, n, _fine, "doc long, n long, sketch binary"), "fine")
+        members = large.select(F.col("doc").alias("doc_id"), "digest", "n")
+
+        def open_blocks(links: DataFrame) -> DataFrame:
+            known = components(links).withColumnRenamed("node", "doc")
+            placed = cut(large.join(known, "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "placed")
+            return _dealt(_open_blocks(placed), fine, 2 * SCREENED)
+
+        near = cut(open_blocks(links).groupBy("bucket").applyInArrow(_nearest(percent), "a long, b long").filter("a <> b").distinct(), "nearest")
+        asked = _by_leader(near).select(F.col("doc").alias("doc_id"), "block").join(members, "doc_id")
+        links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
+        asked = cut(open_blocks(links).groupBy("bucket").applyInArrow(_requests(percent), "block string, doc_id long"), "asked").join(members, "doc_id")
+        links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
 
     labels = components(links).select(F.col("node").alias("rep"), "label")
     per = firsts.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
