@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, shared_dir, sized
+
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "col", "cut", "fold", "free", "mix64", "n_words", "partitions", "powers", "ranked", "shared_dir", "sized", "words"]
+
 #: ASCII white space; everything else belongs to words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,31 +40,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new one where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rulelake-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def free(name: str, columns: list[str]) -> str:
+    """name, with as many underscores after it as it takes to be no column's (names differ by more than their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A mixing of 64-bit numbers that loses nothing."""
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
+    return x ^ (x >> np.uint64(33))
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again.
 
-    Later jobs restart from the table, whatever executors are lost meanwhile. The table goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def sized(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """df (a table of ids), to be broadcast if it has at most most_rows rows, else to be joined by merging."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("merge")
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of a fixed odd number and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, b, dtype=np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0], _powers[1]
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, rows_per_bucket: int = 4096, weight: Column | None = None, total: str | None = None) -> DataFrame:

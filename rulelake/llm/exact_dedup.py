@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, col, cut, sized
+from .common import SPACE_CHARS, col, cut, mix64, sized
 
 FILTER = "bucket long, seed long, segment_length long, segments long, fingerprints binary"
 
@@ -22,13 +22,6 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, "")
 
 
-def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
-    x = keys + np.uint64(seed)
-    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
-    return x ^ (x >> np.uint64(33))
-
-
 def _slots(h: np.ndarray, length: int, segments: int) -> np.ndarray:
     """Three slots of each hash, in neighbouring segments."""
     first = (((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64) * length
@@ -49,7 +42,7 @@ def build_filter(keys: np.ndarray) -> tuple[int, int, int, np.ndarray]:
     room = max(n * (1.125 if n > 2 else 4), n * (0.875 + 0.25 * np.log(1e6) / np.log(max(n, 2.0))), 8)
     segments = max(1, int(np.ceil(room / length)) - 2)
     for seed in range(1, 1000):
-        h = _mix(keys, seed)
+        h = mix64(keys + np.uint64(seed))
         slots = _slots(h, length, segments)
         size = (segments + 2) * length
         count = np.bincount(slots.ravel(), minlength=size)
@@ -80,7 +73,7 @@ def build_filter(keys: np.ndarray) -> tuple[int, int, int, np.ndarray]:
 
 
 def may_contain(keys: np.ndarray, seed: int, length: int, segments: int, table: np.ndarray) -> np.ndarray:
-    h = _mix(keys, seed)
+    h = mix64(keys + np.uint64(seed))
     a, b, c = _slots(h, length, segments)
     return _prints(h) == (table[a] ^ table[b] ^ table[c])
 
@@ -139,9 +132,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = cut(new.join(hits, "digest", "left_semi").join(old.withColumnsRenamed({"n": "n_old", "best": "best_old"}), "digest"), "met")
     # the bytes of one representative of each side; their ids are broadcast only up to a number
     ids = met.select("digest", F.explode(F.array(F.struct("best.id", F.lit(False).alias("old")), F.struct("best_old.id", F.lit(True).alias("old")))).alias("r")).select("digest", "r.*")
-    bodies = docs.select(col(id_col).alias("id"), normalised(col(text_col)).alias("body"), side.alias("old")).join(sized(ids), ["id", "old"])
+    found = sized(ids.select(F.col("id").alias("__id"), F.col("old").alias("__old"), "digest"))
+    bodies = docs.select(col(id_col).alias("id"), normalised(col(text_col)).alias("body"), side.alias("old")).join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("old") == F.col("__old")))
     bodies = bodies.withColumn("same", F.unhex(F.sha2(F.encode("body", "UTF-8"), 256)) == F.col("digest")).filter("same")
-    equal = bodies.groupBy("digest").agg(F.countDistinct("body").alias("n_bodies")).filter("n_bodies = 1")
+    # one body, and both sides are there
+    equal = bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"), F.bool_or("old").alias("seen"), F.bool_or(~F.col("old")).alias("new")).filter("least = most and seen and new")
     one = met.join(equal, "digest", "left_semi").select("digest", (F.col("n") + F.col("n_old")).alias("n_all"), F.greatest("best", "best_old").alias("best_all"))
     both = new.withColumn("from_snapshot", F.lit(False)).unionByName(old.withColumn("from_snapshot", F.lit(True))).join(one, "digest", "left")
     both = both.select("digest", "from_snapshot", F.coalesce("n_all", "n").alias("group_size"), F.coalesce("best_all", "best").getField("id").alias("keep_id"))

@@ -1,12 +1,14 @@
 """N-gram Jaccard join by vertical partitioning, and its components.
 
-Word n-grams have one global order, rare ones first, which is cut into fragments. Two similar sets share grams among their
+Word n-grams have one global order, by how many documents have them as far as a sketch of fixed size tells, which is cut into
+fragments. Two similar sets share grams among their
 first ones (prefixes), the more the larger they are, so groups by prefix gram give candidates. What candidates can't have in
 common is bounded from below, by how many grams each has in each of 16 fragments, and then by a bitmap of parities. Candidates
 that pass form clusters. A cluster's grams meet in blocks: there, a pair's common grams are counted fragment by fragment, apart from each
 other, and the partial counts are summed per pair.
 
-Equal sets are joined once. No pairs of a large group are listed: its members form one cluster. Of a large cluster, blocks
+Equal sets are joined once. No pairs of a large group of a frequent gram are listed: its members form one cluster. A gram that
+isn't frequent has few members. Of a large cluster, blocks
 are counted together with a few leaders first. Then its members outside the main component meet all others, as finer bitmaps
 in blocks: each with its nearest partners first, and, while they are in different components, with all that the bitmaps
 allow. A block returns a spanning forest of its links.
@@ -23,14 +25,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, col, cut, sized
+from .common import SPACE_CHARS, col, cut, mix64, powers, sized
 from .components import components
 
 #: Where the order of the grams that aren't frequent is cut for counting; those are the last fragment.
 CUTS = (2**61, 9 * 2**60)
 #: Fragments whose sizes are compared first: the highest bits of a gram say which.
 BINS = 16
-#: Members beyond which no pair of a group is listed; pairs a member above which none is; leaders of a large cluster.
+#: Counters of the sketch, and those in a row of it; deviations above its mean that make a gram frequent.
+COUNTERS, ROW, DEVIATIONS = 1 << 19, 1 << 15, 5
+#: Members of a frequent gram beyond which no pair of its group is listed; pairs a member above which none is; leaders of a large cluster.
 LARGE, DENSE, LEADERS = 4096, 8, 4
 #: Grams per further common gram that a pair must have in its prefixes.
 FURTHER = 100
@@ -43,24 +47,6 @@ _RNG = np.random.default_rng(20240)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[[ord(c) for c in SPACE_CHARS]] = 0
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
-    return x ^ (x >> np.uint64(33))
 
 
 def gram_hashes(text: bytes | None, n: int = 4) -> np.ndarray:
@@ -73,14 +59,14 @@ def gram_hashes(text: bytes | None, n: int = 4) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _grow(len(x) + 1)
+    power, inverse = powers(len(x) + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)])
-    w = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    w = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     k = min(n, len(w))
     total = np.full(len(w) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         total += w[i : len(w) - k + 1 + i] * _PLACE[i]
-    return np.unique(_mix(total))
+    return np.unique(mix64(total))
 
 
 def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -89,25 +75,36 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+_LOW = np.uint64((1 << 48) - 1)
+
+
 class Order:
-    """The global order of grams: those that a sample doesn't find often by hash, then the frequent ones, rarer first.
+    """The global order of grams: those of which the sketch counts no more than most others by hash, then the frequent ones,
+    rarer first. The sketch never counts too few documents."""
 
-    salts: the number of tasks that the members of a frequent prefix gram are dealt to."""
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.hot = counts, HOT
+        self.mean = float(counts.mean())
+        self.limit = self.mean + DEVIATIONS * max(1.0, float(np.sqrt(self.mean)))
 
-    def __init__(self, frequent: dict[int, int], scale: float = 1.0):
-        by_hash = sorted(frequent)
-        self.frequent = np.array(by_hash, dtype=np.uint64)
-        self.count = np.array([frequent[h] for h in by_hash], dtype=np.int64)
-        self.salts = np.ceil(self.count * scale / HOT).astype(np.uint64)
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return self.counts[(mix64(h & _LOW) % np.uint64(len(self.counts))).astype(np.int64)]
+
+    def frequent(self, h: np.ndarray) -> np.ndarray:
+        return self.count(h) > self.limit
+
+    def salts(self, h: np.ndarray) -> np.ndarray:
+        """To how many tasks the members of a frequent prefix gram are dealt."""
+        return np.maximum(1, np.ceil((self.count(h) - self.mean) / self.hot)).astype(np.uint64)
 
     def sort(self, h: np.ndarray) -> tuple[np.ndarray, int]:
         """The grams in order, and how many of them aren't frequent."""
-        often = _in(h, self.frequent)
+        c = self.count(h)
+        often = c > self.limit
         if not often.any():
             return h, len(h)
         some = h[often]
-        rank = np.argsort(self.count[np.searchsorted(self.frequent, some)], kind="stable")
-        return np.concatenate([h[~often], some[rank]]), int((~often).sum())
+        return np.concatenate([h[~often], some[np.argsort(c[often], kind="stable")]]), int((~often).sum())
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -118,26 +115,46 @@ def _texts(b: pa.RecordBatch, k: int) -> Iterator[bytes | None]:
     return (x.as_py() for x in b.column(k).cast(pa.large_binary()))
 
 
-def _frequent(docs: DataFrame, n: int, sample: int, most: int) -> Order:
-    """Grams of at least 1 in 500 of about `sample` documents, at most `most`. Any order is right; this one is fast."""
-    scale, rows = 1 << 20, docs.count()
-    share = max(1, int(scale * min(1.0, sample / max(1, rows))))
+def _order(docs: DataFrame, n: int) -> Order:
+    """The order that a sketch of all documents gives: each gram of a document adds one to one of COUNTERS counters."""
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [gram_hashes(t, n) for t in _texts(b, 0)]
-            h, c = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, size = np.zeros(COUNTERS, dtype=np.int64), [], 0
 
-    some = docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(scale)) < share).select("text")
-    found = some.mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, sample // 500)).orderBy(F.desc("n"), "h").limit(most).collect()
-    return Order({r["h"] % (1 << 64): r["n"] for r in found}, scale / share)
+        def add() -> None:
+            if waiting:
+                total[:] += np.bincount((mix64(np.concatenate(waiting) & _LOW) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                waiting.clear()
+
+        for b in batches:
+            for t in _texts(b, 0):
+                h = gram_hashes(t, n)
+                waiting.append(h)
+                size += len(h)
+                if size > 2 * COUNTERS:
+                    add()
+                    size = 0
+        add()
+        rows = [x.astype("<u4").tobytes() for x in total.reshape(-1, ROW)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["row", "counts"])
+
+    def add_up(key: tuple, t: pa.Table) -> pa.Table:
+        total = np.zeros(ROW, dtype=np.int64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(x, "<u4")
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(add_up, "row int, counts binary").collect()  # COUNTERS numbers
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for r in found:
+        counts[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
+    return Order(counts)
 
 
 def _sketch(h: np.ndarray, fine: int = 2) -> bytes:
     """A bitmap of at least `fine` bits a gram: each bit tells whether an odd number of grams falls on it."""
     bits = max(64, 1 << (fine * len(h) - 1).bit_length())
-    at = (_mix(h + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
+    at = (mix64(h + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -176,10 +193,6 @@ def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
     """Prefix grams with their documents, packed by bucket: (bucket, members). Those of hot grams are salted by document."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = order.value.salts > 1
-        low = order.value.frequent[hot] & np.uint64((1 << 48) - 1)
-        line = np.argsort(low)
-        names, salts = low[line], order.value.salts[hot][line]
         for whole in batches:
             for start in range(0, whole.num_rows, 5000):
                 b = whole.slice(start, 5000)
@@ -194,10 +207,11 @@ def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
                     parts.append(m)
                 every = np.concatenate(parts) if parts else np.zeros(0, dtype=_MEMBER)
                 spread = every["gram"].copy()
-                salted = _in(spread, names)
+                salts = order.value.salts(spread)
+                salted = salts > 1
                 if salted.any():
-                    spread[salted] += np.uint64(1 << 50) * (1 + _mix(every["doc"][salted].view(np.uint64)) % salts[np.searchsorted(names, spread[salted])])
-                to = (_mix(spread) % np.uint64(buckets)).astype(np.int64)
+                    spread[salted] += np.uint64(1 << 50) * (np.uint64(1) + mix64(every["doc"][salted].view(np.uint64)) % salts[salted])
+                to = (mix64(spread) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[by])) + 1
                 groups = np.split(by, cuts) if len(by) else []
@@ -208,7 +222,6 @@ def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
 
 def _candidates(percent: int, order):
     def find(key: tuple, t: pa.Table) -> pa.Table:
-        salted = np.sort(order.value.frequent[order.value.salts > 1] & np.uint64((1 << 48) - 1))
         m = np.frombuffer(b"".join(t.column("members").to_pylist()), dtype=_MEMBER)
         m = m[np.lexsort([m["doc"], m["gram"]])]
         starts = np.flatnonzero(np.concatenate([[True], m["gram"][1:] != m["gram"][:-1]])) if len(m) else np.zeros(0, int)
@@ -231,7 +244,8 @@ def _candidates(percent: int, order):
             early = (1 + np.minimum(na - a["at"] - 1, nb - b["at"] - 1)) * (100 + percent) >= percent * (na + nb)
             return np.stack([np.minimum(a["doc"], b["doc"]), np.maximum(a["doc"], b["doc"]), early, 1 + np.minimum(na, nb) // FURTHER], 1)
 
-        large = (counts > 16) | _in(m["gram"][starts], salted)
+        salted, often = order.value.salts(m["gram"][starts]) > 1, order.value.frequent(m["gram"][starts])
+        large = (counts > 16) | salted
         for size in np.unique(counts[(counts > 1) & ~large]):
             at = starts[(counts == size) & ~large]
             for i in range(size):
@@ -239,9 +253,10 @@ def _candidates(percent: int, order):
                     a, b = m[at + i], m[at + j]
                     ok = fits(a, b)
                     pairs.append(listed(a[ok], b[ok]))
-        for s, size in zip(starts[large], counts[large], strict=True):
+        for s, size, split, frequent in zip(starts[large], counts[large], salted[large], often[large], strict=True):
             g = m[s : s + size]
-            dense = size > LARGE or bool(_in(g["gram"][:1], salted)[0])
+            most = DENSE * size if frequent and size > 4 * DENSE else size * size
+            dense = split or frequent and size > LARGE
             if not dense:
                 some, seen, found = [], np.zeros(size, dtype=bool), 0
                 for e in np.array_split(np.arange(size), size // 256 + 1):
@@ -250,9 +265,9 @@ def _candidates(percent: int, order):
                     i, j = i[i < j], j[i < j]
                     seen[i] = seen[j] = True
                     found += len(i)
-                    if found <= DENSE * size:
+                    if found <= most:
                         some.append(listed(g[i], g[j]))
-                if found <= DENSE * size:
+                if found <= most:
                     pairs += some
                     continue
                 g = g[seen]
@@ -393,7 +408,7 @@ def _fragment_counts(grams: np.ndarray, who: np.ndarray, m: int) -> np.ndarray:
         return out
     # a gram's documents as one hash
     edge = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-    pattern = np.add.reduceat(_mix(w.astype(np.uint64) + np.uint64(12345)), edge)
+    pattern = np.add.reduceat(mix64(w.astype(np.uint64) + np.uint64(12345)), edge)
     _, one, times = np.unique(pattern, return_index=True, return_counts=True)
     ends = np.append(edge[1:], len(w))
     for at in range(0, len(one), 4096):
@@ -525,18 +540,17 @@ def _open_blocks(placed: DataFrame) -> DataFrame:
     return named(0, "l", "r").unionByName(named(1, "r", "l"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, members_per_bucket: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", members_per_bucket: int = 1_000_000) -> DataFrame:
     """doc_id, n_grams (distinct) and component_id (smallest id reachable over links) of every row of docs.
 
     Two documents link when 100 * common >= percent * all distinct grams. Null, empty and blank texts have no grams and
     no links. A null id has no component. Rows that repeat an id are one document; if their texts differ, the links of
     the one with the smallest digest stand for it. An empty table gives an empty result; only id and text are read.
-    `sample` documents only tell which grams are frequent, for speed and for salting. A task gets about members_per_bucket
-    prefix grams, 40 bytes each, a large block up to GRAMS grams, 8 bytes each.
+    A task gets about members_per_bucket prefix grams, 40 bytes each, a large block up to GRAMS grams, 8 bytes each.
     """
     spark = docs.sparkSession
     docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(_frequent(docs, n, sample, 50_000))  # at most 50,000 grams
+    order = spark.sparkContext.broadcast(_order(docs, n))  # COUNTERS numbers
     table = cut(_prefixes(docs, order, n, percent), "prefixes")
     firsts = cut(table.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = firsts.groupBy("rep").agg(F.min("digest").alias("digest")).withColumnRenamed("rep", "doc_id")

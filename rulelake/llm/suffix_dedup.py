@@ -20,45 +20,29 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut
+from .common import col, cut, mix64, powers, sized
 
 GRAM = 32
 _RNG = np.random.default_rng(811)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 #: A run of strings: its place, and where its anchor is.
-_RUN = np.dtype([("gram", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("more", "u1"), ("at", "u1")])
+_RUN = np.dtype([("gram", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("more", "u2"), ("at", "u2")])
 _CUT = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _NO_ID = 2**63 - 1
+#: Contexts of an anchor that may meet in one task.
+HOT = 20_000
 PACKED = "kind int, bucket long, data binary"
 RUNS, CUTS, READS = 0, 1, 2
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
-    return x ^ (x >> np.uint64(33))
-
-
 def runs(text: bytes, doc: int, width: int = 100) -> np.ndarray:
     """The runs of a text: consecutive strings of `width` bytes with the same anchor."""
     n = len(text)
     if n < width:
         return np.zeros(0, dtype=_RUN)
-    power, inverse = _grow(n + 1)
+    power, inverse = powers(n + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * power[:n], dtype=np.uint64)])
-    h = _mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
+    h = mix64((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
     span, best = 1, np.arange(len(h), dtype=np.int32)
     while span < width - GRAM + 1:  # smallest hash of each window, by doubling; the leftmost of equal ones
         step = min(span, width - GRAM + 1 - span)
@@ -70,12 +54,12 @@ def runs(text: bytes, doc: int, width: int = 100) -> np.ndarray:
     out = np.zeros(len(first), dtype=_RUN)
     out["gram"], out["doc"], out["crc"], out["lo"] = h[best[first]], doc, zlib.crc32(text), first
     out["more"], out["at"] = last - first, best[first] - first
-    out["print"] = _mix((sums[last + width] - sums[first]) * inverse[first] + (out["more"].astype(np.uint64) << np.uint64(8)) + out["at"])
+    out["print"] = mix64((sums[last + width] - sums[first]) * inverse[first] + (out["more"].astype(np.uint64) << np.uint64(8)) + out["at"])
     return out
 
 
 def _packed(kind: int, rows: np.ndarray, by: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    to = (_mix(by.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    to = (mix64(by.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     line = np.argsort(to, kind="stable")
     groups = np.split(line, np.flatnonzero(np.diff(to[line])) + 1) if len(line) else []
     return [(kind, int(to[g[0]]), rows[g].tobytes()) for g in groups]
@@ -154,13 +138,26 @@ def maximal_repeats(contexts: list[bytes], width: int = 100) -> Iterator[tuple[i
                 stack.append((now, left))
 
 
+def _by_side(contexts: DataFrame, width: int) -> DataFrame:
+    """Contexts of an anchor that very many share, with a key: by the bytes after it, and again by those before it.
+
+    A string of `width` bytes has half of what is left of it beside the anchor, or more, on one side; so equal strings have
+    an equal key there. The number of bytes compared is half the width without the anchor."""
+    half = (width - GRAM + 1) // 2
+    after = contexts.filter(F.length("context") >= F.col("at") + GRAM + half).withColumn("key", F.xxhash64("gram", F.lit(1), F.expr(f"substring(context, cast(at as int) + {GRAM + 1}, {half})")))
+    before = contexts.filter(F.col("at") >= half).withColumn("key", F.xxhash64("gram", F.lit(0), F.expr(f"substring(context, cast(at as int) - {half - 1}, {half})")))
+    return after.unionByName(before)
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end pairs) of every row of docs.
 
     Null and empty texts have no bytes. Rows that repeat an id and a text are one document, each row with its result;
     rows that repeat an id with another text are documents of their own, in the order of the text's crc32. Null ids come
-    last. An empty table gives an empty result; only id and text are read.
+    last. An empty table gives an empty result; only id and text are read. width lies between 33 and 60,000; others are an error.
     """
+    if not GRAM < width <= 60_000:
+        raise ValueError(f"width lies between {GRAM + 1} and 60000, not at {width}")
     docs = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(6, int(-(-total // bucket_bytes)))
@@ -189,7 +186,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 ids = np.array([_NO_ID if d is None else d for d in b.column(0).to_pylist()], dtype=np.int64)
-                to = (_mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                to = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(to), b.column(0), pa.array([z.compress(t.as_py()) for t in b.column(1).cast(pa.large_binary())], pa.binary())], names=["bucket", "doc_id", "z"])
 
     def texts(t: pa.Table) -> Iterator[tuple[int | None, bytes]]:
@@ -208,9 +205,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             if d in have and (some := at.pop((d, zlib.crc32(text)), None)) is not None:
                 for x in some:
                     lo = int(x["lo"])
-                    out.append((int(x["gram"] >> np.uint64(1)), d, int(x["crc"]), lo, text[lo : lo + int(x["more"]) + width]))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({k: pa.array(c, pa.binary() if k == "context" else pa.int64()) for k, c in zip(("gram", "doc", "crc", "lo", "context"), cols, strict=True)})
+                    out.append((int(x["gram"] >> np.uint64(1)), d, int(x["crc"]), lo, int(x["at"]), text[lo : lo + int(x["more"]) + width]))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.table({k: pa.array(c, pa.binary() if k == "context" else pa.int64()) for k, c in zip(("gram", "doc", "crc", "lo", "at", "context"), cols, strict=True)})
 
     def repeats(key: tuple, t: pa.Table) -> pa.Table:
         doc, crc, lo = (t.column(k).to_numpy() for k in ("doc", "crc", "lo"))
@@ -255,10 +252,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     dealt = cut(docs.mapInArrow(anchors, PACKED), "runs")
     met = cut(dealt.filter(f"kind = {RUNS}").groupBy("bucket").applyInArrow(meet, PACKED), "met")
     bodies = docs.mapInArrow(squeezed, "bucket long, doc_id long, z binary")
-    contexts = bodies.groupBy("bucket").cogroup(met.filter(f"kind = {READS}").groupBy("bucket")).applyInArrow(read, "gram long, doc long, crc long, lo long, context binary")
+    contexts = bodies.groupBy("bucket").cogroup(met.filter(f"kind = {READS}").groupBy("bucket")).applyInArrow(read, "gram long, doc long, crc long, lo long, at long, context binary")
     contexts = cut(contexts, "contexts")
     size = contexts.agg(F.sum(F.length("context"))).first()[0] or 0
     parts = max(6, int(-(-size // (1 << 20))))
-    inner = contexts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts))).groupBy("part").applyInArrow(repeats, PACKED)
+    hot = sized(contexts.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"))
+    rest = contexts.join(hot, "gram", "left_anti").withColumn("key", F.xxhash64("gram"))
+    inner = rest.unionByName(_by_side(contexts.join(hot, "gram", "left_semi"), width)).withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(repeats, PACKED)
     cuts = dealt.filter(f"kind = {CUTS}").unionByName(met.filter(f"kind = {CUTS}")).unionByName(inner)
     return bodies.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
