@@ -8,8 +8,8 @@ packs many sequences. Pieces then find their place by their rank among those of
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -24,12 +24,15 @@ ROOM = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoder: dict[str, tuple] = {}
-#: Words remembered per worker, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 64
+#: Parts remembered per worker, and the longest of them in bytes.
+REMEMBERED, LONGEST = 1_000_000, 64
 #: A-Z in lower case, as the tokenizer has them, and a blank for a line end.
-#: Between a letter and a full stop or comma before a blank, tokens always end.
-_STOP = re.compile(rb"([a-z]|\xc3[\xa0-\xb6\xb8-\xbf])([.,]) ")
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: What may follow a letter at a part's end, as a token of its own, and the letters before it.
+_STOPS = (b".", b",")
+_LETTERS = frozenset(range(97, 123))
+#: What a tokenizer must say of white space and words for parts to be encoded one by one.
+SPACES, WORDS = r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -38,6 +41,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _by_parts(path: str) -> bool:
+    """Whether this tokenizer lower-cases, drops white space and splits as `encode` supposes; others are given whole texts."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (told.get("normalizer") or {}).get("normalizers", ())]
+    cuts = [(p["type"], p.get("pattern", {}).get("Regex"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space")) for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", ())]
+    return steps == [("NFC", None), ("Replace", SPACES), ("Lowercase", None)] and cuts == [("Split", WORDS, "Removed", True, None), ("ByteLevel", None, None, None, False)]
+
+
 def _tokenizer(path: str) -> tuple:
     if path not in _encoder:
         import os
@@ -47,35 +61,49 @@ def _tokenizer(path: str) -> tuple:
 
         t = Tokenizer.from_file(path)
         added = [a.content.encode().translate(_LOWER) for a in t.get_added_tokens_decoder().values()]
-        _encoder[path] = (t, {}, added)
+        _encoder[path] = (t, {}, added, _by_parts(path))
     return _encoder[path]
 
 
+def _ids(t, texts: list[str]) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, little-endian unsigned 32-bit.
 
-    This tokenizer drops white space and never joins what it separates, so that a text's ids are those of its parts
-    between blanks, one after the other; the ids of short parts are remembered. Texts that hold an added token, in any
-    case, are encoded whole."""
-    t, known, added = _tokenizer(path)
+    The default tokenizer drops white space and never joins what it separates, so that a text's ids are those of its parts
+    between blanks, one after the other; the ids of short parts are remembered, without the full stop or comma after them.
+    Texts that hold an added token, in any case, and all texts of a tokenizer that says otherwise are encoded whole."""
+    t, known, added, by_parts = _tokenizer(path)
+    plain = lambda x: x.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+    if not by_parts:
+        return _ids(t, [plain(x) for x in texts])
     lowered = [x.encode("utf-8", "surrogatepass").translate(_LOWER) for x in texts]
-    whole = {k: texts[k].encode("utf-8", "surrogatepass").decode("utf-8", "replace") for k, x in enumerate(lowered) if any(a in x for a in added)}
+    whole = {k: plain(texts[k]) for k, x in enumerate(lowered) if any(a in x for a in added)}
     if whole:
-        found = t.encode_batch_fast(list(whole.values()), add_special_tokens=False)
-        ids = dict(zip(whole, (np.array(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
+        ids = dict(zip(whole, _ids(t, list(whole.values())), strict=True))
         others = iter(encode([x for k, x in enumerate(texts) if k not in whole], path))
         return [ids[k] if k in ids else next(others) for k in range(len(texts))]
-    parts = [_STOP.sub(rb"\1 \2 ", x).split(b" ") for x in lowered]
-    new = list({w for p in parts for w in p if w and w not in known})
-    once = {}
+    parts = [x.split(b" ") for x in lowered]
+    every = set().union(*parts)
+    new = every.difference(known)
+    once: dict[bytes, bytes] = {}
     if new:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list({w for p in parts for w in p if w})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, t.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                (known if len(w) <= LONGEST else once)[w] = np.array(e.ids, dtype="<u4").tobytes()
+            new = every
+        known[b""] = b""
+        ends = {w for w in new if w[-1:] in _STOPS and len(w) > 1 and w[-2] in _LETTERS}
+        bases = (new - ends) | {w[:-1] for w in ends} | set(_STOPS)
+        bases = list(bases.difference(known))
+        for i in range(0, len(bases), 20_000):
+            some = bases[i : i + 20_000]
+            for w, v in zip(some, _ids(t, [w.decode("utf-8", "replace") for w in some]), strict=True):
+                (known if len(w) <= LONGEST else once)[w] = v
+        for w in ends:
+            base = w[:-1]
+            (known if len(w) <= LONGEST else once)[w] = (known[base] if base in known else once[base]) + known[w[-1:]]
     known[b""] = b""
     if once:
         return [b"".join([known[w] if w in known else once[w] for w in p]) for p in parts]
