@@ -66,7 +66,7 @@ def _invert(knots: Column, demand: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, shapes: tuple = SHAPES, most: int = MOST, whole: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and placements (epoch, words, position) for every row of docs.
 
-    Rows without words get no placement. With whole, documents aren't cut: one is placed again where at least half of it
+    Rows without words get no placement; a source without words has a target of 0 and takes nothing. With whole, documents aren't cut: one is placed again where at least half of it
     falls within the source's target. Without, the last document of a source gives the words that are still missing, and
     the sum of a source's words is its target rounded. Null sources form one source; null texts have no words. An empty
     table gives an empty result; rows that repeat an id are placed each for itself.
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     both = both.withColumn("__epochs", F.when(per > 0, F.floor(goal / per)).otherwise(0).cast("int")).withColumn("__rest", goal - F.col("__epochs") * per - F.col("before"))
     part = F.when(F.col("__rest") * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least(F.col("__rest"), F.col("size")))
     both = both.withColumns({"__part": F.when(F.col("__epochs") < most, part).otherwise(0).cast("long"), "__knots": _shape(F.col("weight"), weights, shapes)})
-    at = lambda e: _invert(F.col("__knots"), F.least(F.lit(1.0), (e * per + F.col("before")) / F.col("target")))
+    at = lambda e: _invert(F.col("__knots"), F.least(F.lit(1.0), F.coalesce(F.try_divide(e * per + F.col("before"), F.col("target")), F.lit(1.0))))
     runs = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: F.struct(e.alias("epoch"), F.when(e < F.col("__epochs"), F.col("size")).when(e == F.col("__epochs"), F.col("__part")).otherwise(0).alias("words"), at(e).alias("position")))
     both = both.withColumn("placements", F.filter(runs, lambda r: r["words"] > 0))
     taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, r: a + r["words"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, secret_forest, sharding, sql, suffix_dedup, weak_quality
+from .common import partitions
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.schedule(mixing.mix(_documents(spark, sf_dir)))
-    words = F.coalesce(F.sum("words"), F.lit(0)).cast("long")
-    return rows.groupBy("doc_id", "size", "source_size", "target").agg(words.alias("taken"), F.count("position").alias("placements"), F.min("position").alias("first_position"))
+    rows = mixing.mix(_documents(spark, sf_dir))
+    first = F.array_min(F.transform("placements", lambda p: p["position"]))
+    rows = rows.select("doc_id", "size", "source_size", "target", "taken", F.size("placements").cast("long").alias("placements"), first.alias("first_position"))
+    # in training order
+    return rows.repartitionByRange(partitions(spark), F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

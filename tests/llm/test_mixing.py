@@ -64,3 +64,19 @@ def test_heavy_sources_come_early(spark, documents):
     early = lambda some: sum(r.words for r in rows if r.source in some and r.position < 0.5) / sum(r.words for r in rows if r.source in some)
     # areas before one half: 0.625 of 1.5 .. 0.5, 0.375 of 0.5 .. 1.5; a document counts where it starts
     assert 0.5 < early(set(names[0::3])) < 0.75 and early(light) < early(set(names[0::3]))
+
+
+def test_query_gives_a_row_for_each_document(spark, odd, none, tmp_path):
+    """The query over rows that repeat ids, a source without words, and no rows."""
+    from rulelake.llm import queries
+
+    for docs in (odd, none):
+        path = str(tmp_path / str(docs.count()))
+        docs.write.parquet(f"{path}/documents.parquet")
+        rows = queries.op2(spark, path).collect()
+        assert len(rows) == docs.count()
+        assert [r.first_position for r in rows if r.first_position is not None] == sorted(r.first_position for r in rows if r.first_position is not None)
+        sizes = Counter()
+        for r in docs.select("text", "source").collect():
+            sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert abs(sum(r.taken for r in rows) - sum(targets(dict(sizes)).values())) <= len(sizes)
