@@ -22,8 +22,8 @@ from .common import col, cut, fold
 UNKNOWN = "und"
 #: Longest piece and longest stretch of a word that is segmented as one.
 PIECE, STRETCH = 12, 24
-#: Words whose scores a Python worker keeps.
-REMEMBERED = 1_000_000
+#: Scores that a Python worker keeps: words times languages, and words at most.
+SCORES, REMEMBERED = 32_000_000, 1_000_000
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Index 0 stands for a character that the vocabulary lacks.
 _FLOOR = 1e-9
@@ -46,9 +46,12 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 def stretches(text: str) -> list[str]:
-    """Words of letters in lower case after the mark of a word start, cut after every STRETCH characters."""
-    out = []
-    for w in _WORDS.findall(text.lower()):
+    """Words of letters in lower case after the mark of a word start, cut after every STRETCH characters. What isalpha
+    denies, numerals of any script among it, is no letter and ends a word."""
+    out, found = [], _WORDS.findall(text.lower())
+    if not "".join(found).isalpha():
+        found = [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    for w in found:
         w = "▁" + w
         if len(w) <= STRETCH:
             out.append(w)
@@ -125,15 +128,16 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
     vocab, n = vocabulary(model.path), len(model.languages)
     if model.key not in _known:
         _known.clear()
-        _known[model.key] = ({}, np.zeros((REMEMBERED, n), dtype=np.float32))
+        _known[model.key] = ({}, np.zeros((max(1, min(REMEMBERED, SCORES // max(1, n))), n), dtype=np.float32))
     index, values = _known[model.key]
+    most = len(values)
     parts = [stretches(t or "") for t in texts]
-    if len(index) == REMEMBERED:
+    if len(index) == most:
         index.clear()
     new = list({w for p in parts for w in p if w not in index})
     extra = {}
     if new:
-        room = REMEMBERED - len(index)
+        room = most - len(index)
         logs = forward(new, vocab, model.p)
         start = len(index)
         values[start : start + min(room, len(new))] = logs[:room]
@@ -160,7 +164,9 @@ def train(docs: DataFrame, path: str, id_col: str, text_col: str, lang_col: str,
     a hash threshold is set from the language's count. Each job sums over whole texts on the executors; what reaches the
     driver is one number for each piece and language."""
     known = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang")).filter("lang is not null").filter(F.coalesce(fold(F.col("doc_id"), 4), F.lit(2)) != 2)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: the model would have as many probabilities for each piece")
     languages = sorted(counts)
     vocab = vocabulary(path)
     if not languages:
@@ -211,11 +217,13 @@ def train(docs: DataFrame, path: str, id_col: str, text_col: str, lang_col: str,
     return Model(languages, path, p, prior / prior.sum())
 
 
-def identify(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 2000, rounds: int = 4, most_languages: int = 200) -> DataFrame:
+def identify(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 2000, rounds: int = 4, most_languages: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred and score (posterior) of every row of docs.
 
     `und` with score 0 where the text is null or has no letter, and everywhere if no document has a language. A null id
     is held out of training. Rows that repeat an id are scored each for itself. Of docs, only id, text and (to learn) language are read.
+    Every language is learned; more than most_languages are an error, as the driver and each worker hold a probability for
+    each piece in each. Words are segmented in stretches of 24 characters, by pieces of at most 12.
     """
     path = path or default_vocabulary()
     model = docs.sparkSession.sparkContext.broadcast(train(docs, path, id_col, text_col, lang_col, most_docs, rounds, most_languages))  # vocabulary times languages

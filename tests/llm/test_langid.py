@@ -3,6 +3,8 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+
 from rulelake.llm import langid
 
 
@@ -74,3 +76,8 @@ def test_more_words_than_are_remembered(documents, monkeypatch):
     whole = langid.score(texts, model)
     langid._known.clear()
     assert some[0] == whole[0] and np.allclose(some[1], whole[1])
+
+
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ ①", "١٢٣", "12_3", "⅓x⅓"])
+def test_numerals_are_no_letters(text):
+    assert langid.stretches(text) == (["▁x"] if "x" in text else [])
