@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, free
 
 OVERHEAD = 16
 
@@ -37,14 +37,15 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_bytes: int =
 
     The bucket of a record depends on the seed, its id and its text, so a lost task is made again with the same rows.
     Null texts and ids are records like any other; rows equal in id and text share a bucket. With fewer rows than
-    shards, some shards stay empty. Columns of docs named shard, slot or position are replaced.
+    shards, some shards stay empty. Columns of docs named shard, slot or position are replaced, all others stay.
     """
     docs = docs.drop("shard", "slot", "position")
     names, schema = docs.columns, docs.schema
+    bucket = free("bucket", [*names, "shard", "slot", "position"])
     total = docs.agg(F.sum(record_size(col(text_col)))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes)) * 2
-    place = F.pmod(F.xxhash64(F.lit(seed), col(id_col), F.crc32(F.encode(col(text_col), "UTF-8"))), F.lit(buckets)).alias("__bucket")
-    counts = docs.select(place).groupBy("__bucket").agg(F.count("*").alias("__n"))
+    place = F.pmod(F.xxhash64(F.lit(seed), col(id_col), F.crc32(F.encode(col(text_col), "UTF-8"))), F.lit(buckets)).alias(bucket)
+    counts = docs.select(place.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n"))
     # the running sum over buckets, in two steps that no single task sees whole
     counts = counts.withColumn("__block", F.floor(F.col("__bucket") / 1000).cast("long"))
     blocks = counts.groupBy("__block").agg(F.sum("__n").alias("__bn"))
@@ -70,7 +71,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_bytes: int =
         return out
 
     result = T.StructType([*schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("position", T.LongType())])
-    return docs.withColumn("__bucket", place).groupBy("__bucket").cogroup(offsets.groupBy("__bucket")).applyInArrow(second, result)
+    return docs.withColumn(bucket, place).groupBy(bucket).cogroup(offsets.groupBy("__bucket")).applyInArrow(second, result)
 
 
 def hash_text(text: str | None) -> int:
