@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, fold
+from .common import col, fold
 
 FEATURES = ("log_words", "word_length", "symbols", "exclamations", "upper", "digits", "commas", "distinct", "top_word", "repeats_next", "repeated_lines", "line_words", "non_ascii", "longest_word")
 _SYMBOLS = {c: None for c in map(ord, "#*$%&|<>{}[]\\^~=+@_`")}
@@ -160,12 +160,15 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(compute, "doc_id long, x array<double>")
 
 
-def train(table: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000) -> Model:
-    """Fit on at most most_rows labelled rows outside the held-out fifth: those with the smallest hashes of their ids."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most most_rows labelled rows outside the held-out fifth: those with the smallest hashes of their ids.
+
+    Only their texts are read for it. A label that is given twice counts once; of rows that repeat an id, the smallest text."""
     known = labels.filter(col(label).isNotNull()).select(F.col("doc_id"), col(label).cast("double").alias("y")).filter(fold(F.col("doc_id"), 5) != 0)
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
-    rows = table.join(some, "doc_id").select("doc_id", "x", "y").limit(2 * most_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
+    some = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(some.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = feature_table(texts).join(F.broadcast(some), "doc_id").select("doc_id", "x", "y").collect()  # at most most_rows
+    rows.sort(key=lambda r: (r["doc_id"], r["y"]))
     return fit(np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], dtype=float))
 
 
@@ -176,22 +179,26 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     repeat an id are scored each for itself; labels that repeat one count each. Without labels every score is 0.5.
     Only id and text of docs are read.
     """
-    table = cut(feature_table(docs, id_col, text_col), "features")
-    model = train(table, labels)
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(FEATURES))
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                b = whole.slice(first, 1000)
+                s = model.score(np.array([features(t.as_py()) for t in b.column(1)], dtype=float).reshape(-1, len(FEATURES)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = table.mapInArrow(score, "doc_id long, score double, predicted int")
+    out = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold; they are scored where they are read."""
-    model = train(cut(feature_table(docs, id_col, text_col), "features"), labels)
+    """The rows of docs, all columns, whose score reaches the threshold; they are scored where they are read.
+
+    Null, empty and blank texts have the score that features of 0 get. Each of rows that repeat an id stays or goes for
+    itself, and so do rows without an id. Without labels all stay, as every score is 0.5. An empty table gives an empty one;
+    columns of any name stay as they are."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
