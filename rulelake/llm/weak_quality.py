@@ -68,11 +68,12 @@ def votes(m: DataFrame) -> DataFrame:
 Estimates = tuple[list[float], list[list[dict[int, float]]]]
 
 
-def estimate(patterns: DataFrame, rounds: int = 25, false_alarms: float = 0.004) -> Estimates:
+def estimate(patterns: DataFrame, rounds: int = 25, false_alarms: float = 0.004, own: float = 0.97, weight: float = 1.0) -> Estimates:
     """Shares of the kinds and P(vote | kind, not abstaining) of each rule, from patterns(v_..., n): at most 3 ** rules rows.
 
-    A rule condemns most documents of its own kind, and of the good ones the share false_alarms: a lone vote against
-    counts for little where what the rule finds is mostly found by others as well. Abstaining says nothing."""
+    What is known beforehand counts as pseudo-documents: good ones, `weight` times as many as there are votes, of which a
+    rule condemns the share false_alarms; and of a rule's own kind a tenth as many, of which it condemns the share `own`. All
+    other rates, and these as far as the data move them, are estimated. Abstaining says nothing."""
     rows = [([r[f"v_{k}"] for k in RULES], r["n"]) for r in patterns.collect()]
     kinds = len(RULES) + 1
     total = sum(n for _, n in rows)
@@ -88,8 +89,8 @@ def estimate(patterns: DataFrame, rounds: int = 25, false_alarms: float = 0.004)
             shares[y] = (weight + 0.1) / (total + 0.1 * kinds)
             for j in range(len(RULES)):
                 c = {x: sum(p[y] * n for p, (v, n) in zip(post, rows, strict=True) if v[j] == x) + 0.1 for x in (1, -1)}
-                condemns = c[-1] / (c[1] + c[-1])
-                condemns = false_alarms if y == 0 else max(0.9, min(0.999, condemns)) if j == y - 1 else condemns
+                size, mean = (weight * total, false_alarms) if y == 0 else (weight * total / 10, own) if j == y - 1 else (0.0, 0.0)
+                condemns = (c[-1] + size * mean) / (c[1] + c[-1] + size)
                 t = {1: 1 - condemns, 0: 1.0, -1: condemns}
                 tables[y][j] = t
         for i, (v, _) in enumerate(rows):
