@@ -24,9 +24,11 @@ def alive(entries: DataFrame, replaces: str | None = None) -> DataFrame:
 
 
 def union(entries: DataFrame, replaces: str | None = None) -> DataFrame:
-    """values: distinct, in the order of their first layer; provenance: the layers that contributed, lowest first."""
+    """values: distinct, in the order of their first layer and, within it, of `idx` if entries have one; provenance: the layers
+    that contributed, lowest first."""
     live = alive(entries, replaces)
-    first = live.groupBy(*KEY, "value").agg(F.min("pos").alias("p"))
+    place = F.struct("pos", "idx") if "idx" in entries.columns else F.col("pos")
+    first = live.groupBy(*KEY, "value").agg(F.min(place).alias("p"))
     values = first.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda x: x["value"]).alias("values"))
     seen = live.groupBy(*KEY, "layer").agg(F.min("pos").alias("p")).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "layer"))), lambda x: x["layer"]).alias("provenance"))
     return values.join(seen, KEY)
@@ -49,12 +51,6 @@ def no_op_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("__b", below).filter("__b is not null and not __b.tombstone and not tombstone and value = __b.value").drop("__b")
 
 
-def callsite_ids(sites: DataFrame, basis: list[str], order: list[str], length: int = 8) -> DataFrame:
-    """callsite_id: the basis hashed with the ordinal among equal bases."""
-    ordinal = F.row_number().over(W.partitionBy(*basis).orderBy(*order)) - 1
-    return sites.withColumn("ordinal", ordinal).withColumn("callsite_id", F.concat_ws(":", F.col(basis[0]), F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(b).cast("string") for b in basis], F.col("ordinal").cast("string")), 256), 1, length)))
-
-
 def resolution(sites: DataFrame, by: list[str]) -> DataFrame:
     """full, none or partial, over the statuses of callsites."""
     s = F.col("status")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import callgraph, catalog, conditions, depgraph, hierarchy, layers, memory
+from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules
+from ..operators import resolution as inference
+from ..runtime import cut
 from ..sources.star import CTE, Star
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +59,8 @@ def descendant_order(s: Star) -> DataFrame:
 
 
 def _graph(s: Star) -> tuple[DataFrame, DataFrame]:
-    return s.usage(), hierarchy.reflexive(s.ancestors(), s.types())
+    """usage, written once as several parts of a plan read it, and each type with its ancestors."""
+    return cut(s.usage(), "usage"), hierarchy.reflexive(s.ancestors(), s.types())
 
 
 @query("SELECT * FROM edges")
@@ -152,12 +155,81 @@ def node_parents(s: Star) -> DataFrame:
     return callgraph.parents(nodes).select("id", text("parents").alias("parents"))
 
 
-@query(f"WITH {_PLACES} SELECT a.caller AS start, d.callee AS node, a.caller || ',' || b.caller || ',' || c.caller || ',' || d.callee AS path FROM places a JOIN places b ON a.callee = b.caller JOIN places c ON b.callee = c.caller JOIN (SELECT caller, callee FROM places) d ON d.caller = c.caller AND d.callee = c.callee WHERE a.caller LIKE 'r%' AND d.callee LIKE 'o%'", cte=False)
+@query(f"WITH RECURSIVE {_PLACES}, t AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 'r' || r_regionkey AS path FROM region UNION ALL SELECT t.start, p.callee, t.path || ',' || p.callee FROM t JOIN places p ON t.node = p.caller) SELECT * FROM t", cte=False)
 def shortest_paths(s: Star) -> DataFrame:
     starts = s.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
     return callgraph.shortest_paths(_places(s), starts).select("start", "node", text("path").alias("path"))
 
 
+@query("SELECT * FROM calls")
+def call_graph(s: Star) -> DataFrame:
+    split = lambda c: F.substring(c, 2, 9)
+    usages = s.calls().select(F.lit(None).cast("string").alias("from"), F.col("caller").alias("from_var"), F.lit(None).cast("string").alias("to"), F.concat(F.lit("f"), split("callee")).alias("name"))
+    return callgraph.calls(usages)
+
+
+# 49 calls deep: the numbers of a group, in order
+@query("SELECT 'f' || lpad(a.p_partkey::VARCHAR, 9, '0') AS caller, 'f' || lpad(b.p_partkey::VARCHAR, 9, '0') AS callee FROM part a JOIN part b ON a.p_partkey // 50 = b.p_partkey // 50 AND a.p_partkey < b.p_partkey", cte=False)
+def reachability(s: Star) -> DataFrame:
+    return callgraph.reachable(s.calls())
+
+
+# as many single steps as sevens leave over come first: of the shortest paths, theirs have the smallest names
+@query("SELECT 'f' || lpad(a.p_partkey::VARCHAR, 9, '0') AS start, 'f' || lpad(b.p_partkey::VARCHAR, 9, '0') AS node, array_to_string(list_transform(range(0, (d // 7 + d % 7 + 1)::BIGINT), lambda i: 'f' || lpad((a.p_partkey + CASE WHEN i <= d % 7 THEN i ELSE d % 7 + 7 * (i - d % 7) END)::VARCHAR, 9, '0')), ',') AS path FROM part a JOIN (SELECT p_partkey, p_partkey % 50 AS d FROM part) b ON b.p_partkey // 50 = a.p_partkey // 50 WHERE a.p_partkey % 50 = 0", cte=False)
+def shortest_call_paths(s: Star) -> DataFrame:
+    starts = s.calls().select(F.col("caller").alias("start")).distinct().filter("cast(substring(start, 2) as bigint) % 50 = 0")
+    single = s.table("part").filter("p_partkey % 50 = 0").select(F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("start"))
+    return callgraph.shortest_paths(s.calls(), starts.unionByName(single).distinct()).select("start", "node", text("path").alias("path"))
+
+
+@query("SELECT 'f' || lpad((p_partkey - p_partkey % 50)::VARCHAR, 9, '0') AS start, count(*) AS n FROM part WHERE p_partkey % 50 > 0 GROUP BY 1", cte=False)
+def node_summary(s: Star) -> DataFrame:
+    near = callgraph.boundary_paths(callgraph.shortest_paths(s.calls(), s.calls().select(F.col("caller").alias("start")).filter("cast(substring(start, 2) as bigint) % 50 = 0").distinct()))
+    return near.groupBy("start").agg(F.count("*").alias("n"))
+
+
+@query("SELECT inserter, type, at.f AS filename, at.r AS row, at.c AS col FROM (SELECT 'rule/' || l_suppkey AS inserter, CASE l_returnflag WHEN 'A' THEN 'Asked' ELSE 'Returned' END AS type, min(struct_pack(f := l_linestatus, r := l_orderkey, c := l_linenumber)) AS at FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)", cte=False)
+def earliest_ctor(s: Star) -> DataFrame:
+    i = s.table("lineitem")
+    rule, node = F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")), F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    usages = i.select(node.alias("caller"), F.lit("app").alias("to"), F.concat(F.when(F.col("l_linenumber") % 2 == 0, "->").otherwise("map->"), F.col("l_returnflag")).alias("name"), F.col("l_linestatus").alias("filename"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"))
+    types = s.spark.createDataFrame([("app", "A", "Asked"), ("app", "R", "Returned")], "ns string, name string, type string")
+    return callgraph.earliest_usages(i.select(rule.alias("inserter"), node.alias("node")).distinct(), usages, types).select("inserter", "type", "usage.filename", "usage.row", "usage.col")
+
+
+_SPANS = "spans AS (SELECT event_id, user_id, event_id // 10 AS row, event_id % 10 AS col, (event_id + 2000 + user_id) // 10 AS end_row, (event_id + 2000 + user_id) % 10 AS end_col FROM events WHERE event_type = 'purchase'), places AS (SELECT event_id, user_id, event_id // 10 AS row, event_id % 10 AS col FROM events WHERE event_type = 'click'), inside AS (SELECT s.event_id AS outer_id, p.event_id AS inner_id FROM spans s JOIN places p USING (user_id) WHERE (s.row, s.col) <= (p.row, p.col) AND (p.row, p.col) <= (s.end_row, s.end_col))"
+
+
+def _spans(s: Star) -> tuple[DataFrame, DataFrame]:
+    e, end = s.table("events"), F.col("event_id") + 2000 + F.col("user_id")
+    at = lambda c: ((c / 10).cast("long").cast("int"), (c % 10).cast("int"))
+    spans = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("outer_id"), F.col("user_id").cast("string").alias("filename"), *[c.alias(n) for c, n in zip((*at(F.col("event_id")), *at(end)), ("row", "col", "end_row", "end_col"), strict=True)])
+    places = e.filter("event_type = 'click'").select(F.col("event_id").alias("inner_id"), F.col("user_id").cast("string").alias("filename"), *[c.alias(n) for c, n in zip(at(F.col("event_id")), ("i_row", "i_col"), strict=True)])
+    return spans, places
+
+
+@query(f"WITH {_SPANS} SELECT * FROM inside", cte=False)
+def span_containment(s: Star) -> DataFrame:
+    return inference.encloses(*_spans(s)).select("outer_id", "inner_id")
+
+
+@query(f"WITH {_SPANS} SELECT inner_id, min(outer_id) AS owner FROM inside GROUP BY 1", cte=False)
+def owning_arg(s: Star) -> DataFrame:
+    spans, places = _spans(s)
+    args = spans.select(F.lit("f").alias("caller"), F.lit(False).alias("alias"), F.col("outer_id").alias("usage_id"), F.lit(0).alias("idx"), "filename", "row", "col", "end_row", "end_col", F.lit(None).cast("int").alias("init_row"), F.lit(None).cast("int").alias("init_col"))
+    ctors = places.select(F.lit("f").alias("inserter"), F.col("inner_id").alias("ctor_id"), "filename", F.col("i_row").alias("row"), F.col("i_col").alias("col"))
+    none = s.spark.createDataFrame([], "caller string, callee string, filename string, row int, col int"), s.spark.createDataFrame([], "inserter string, ctor_id long, link string")
+    return inference.owners(args, ctors, *none).select(F.col("ctor_id").alias("inner_id"), F.col("usage_id").alias("owner"))
+
+
+@query("SELECT DISTINCT 'rule/' || l_suppkey AS caller FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'A' AND l_linenumber = 1 UNION SELECT DISTINCT 'rule/' || l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R' AND l_linenumber = 7", cte=False)
+def handled_args(s: Star) -> DataFrame:
+    i = s.table("lineitem").filter("l_quantity >= 50").select(F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("l_orderkey").alias("usage_id"), F.col("l_linenumber").alias("idx"), "l_returnflag", "l_partkey")
+    # a part tells the lines of an order apart
+    some = lambda cond: i.filter(cond).select("caller", F.concat(F.col("usage_id").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("caller")).alias("usage_id"), "idx")
+    return inference.handled(some("true"), some("l_returnflag = 'A' and idx = 1"), some("l_returnflag = 'R' and idx = 7"))
+
+
 @query("SELECT event_id AS uid, event_type AS type, row_number() OVER (ORDER BY o, event_type, canon, event_id) AS fact_id FROM (SELECT event_id, event_type, coalesce(props, '') AS canon, min(event_id) OVER (PARTITION BY event_type) AS o FROM events)", cte=False)
 def fact_ids(s: Star) -> DataFrame:
     e = s.table("events").select(F.col("event_id").alias("uid"), F.col("event_type").alias("type"), F.coalesce("props", F.lit("")).alias("canon"))
@@ -176,7 +248,7 @@ def fact_origin(s: Star) -> DataFrame:
     return memory.gathered(rows, "uid", "prod", "inserted_from").select("uid", text("inserted_from").alias("inserted_from"))
 
 
-@query("SELECT o_orderpriority AS type, coalesce('rule/' || s, 'Root Facts (External)') AS role, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem WHERE l_quantity >= 49) ON l_orderkey = o_orderkey GROUP BY ALL", cte=False)
+@query("SELECT o_orderpriority AS type, coalesce('rule/' || s, 'Root Facts (External)') AS role, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL", cte=False)
 def role_groups(s: Star) -> DataFrame:
     facts = s.table("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("type"))
     roles = s.table("lineitem").select(F.col("l_orderkey").alias("uid"), F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"))
@@ -221,25 +293,117 @@ def lint_no_op(s: Star) -> DataFrame:
     return layers.no_op_entries(s.entries()).select("rule", "key", "pos")
 
 
-@query("SELECT event_id, event_type || ':' || substr(sha256(event_type || chr(31) || user_id || chr(31) || ordinal), 1, 8) AS callsite_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS ordinal FROM events)", cte=False)
+_IDS = """WITH b AS (SELECT event_id, user_id, 'app.' || event_type AS ns, CASE WHEN event_id % 3 > 0 THEN 'lib/make-' || event_type END AS ctor, props AS source FROM events),
+h AS (SELECT *, sha256('[' || ns || ' ' || coalesce(ctor, 'nil') || ' "' || replace(source, '"', '\\"') || '"]') AS h FROM b)
+SELECT event_id, user_id, ns || ':' || CASE WHEN ctor IS NULL THEN '-' ELSE split_part(ctor, '/', 2) END || ':' || substr(h, 1, 8) || ':' || (row_number() OVER (PARTITION BY user_id, ns, ctor, source ORDER BY event_id) - 1) AS callsite_id FROM h"""
+
+
+def _ids(s: Star) -> DataFrame:
+    e = s.table("events").filter("props is not null")
+    sites = e.select("event_id", "user_id", F.concat(F.lit("app."), "event_type").alias("ns"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("lib/make-"), "event_type")).alias("ctor"), F.col("props").alias("source"))
+    return callsites.assign_ids(sites, ["user_id"], ["event_id"])
+
+
+@query(f"SELECT event_id, callsite_id FROM ({_IDS} WHERE source IS NOT NULL)", cte=False)
 def callsite_ids(s: Star) -> DataFrame:
-    return layers.callsite_ids(s.table("events"), ["event_type", "user_id"], ["event_id"]).select("event_id", "callsite_id")
+    return _ids(s).select("event_id", "callsite_id")
 
 
-@query("SELECT user_id, CASE WHEN bool_and(s = 'full') THEN 'full' WHEN bool_and(s = 'none') THEN 'none' ELSE 'partial' END AS resolution, count(*) AS n FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'full' WHEN event_type = 'error' THEN 'none' ELSE 'partial' END AS s FROM events WHERE event_id % 5 = 0) GROUP BY user_id", cte=False)
+@query(f"SELECT user_id, p AS prefix, count(*) AS n FROM (SELECT user_id, regexp_replace(callsite_id, ':[^:]*$', '') AS p FROM ({_IDS} WHERE source IS NOT NULL)) GROUP BY ALL HAVING count(*) > 1", cte=False)
+def lint_ambiguous(s: Star) -> DataFrame:
+    return _ids(s).groupBy("user_id", reports.group_prefix(F.col("callsite_id")).alias("prefix")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT user_id, CASE WHEN bool_and(event_type = 'purchase') THEN 'full' WHEN bool_and(event_type = 'error') THEN 'none' ELSE 'partial' END AS resolution, count(*) AS n FROM events GROUP BY user_id", cte=False)
 def resolution(s: Star) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "full").when(F.col("event_type") == "error", "none").otherwise("partial")
     return layers.resolution(s.table("events").select("user_id", status.alias("status")), ["user_id"])
 
 
+def _merged(s: Star) -> DataFrame:
+    """Callsites of all layers, folded."""
+    rows = annotations.fold_callsites(s.sites())
+    return annotations._placed(rows.withColumn("dangling", callsites.field("source-str").isNull()))
+
+
+@query("SELECT rule, dim, callsite_id, source, status, type, from_layer, row_number() OVER (PARTITION BY rule, dim ORDER BY first) - 1 AS pos FROM sites")
+def callsite_merge(s: Star) -> DataFrame:
+    types = F.from_json(callsites.field("resolved-types"), "array<string>")
+    return _merged(s).select("rule", "dim", "callsite_id", callsites.field("source-str").alias("source"), callsites.field("status").alias("status"), types[0].alias("type"), "from_layer", F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT rule, dim, callsite_id, from_layer FROM sites WHERE source IS NULL")
+def dangling(s: Star) -> DataFrame:
+    return _merged(s).filter("dangling").select("rule", "dim", "callsite_id", "from_layer")
+
+
+@query("SELECT DISTINCT rule, dim, type FROM sites WHERE source IS NOT NULL AND type IS NOT NULL")
+def derived_types(s: Star) -> DataFrame:
+    return annotations.site_types(_merged(s)).select("rule", "dim", "type")
+
+
+@query("SELECT w.rule, w.dim, callsite_id, status, resolution FROM sites w JOIN (SELECT rule, dim, CASE WHEN bool_and(status IS NOT DISTINCT FROM 'full') THEN 'full' WHEN bool_and(status IS NOT DISTINCT FROM 'none') THEN 'none' ELSE 'partial' END AS resolution FROM sites WHERE source IS NOT NULL GROUP BY ALL) r ON r.rule = w.rule AND r.dim = w.dim WHERE source IS NOT NULL AND status IS DISTINCT FROM 'full'")
+def work_list(s: Star) -> DataFrame:
+    sites = _merged(s)
+    status = sites.groupBy("rule", "dim").agg(callsites.resolution(callsites.field("status"), ~F.col("dangling")).alias("resolution"))
+    return reports.work_list(annotations.Merged(None, None, sites, status, None)).select("rule", "dim", "callsite_id", "status", "resolution")
+
+
+@query("SELECT rule, key, string_agg(layer, ',' ORDER BY p) AS layers FROM (SELECT rule, key, layer, min(pos) AS p FROM live GROUP BY ALL) GROUP BY ALL")
+def layer_provenance(s: Star) -> DataFrame:
+    return layers.union(s.entries()).select("rule", "key", text("provenance").alias("layers"))
+
+
+@query("SELECT DISTINCT 'rule/' || l_suppkey AS rule, o_orderpriority AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND NOT EXISTS (SELECT 1 FROM lineitem d JOIN orders o ON d.l_orderkey = o.o_orderkey WHERE d.l_suppkey = lineitem.l_suppkey AND d.l_quantity <= 1 AND d.l_linenumber = 1 AND o.o_orderpriority = orders.o_orderpriority)", cte=False)
+def memory_derived_types(s: Star) -> DataFrame:
+    i = s.table("lineitem").select(F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"), F.col("l_orderkey").alias("uid"), "l_quantity", "l_linenumber")
+    facts = s.table("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("type"))
+    seen = annotations.memory_types(facts, i.filter("l_quantity >= 50"))
+    said = annotations.memory_types(facts, i.filter("l_quantity <= 1 and l_linenumber = 1"))
+    return seen.join(said, ["rule", "type"], "left_anti")
+
+
 @query("SELECT DISTINCT rule FROM entries WHERE rule NOT IN (SELECT 'rule/' || s_suppkey FROM supplier)")
 def lint_unknown(s: Star) -> DataFrame:
     return catalog.unknown(s.entries().select(F.col("rule").alias("prod")).distinct(), s.productions(), "prod").withColumnRenamed("prod", "rule")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", cte=False)
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", cte=False)
 def rule_not(s: Star) -> DataFrame:
-    return conditions.absent(s.table("customer").select("c_custkey", "c_name"), s.table("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    urgent = s.table("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return conditions.absent(s.table("customer").select("c_custkey", "c_name"), urgent, ["c_custkey"])
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", cte=False)
+def rule_hash_join(s: Star) -> DataFrame:
+    o = s.table("orders").select("o_orderkey", "o_custkey")
+    return rules.bound(o, s.table("customer").select("c_custkey", "c_name"), o_custkey="c_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = c_nationkey % 7", cte=False)
+def rule_test(s: Star) -> DataFrame:
+    o = s.table("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return conditions.both(o, s.table("customer"), ["c_custkey"], F.expr("o_orderkey % 7 = c_nationkey % 7")).select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING'", cte=False)
+def rule_query(s: Star) -> DataFrame:
+    return rules.query(lambda name: s.table(name), "customer", c_nationkey=7, c_mktsegment="BUILDING").select("c_custkey", "c_name")
+
+
+@query("WITH rich AS (SELECT DISTINCT c_custkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND o_totalprice > 300000), vip AS (SELECT DISTINCT id, n_regionkey AS region FROM rich JOIN customer ON id = c_custkey JOIN nation ON c_nationkey = n_nationkey) SELECT 'rich' AS type, id, NULL AS region FROM rich UNION ALL SELECT 'vip', id, region FROM vip UNION ALL SELECT 'plain', c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT id FROM rich)", cte=False)
+def rule_chain(s: Star) -> DataFrame:
+    """Rich customers, from them those of a region, and the rest, which a negation tells."""
+    base = rules.made(s.table("customer"), "customer", id="c_custkey", nation="c_nationkey", balance="c_acctbal").unionByName(rules.made(s.table("orders"), "order", id="o_custkey", price="o_totalprice")).unionByName(rules.made(s.table("nation"), "nation", nation="n_nationkey", region="n_regionkey"))
+    schemas = {"customer": "id long, nation int, balance double", "order": "id long, price double", "nation": "nation int, region int", "rich": "id long", "vip": "id long, region int", "plain": "id long"}
+    chain = [
+        rules.Rule("rich", ("customer", "order"), ("rich",), lambda of: rules.made(of("customer").filter("balance > 5000").drop("fact").join(of("order").filter("price > 300000").drop("fact"), "id"), "rich", id="id")),
+        rules.Rule("vip", ("rich", "customer", "nation"), ("vip",), lambda of: rules.made(of("rich").drop("fact").join(of("customer").drop("fact"), "id").join(of("nation").drop("fact"), "nation"), "vip", id="id", region="region")),
+        rules.Rule("plain", ("customer",), ("plain",), lambda of: rules.made(conditions.absent(of("customer").drop("fact"), of("rich").drop("fact"), ["id"]), "plain", id="id"), settled=("rich",)),
+    ]
+    facts, _ = rules.chain(chain, base, schemas)
+    f = F.from_json("data", "id long, region int")
+    return facts.filter("type in ('rich', 'vip', 'plain')").select("type", f["id"].alias("id"), f["region"].alias("region"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", cte=False)
@@ -265,14 +429,50 @@ def rule_accumulate(s: Star) -> DataFrame:
     return conditions.accumulate_outer(s.table("customer").select("c_custkey"), o, ["c_custkey"], {"n": 0, "most": 0.0}, n=F.count("*"), most=F.max("o_totalprice"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND contains(lower(p_name), 'part')", cte=False)
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'd r') OR contains(lower(p_type), 'd r')", cte=False)
 def nav_search(s: Star) -> DataFrame:
-    return catalog.search(s.table("part"), "p_name", "Part 1").select("p_partkey", "p_name")
+    return catalog.view(s.table("part"), ["p_name", "p_type"], F.col("p_brand"), "D R").select("p_partkey", "p_name")
 
 
-@query("SELECT split_part(p_brand, '#', 1) AS \"group\", count(*) AS n FROM part GROUP BY 1", cte=False)
+@query("SELECT p_type AS \"group\", count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1", cte=False)
 def nav_groups(s: Star) -> DataFrame:
-    return catalog.groups(s.table("part"), F.substring_index("p_brand", "#", 1))
+    return catalog.group_index(s.table("part"), F.col("p_type"), "p_partkey")
+
+
+@query(f"SELECT prod FROM productions p WHERE kind = 'rule' AND (NOT {_MAKES} OR NOT EXISTS (SELECT 1 FROM edges WHERE consumer = p.prod)) AND split_part(prod, '/', 2)::BIGINT % 10 <> 3")
+def nav_filter(s: Star) -> DataFrame:
+    usage, up = _graph(s)
+    rows = depgraph.flags(s.productions(), usage, depgraph.edges(usage, up)).filter("kind = 'rule'")
+    group = (names.local_name(F.col("prod")).cast("long") % 10).cast("string")
+    return catalog.view(rows, ["prod"], group, hidden=("3",), active=("unlinked", "source")).select("prod")
+
+
+@query("SELECT consumer AS name, count(*) AS n FROM (SELECT DISTINCT consumer, producer FROM matches WHERE ctype = (SELECT min(ctype) FROM matches)) GROUP BY 1")
+def related_refs(s: Star) -> DataFrame:
+    usage, up = _graph(s)
+    matches = cut(depgraph.edge_matches(usage, up), "matches")
+    first = matches.agg(names.route_id(F.min("ctype")).alias("t")).first()["t"]
+    p = s.productions().select(F.col("prod").alias("name"), F.lit(None).cast("string").alias("ns"), "kind")
+    return catalog.related(depgraph.dependencies(p, matches), "upstream", first or "").select("name", F.size("refs").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN ':' || p_name WHEN 2 THEN '\"' || p_name || '\\\"\"' ELSE 'symbol[' || p_name || ']' END AS type_name FROM part", cte=False)
+def type_name(s: Star) -> DataFrame:
+    k = F.col("p_size") % 4
+    kind = F.when(k == 0, "class").when(k == 1, "keyword").when(k == 2, "string").otherwise("symbol")
+    return s.table("part").select("p_partkey", names.type_name(kind, F.when(k == 2, F.concat("p_name", F.lit('"'))).otherwise(F.col("p_name"))).alias("type_name"))
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS name, regexp_replace(url, '/[^/]*$', '') AS ns FROM pages", cte=False)
+def display_names(s: Star) -> DataFrame:
+    parts = names.display_parts(F.col("url"))
+    return s.table("pages").select("page_id", parts["name"].alias("name"), parts["ns"].alias("ns"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'type,value' ELSE 'type' END AS keys FROM events", cte=False)
+def clean_map(s: Star) -> DataFrame:
+    m = F.create_map(F.lit("type"), F.col("event_type"), F.lit("value"), F.when(F.col("event_id") % 2 == 0, F.col("value").cast("string")))
+    return s.table("events").select("event_id", F.array_join(F.array_sort(F.map_keys(catalog.cleaned(m))), ",").alias("keys"))
 
 
 @query("SELECT p_partkey, CASE WHEN k = 0 THEN p_type ELSE p_type || '__dup-' || k END AS stable_key FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part)", cte=False)
@@ -282,7 +482,7 @@ def stable_keys(s: Star) -> DataFrame:
 
 @query("SELECT prod, CASE WHEN prod LIKE 'rule/%' THEN 'moved' || substr(prod, 5) ELSE prod END AS rebased FROM productions")
 def rebase_names(s: Star) -> DataFrame:
-    return catalog.rebase(s.productions().select("prod"), "prod", s.spark.createDataFrame([("rule", "moved")], "old_ns string, new_ns string"))
+    return s.productions().select("prod", rebase.qualified(F.col("prod"), {"rule": "moved"}).alias("rebased"))
 
 
 @query("SELECT prod, split_part(prod, '/', 1) AS ns, split_part(prod, '/', 2) AS name FROM productions")
@@ -294,8 +494,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every producer-to-consumer edge with its number of type pairs and the flags of its ends."""
     s = Star(spark, sf_dir)
     usage, up = _graph(s)
-    pairs = depgraph.edge_matches(usage, up).groupBy("producer", "consumer").agg(F.count("*").alias("n_pairs"), F.bool_or(F.col("via") == "retract").alias("retracts"))
-    f = depgraph.flags(s.productions(), usage, depgraph.edges(usage, up))
+    matches = cut(depgraph.edge_matches(usage, up), "matches")
+    pairs = cut(matches.groupBy("producer", "consumer").agg(F.count("*").alias("n_pairs"), F.bool_or(F.col("via") == "retract").alias("retracts")), "pairs")
+    f = depgraph.flags(s.productions(), usage, pairs.select("producer", "consumer"))
     return pairs.join(f.select(F.col("prod").alias("producer"), "source"), "producer").join(f.select(F.col("prod").alias("consumer"), "sink"), "consumer")
 
 

@@ -1,8 +1,8 @@
 """The relations of a rulebase derived from the star schema, so that every operator runs at the tables' scale.
 
-Rules are suppliers and queries are customers. Types: part <: kind (brand and size) <: brand. A supplier inserts parts it
-sells (flag N, 45 or more), retracts those returned (R, 48 or more) and reads kinds (A, 49 or more); customers read kinds
-of their orders of 50."""
+Rules are suppliers and queries are customers. Types: part <: kind (brand and size) <: brand. Of items of 50 or more, a
+supplier inserts the parts of first and second lines (flag N), retracts those of first lines (R) and reads the kinds of first
+lines (A), so that some rules do none of these; customers read kinds of the second lines of their orders (A)."""
 
 from __future__ import annotations
 
@@ -24,13 +24,13 @@ class Star:
     def usage(self) -> DataFrame:
         """prod, role, type; one scan of line items for suppliers, one for customers."""
         part = self.table("part").select("p_partkey", self.kind().alias("kind"))
-        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").join(part, F.col("l_partkey") == F.col("p_partkey"))
-        flag, q = F.col("l_returnflag"), F.col("l_quantity")
-        role = F.when((flag == "N") & (q >= 45), "insert").when((flag == "R") & (q >= 48), "retract").when((flag == "A") & (q >= 49), "consume")
+        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag").filter("l_quantity >= 50").join(part, F.col("l_partkey") == F.col("p_partkey"))
+        flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+        role = F.when((flag == "N") & (line <= 2), "insert").when((flag == "R") & (line == 1), "retract").when((flag == "A") & (line == 1), "consume")
         kind = F.when(role == "consume", F.col("kind")).otherwise(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")))
         rules = items.select(F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"), role.alias("role"), kind.alias("type")).filter("role is not null")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        reads = items.filter((q == 50) & (flag == "A")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        reads = items.filter((line == 2) & (flag == "A")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         queries = reads.select(F.concat(F.lit("query/"), F.col("o_custkey").cast("string")).alias("prod"), F.lit("consume").alias("role"), F.col("kind").alias("type"))
         return rules.unionByName(queries).distinct()
 
@@ -53,14 +53,30 @@ class Star:
         e = self.table("events")
         return e.select(F.concat(F.lit("rule/"), F.col("user_id").cast("string")).alias("rule"), F.when(F.col("event_type") == "error", "view").otherwise(F.col("event_type")).alias("key"), F.col("event_id").alias("pos"), F.concat(F.lit("layer-"), (F.col("event_id") % 7).cast("string")).alias("layer"), F.floor(F.col("value") / 10).cast("long").cast("string").alias("value"), (F.col("event_type") == "error").alias("tombstone"))
 
+    def calls(self) -> DataFrame:
+        """Parts as functions in groups of 50: each calls the next one and the seventh next, so that walks are long and meet again."""
+        p = F.col("p_partkey")
+        name = lambda c: F.concat(F.lit("f"), F.lpad(c.cast("string"), 9, "0"))
+        steps = F.filter(F.array(F.lit(1), F.lit(7)), lambda k: p % 50 + k < 50)
+        return self.table("part").select(name(p).alias("caller"), F.explode(F.transform(steps, lambda k: name(p + k))).alias("callee"))
+
+    def sites(self) -> DataFrame:
+        """Callsites: users are rules, whole values ids, event_id % 7 the layer. Lower layers know the source, all but sign-ups conclude."""
+        e = self.table("events")
+        pos, kind = F.col("event_id") % 7, F.col("event_type")
+        pairs = F.array(F.struct(F.lit("source-str").alias("k"), F.when(pos < 2, F.col("props")).alias("v")), F.struct(F.lit("status").alias("k"), F.when(kind == "purchase", "full").when(kind == "error", "none").when(kind != "signup", "partial").alias("v")), F.struct(F.lit("resolved-types").alias("k"), F.when(kind != "signup", F.concat(F.lit('["'), kind, F.lit('"]'))).alias("v")))
+        fields = F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
+        dim = F.when(F.col("event_id") % 2 == 0, "insert").otherwise("retract")
+        return e.select(F.concat(F.lit("rule/"), F.col("user_id").cast("string")).alias("rule"), dim.alias("dim"), pos.cast("int").alias("layer_pos"), F.concat(F.lit("layer-"), pos.cast("string")).alias("layer"), F.col("event_id").alias("idx"), F.floor("value").cast("long").cast("string").alias("callsite_id"), fields.alias("fields"))
+
 
 #: The same relations for DuckDB.
 CTE = """
-items AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity AS q, l_returnflag AS f, 'kind:' || p_brand || '/' || p_size AS kind FROM lineitem JOIN part ON l_partkey = p_partkey),
+items AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS n, l_returnflag AS f, 'kind:' || p_brand || '/' || p_size AS kind FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50),
 usage AS (
-  SELECT DISTINCT 'rule/' || l_suppkey AS prod, CASE WHEN f = 'N' AND q >= 45 THEN 'insert' WHEN f = 'R' AND q >= 48 THEN 'retract' ELSE 'consume' END AS role, CASE WHEN f = 'A' THEN kind ELSE 'part:' || l_partkey END AS type
-  FROM items WHERE (f = 'N' AND q >= 45) OR (f = 'R' AND q >= 48) OR (f = 'A' AND q >= 49)
-  UNION SELECT 'query/' || o_custkey, 'consume', kind FROM items JOIN orders ON l_orderkey = o_orderkey WHERE q = 50 AND f = 'A'),
+  SELECT DISTINCT 'rule/' || l_suppkey AS prod, CASE WHEN f = 'N' THEN 'insert' WHEN f = 'R' THEN 'retract' ELSE 'consume' END AS role, CASE WHEN f = 'A' THEN kind ELSE 'part:' || l_partkey END AS type
+  FROM items WHERE (f = 'N' AND n <= 2) OR (f = 'R' AND n = 1) OR (f = 'A' AND n = 1)
+  UNION SELECT 'query/' || o_custkey, 'consume', kind FROM items JOIN orders ON l_orderkey = o_orderkey WHERE n = 2 AND f = 'A'),
 ancestors AS (SELECT 'part:' || p_partkey AS type, 'kind:' || p_brand || '/' || p_size AS ancestor FROM part UNION SELECT 'part:' || p_partkey, 'brand:' || p_brand FROM part UNION SELECT 'kind:' || p_brand || '/' || p_size, 'brand:' || p_brand FROM part),
 types AS (SELECT type FROM ancestors UNION SELECT ancestor FROM ancestors),
 up AS (SELECT type, type AS up FROM types UNION SELECT type, ancestor FROM ancestors),
@@ -68,5 +84,8 @@ productions AS (SELECT 'rule/' || s_suppkey AS prod, 'rule' AS kind FROM supplie
 matches AS (SELECT m.prod AS producer, c.prod AS consumer, m.type AS ptype, c.type AS ctype, CASE WHEN m.r THEN 'retract' ELSE 'insert' END AS via FROM (SELECT prod, type, bool_or(role = 'retract') AS r FROM usage WHERE role <> 'consume' GROUP BY ALL) m JOIN up USING (type) JOIN (SELECT DISTINCT prod, type FROM usage WHERE role = 'consume') c ON c.type = up.up WHERE m.prod <> c.prod),
 edges AS (SELECT DISTINCT producer, consumer FROM matches),
 entries AS (SELECT 'rule/' || user_id AS rule, CASE WHEN event_type = 'error' THEN 'view' ELSE event_type END AS key, event_id AS pos, 'layer-' || (event_id % 7) AS layer, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS value, event_type = 'error' AS tombstone FROM events),
+raw_sites AS (SELECT 'rule/' || user_id AS rule, CASE WHEN event_id % 2 = 0 THEN 'insert' ELSE 'retract' END AS dim, event_id % 7 AS pos, 'layer-' || (event_id % 7) AS layer, (event_id % 7) * 1000000000 + event_id AS k, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS callsite_id, props, event_type AS t FROM events),
+sites AS (SELECT rule, dim, callsite_id, min(k) AS first, arg_max(props, k) FILTER (WHERE pos < 2) AS source, arg_max(CASE t WHEN 'purchase' THEN 'full' WHEN 'error' THEN 'none' ELSE 'partial' END, k) FILTER (WHERE t <> 'signup') AS status, arg_max(t, k) FILTER (WHERE t <> 'signup') AS type, coalesce(arg_max(layer, k) FILTER (WHERE t <> 'signup'), arg_min(layer, k)) AS from_layer FROM raw_sites GROUP BY ALL),
+calls AS (SELECT 'f' || lpad(p_partkey::VARCHAR, 9, '0') AS caller, 'f' || lpad((p_partkey + s)::VARCHAR, 9, '0') AS callee FROM part, (VALUES (1), (7)) v(s) WHERE p_partkey % 50 + s < 50),
 live AS (SELECT * FROM entries e WHERE NOT tombstone AND pos > coalesce((SELECT max(pos) FROM entries t WHERE t.rule = e.rule AND t.key = e.key AND t.tombstone), -1))
 """
