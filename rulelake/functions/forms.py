@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, set(")]}")
 _BLANK = set(" \t\r\n\f,")
@@ -126,24 +127,24 @@ def init_form(lines: list[str] | None, row: int | None, col: int | None) -> str
     return rest[: form_end(rest, 0)]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def read_arguments(form: pd.Series) -> pd.Series:
     """The arguments of a call; null where the text is no call."""
     return form.map(lambda f: children(f)[1:] if isinstance(f, str) and f.strip().startswith("(") else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def read_class(form: pd.Series) -> pd.Series:
     return form.map(built_class)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def read_span(lines: pd.Series, row: pd.Series, col: pd.Series, end_row: pd.Series, end_col: pd.Series) -> pd.Series:
     whole = lambda x: None if pd.isna(x) else int(x)
     return pd.Series([span(None if a is None else list(a), *map(whole, at)) for a, *at in zip(lines, row, col, end_row, end_col, strict=True)], dtype=object)
 
 
-@F.pandas_udf("struct<row:int,col:int,form:string>")
+@F.pandas_udf(T.StructType([T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("form", T.StringType())]))
 def read_init(lines: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame:
     out = []
     for a, r, c in zip(lines, row, col, strict=True):

@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 from ..runtime import ranks
@@ -21,7 +22,7 @@ UNKNOWN_TYPE = ":unknown/fact-type"
 LAST = 2**31 - 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(data: pd.Series) -> pd.Series:
     """JSON with the keys of all objects in order, so that equal values have equal texts; other texts stay."""
 

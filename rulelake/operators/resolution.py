@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import forms
 from ..runtime import cut
@@ -82,7 +83,7 @@ def traced(args: DataFrame, sources: DataFrame, locals_: DataFrame, local_usages
 def hook(f: Callable[[dict], list[str] | None]) -> Callable[[Column], Column]:
     """A caller's function over a context as a column of types. What it raises is contained: that row stays unresolved."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def call(context: pd.DataFrame) -> pd.Series:
         def one(row: dict) -> list[str] | None:
             try:
