@@ -285,6 +285,25 @@ def _candidates(percent: int, order):
     return find
 
 
+def _paired(key: tuple, t: pa.Table) -> pa.Table:
+    """The pairs (a, b) that have enough common grams in all groups together, and one early enough. All rows of an a meet."""
+    t = t.sort_by("a")
+    a = t.column("a").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
+    cols = [t.column(k).combine_chunks() for k in ("docs", "times", "early", "need")]
+    out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
+    for lo, hi in zip(first, [*first[1:], len(a)], strict=True):
+        b, times, early, need = (c.slice(lo, hi - lo).flatten().to_numpy() for c in cols)
+        by = np.argsort(b, kind="stable")
+        b, times, early, need = b[by], times[by], early[by], need[by]
+        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
+        if len(at):
+            ok = (np.add.reduceat(times, at) >= need[at]) & (np.maximum.reduceat(early, at) > 0)
+            out.append(np.stack([np.full(int(ok.sum()), a[lo]), b[at[ok]]], 1))
+    p = np.concatenate(out)
+    return pa.table({"a": p[:, 0], "b": p[:, 1]})
+
+
 def _apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """On how many bits the bitmaps of each left and right document differ; larger ones are folded to the smaller size.
 
@@ -558,8 +577,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     total = table.agg(F.sum(F.length("prefix") / 6)).first()[0] or 0
     buckets = max(1, int(-(-total // members_per_bucket))) * 3
     found = cut(_deal(reps, order, buckets).groupBy("bucket").applyInArrow(_candidates(percent, order), "kind int, a long, docs array<long>, times array<long>, early array<long>, need array<long>"), "candidates")
-    each = found.filter("kind = 0").select("a", F.explode(F.arrays_zip("docs", "times", "early", "need")).alias("x")).select("a", F.col("x.docs").alias("b"), "x.times", "x.early", "x.need")
-    pairs = cut(each.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("early").alias("early"), F.max("need").alias("need")).filter("times >= need and early = 1").select("a", "b"), "pairs")
+    listed = found.filter("kind = 0").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    pairs = cut(listed.groupBy("bucket").applyInArrow(_paired, "a long, b long"), "pairs")
     sets = table.filter("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), "digest", F.col("n_grams").alias("n"), "sketch").join(chosen.withColumnRenamed("doc_id", "doc").hint("merge"), ["doc", "digest"], "left_semi").dropDuplicates(["doc"])
     sets = cut(sets, "sets")
     likely = cut(_dealt(_by_leader(pairs), sets, 5000).groupBy("bucket").applyInArrow(_likely(percent), "a long, b long").filter("a <> b").distinct(), "likely")
