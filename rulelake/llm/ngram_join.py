@@ -258,19 +258,18 @@ def _candidates(percent: int, order):
             most = DENSE * size if frequent and size > 4 * DENSE else size * size
             dense = split or frequent and size > LARGE
             if not dense:
-                some, seen, found = [], np.zeros(size, dtype=bool), 0
+                some, found = [], 0
                 for e in np.array_split(np.arange(size), size // 256 + 1):
                     i, j = np.nonzero(fits(g[e][:, None], g[None, e[0] :]))
                     i, j = e[i], e[0] + j
                     i, j = i[i < j], j[i < j]
-                    seen[i] = seen[j] = True
                     found += len(i)
-                    if found <= most:
-                        some.append(listed(g[i], g[j]))
-                if found <= most:
+                    if found > most:
+                        break  # all members are of one cluster
+                    some.append(listed(g[i], g[j]))
+                else:
                     pairs += some
                     continue
-                g = g[seen]
             members.append((int(g["gram"][0]), np.unique(g["doc"])))
         p = np.concatenate([np.zeros((0, 4), dtype=np.int64), *pairs])
         p = p[np.lexsort([p[:, 1], p[:, 0]])]
