@@ -50,7 +50,7 @@ def route(text: Column, mapping: dict[str, str]) -> Column:
     fields = F.from_json(text, "map<string,string>")
     moved = F.transform_values(fields, lambda k, v: F.when(k.isin(*ROUTE_NAMES), qualified(v, mapping)).when(k.isin(*ROUTE_PATHS), _steps(v, mapping)).otherwise(v))
     # nested texts that are JSON stay JSON
-    pair = lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.when(e["value"].rlike(r"^[\\[{]"), e["value"]).otherwise(F.coalesce(F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2), F.lit("null"))))
+    pair = lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.when(e["value"].rlike(r"^[\[{]"), e["value"]).otherwise(F.coalesce(F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2), F.lit("null"))))
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(moved), pair), ","), F.lit("}"))
 
 

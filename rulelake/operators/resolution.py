@@ -249,8 +249,8 @@ def entries(sites: DataFrame, rules: DataFrame, layer: str = "generated", layer_
     key = lambda table: F.when(F.col("dim") == "insert", table["insert"]).otherwise(table["retract"])
     types = sites.select("rule", "dim", F.explode("types").alias("t")).distinct().groupBy("rule", "dim").agg(F.to_json(F.array_sort(F.collect_list("t"))).alias("value")).select("rule", key(A.TYPES).alias("key"), "value")
     named = F.map_concat(F.create_map(F.lit("callsite-id"), F.col("callsite_id")), "fields")
-    listed = sites.groupBy("rule", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", named.alias("s")))), lambda x: x["s"]).alias("callsites"))
-    found = listed.select("rule", key(A.DETECTIONS).alias("key"), F.to_json(F.struct("callsites")).alias("value"))
+    listed = sites.groupBy("rule", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(named).alias("s")))), lambda x: x["s"]).alias("callsites"))
+    found = listed.select("rule", key(A.DETECTIONS).alias("key"), F.concat(F.lit('{"callsites":['), F.array_join("callsites", ","), F.lit("]}")).alias("value"))
     silent = rules.select("rule").distinct().join(sites.select("rule"), "rule", "left_anti").select("rule", F.lit("no-output-types").alias("key"), F.lit("true").alias("value"))
     return A.as_layer(types.unionByName(found).unionByName(silent), layer, layer_pos)
 

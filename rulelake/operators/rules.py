@@ -35,7 +35,7 @@ def strata(rules: list[Rule]) -> list[list[Rule]]:
     """Rules in the order in which they may run. A rule that needs a settled type which rests on it is an error."""
     makers: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        for t in r.makes:
+        for t in r.makes if not r.retracts else ():
             makers.setdefault(t, []).append(i)
     level = [0] * len(rules)
     for _ in range(len(rules) + 1):
@@ -43,7 +43,7 @@ def strata(rules: list[Rule]) -> list[list[Rule]]:
         for i, r in enumerate(rules):
             needs = [level[j] for t in r.reads for j in makers.get(t, ())] + [level[j] + 1 for t in r.settled for j in makers.get(t, ())]
             # a retraction waits for whoever makes what it takes away
-            needs += [level[j] + 1 for t in r.makes for j in makers.get(t, ()) if r.retracts and not rules[j].retracts]
+            needs += [level[j] + 1 for t in r.makes for j in makers.get(t, ()) if r.retracts]
             if needs and max(needs) > level[i]:
                 level[i], moved = max(needs), True
         if not moved:

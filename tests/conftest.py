@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from rulelake.runtime import session, ship
 
-    s = session("8", 8, "8g")
+    s = session(os.environ.get("TEST_CPUS", "8"), int(os.environ.get("TEST_CPUS", "8")), "8g")
     ship(s)
     yield s
     s.stop()
