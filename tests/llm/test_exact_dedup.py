@@ -45,3 +45,13 @@ def test_filters_miss_nothing():
         assert exact_dedup.may_contain(keys[n:], *f).mean() < 0.03
         if n > 10_000:
             assert len(f[3]) < 1.3 * n
+
+
+def test_bytes_are_compared_where_the_best_row_has_no_id(spark):
+    """Both sides of a class must be read before they are called equal, whatever their ids."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "same  text here", False), (5, "same text here", True), (6, "sametexthere", True), (7, "other", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old boolean")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, in_snapshot=F.col("old")).collect()}
+    assert got == {None: (None, 3), 5: (None, 3), 6: (None, 3), 7: (7, 1)}

@@ -118,3 +118,8 @@ def test_components(spark):
     for r in got:
         assert r.label == find(r.node)
     assert {r.node for r in got} == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_a_bound_of_rounds_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"), 1)

@@ -89,3 +89,23 @@ def test_scores_are_sums_of_bins():
     for (i, j), t in m.pairs.items():
         one += t[np.searchsorted(m.coarse[i], x[0, i], side="right"), np.searchsorted(m.coarse[j], x[0, j], side="right")]
     assert abs(m.score(x[:1])[0] - 1 / (1 + np.exp(-one))) < 1e-12
+
+
+def test_estimates_move_with_the_data(spark):
+    """The rates at which a rule condemns good documents and those of its own kind are estimated, not given."""
+    names = [f"v_{r}" for r in weak_quality.RULES]
+    k = weak_quality.RULES.index("symbols")
+
+    def rates(alarms, misses):
+        good, bad = [1] * len(names), [1] * len(names)
+        loud, found, missed = list(good), list(bad), list(bad)
+        loud[k] = -1
+        found[k] = found[k + 1] = -1
+        missed[k + 1] = -1
+        rows = [(*good, 1000 - alarms), (*loud, alarms), (*found, 200 - misses), (*missed, misses)]
+        _, tables = weak_quality.estimate(spark.createDataFrame(rows, ", ".join(f"{x} int" for x in names) + ", n long"))
+        return tables[0][k][-1], tables[k + 2][k][-1]
+
+    few, many = rates(2, 10), rates(80, 10)
+    assert few[0] < many[0] and few[0] < 0.01
+    assert rates(2, 150)[1] < few[1]

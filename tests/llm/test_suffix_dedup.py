@@ -2,6 +2,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from rulelake.llm import suffix_dedup
 
 
@@ -50,6 +52,33 @@ def test_passages_copies_and_periods(spark):
     hold(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), bucket_bytes=5000)
 
 
+def test_anchors_that_many_contexts_share(spark, monkeypatch):
+    """Contexts of a hot anchor meet by the bytes on either side of it."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    line, left, right = word(32), [word(45) for _ in range(4)], [word(45) for _ in range(4)]
+    texts = [word(r.randint(0, 60)) + r.choice([*left, word(45)])[r.randint(0, 20) :] + line + r.choice([*right, word(45)])[: r.randint(20, 45)] + word(r.randint(0, 60)) for _ in range(150)]
+    assert sum(x[2] for x in hold(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))) > 1000
+
+
+@pytest.mark.parametrize("width", [33, 300])
+def test_other_widths(spark, width):
+    r = random.Random(width)
+    word = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passages = [word(900) for _ in range(3)]
+    texts = [word(50) + r.choice(passages)[r.randint(0, 300) :] + word(40) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(x[:5]) for x in suffix_dedup.remove_repeats(docs, width=width).collect()]
+    assert sorted(got, key=str) == brute(list(enumerate(texts)), width)
+
+
+@pytest.mark.parametrize("width", [32, 0, 70_000])
+def test_widths_that_cannot_be(spark, width):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), width=width)
+
+
 def test_maximal_repeats():
     got = {(n, tuple(sorted(zip(w.tolist(), p.tolist(), strict=True)))) for n, w, p in suffix_dedup.maximal_repeats([b"xabcdefgy", b"zabcdefgq", b"abcdew"], 4)}
     assert got == {(7, ((0, 1), (1, 1))), (5, ((0, 1), (1, 1), (2, 0)))}
