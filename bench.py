@@ -15,7 +15,11 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = ship(session(cpus, int(cpus) if cpus.isdigit() else 8))
-    found = {"flagship": core.flagship} | {k: core.queries()[k] for k in ("type_usage", "dep_edges", "edge_matches", "fact_type_usage", "source_rules", "node_reachability", "fact_ids", "fact_used_by", "layer_union", "match_bindings", "callsite_ids", "rule_not", "rule_accumulate")}
+    names = (
+        "type_usage", "dep_edges", "edge_matches", "fact_type_usage", "source_rules", "node_reachability", "reachability", "shortest_call_paths", "fact_ids",
+        "fact_used_by", "layer_union", "match_bindings", "callsite_ids", "callsite_merge", "span_containment", "stable_keys", "rule_not", "rule_accumulate",
+    )
+    found = {"flagship": core.flagship} | {k: core.queries()[k] for k in names}
     took = {}
     for name, f in found.items():
         began = time.time()
