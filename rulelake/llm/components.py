@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -22,15 +22,22 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node and label (the smallest node of its component) of every node of edges(a, b).
 
     No node's neighbours are ever collected. Self-loops and repeated edges are fine; an empty table gives an empty one."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a table, with their number and two sums over all of them, taken as they are written."""
+        seen = Observation()
+        sums = [F.coalesce(F.sum(h("a", "b").cast("decimal(38,0)")), F.lit(0)).alias(k) for h, k in ((F.xxhash64, "x"), (F.hash, "h"))]
+        table = cut(rows.observe(seen, F.count(F.lit(1)).alias("n"), *sums), "edges")
+        return table, tuple(seen.get[k] for k in ("n", "x", "h"))
+
+    now, state = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
+        if not state[0]:
+            break
         before = state
-        row = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.countDistinct("a").alias("d")).first()
-        state = tuple(row)
-        if not row["n"] or state == before:
+        now, state = written(_star(_star(now, True), False))
+        if state == before:
             break
-        now = cut(_star(_star(now, True), False), "edges")
     else:
         raise RuntimeError(f"components change after {most_rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("label"))

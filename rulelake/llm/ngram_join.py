@@ -144,7 +144,9 @@ def _order(docs: DataFrame, n: int) -> Order:
             total += np.frombuffer(x, "<u4")
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(add_up, "row int, counts binary").collect()  # COUNTERS numbers
+    # a task sends all counters: as few tasks as have work enough
+    few = docs.select("text").coalesce(max(6, docs.count() // 20_000))
+    found = few.mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(add_up, "row int, counts binary").collect()  # COUNTERS numbers
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for r in found:
         counts[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
@@ -491,7 +493,7 @@ def _wanted(docs: DataFrame, wanted: DataFrame, order, n: int, f, schema: str) -
                 cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds, strict=True)], names=[k.name for k in kinds])
 
-    return docs.join(sized(wanted), "doc_id").select("doc_id", "text", "digest", "blocks").mapInArrow(make, schema)
+    return docs.join(sized(cut(wanted, "wanted")), "doc_id").select("doc_id", "text", "digest", "blocks").mapInArrow(make, schema)
 
 
 def _segments(doc: int, h: np.ndarray, blocks: list[str], order: Order) -> list[tuple]:
@@ -528,6 +530,7 @@ def _by_leader(pairs: DataFrame) -> DataFrame:
 
 def _dealt(requests: DataFrame, sets: DataFrame, per_bucket: int) -> DataFrame:
     """The bitmaps that each block needs, blocks dealt to buckets."""
+    requests = cut(requests, "requests")
     buckets = max(12, requests.count() // per_bucket)
     return requests.join(sets.select("doc", "n", "sketch").hint("merge"), "doc").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
 
@@ -599,9 +602,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
             placed = cut(large.join(known, "doc", "left").select("doc", "cluster", F.coalesce("label", "doc").alias("label")), "placed")
             return _dealt(_open_blocks(placed), fine, 2 * SCREENED)
 
-        near = cut(open_blocks(links).groupBy("bucket").applyInArrow(_nearest(percent), "a long, b long").filter("a <> b").distinct(), "nearest")
-        asked = _by_leader(near).select(F.col("doc").alias("doc_id"), "block").join(members, "doc_id")
-        links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
+        if clusters.groupBy("cluster").count().filter(F.col("count") > SCREENED).limit(1).count():  # several blocks of bitmaps: their nearest first
+            near = cut(open_blocks(links).groupBy("bucket").applyInArrow(_nearest(percent), "a long, b long").filter("a <> b").distinct(), "nearest")
+            asked = _by_leader(near).select(F.col("doc").alias("doc_id"), "block").join(members, "doc_id")
+            links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
         asked = cut(open_blocks(links).groupBy("bucket").applyInArrow(_requests(percent), "block string, doc_id long"), "asked").join(members, "doc_id")
         links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
 
