@@ -188,7 +188,7 @@ def node_summary(s: Star) -> DataFrame:
     return near.groupBy("start").agg(F.count("*").alias("n"))
 
 
-@query("SELECT inserter, type, at.f AS filename, at.r AS row, at.c AS col FROM (SELECT 'rule/' || l_suppkey AS inserter, CASE l_returnflag WHEN 'A' THEN 'Asked' ELSE 'Returned' END AS type, min(struct_pack(f := l_linestatus, r := l_orderkey, c := l_linenumber)) AS at FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)", cte=False)
+@query("SELECT inserter, type, p.f AS filename, p.r AS \"row\", p.c AS col FROM (SELECT 'rule/' || l_suppkey AS inserter, CASE l_returnflag WHEN 'A' THEN 'Asked' ELSE 'Returned' END AS type, min(struct_pack(f := l_linestatus, r := l_orderkey, c := l_linenumber)) AS p FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)", cte=False)
 def earliest_ctor(s: Star) -> DataFrame:
     i = s.table("lineitem")
     rule, node = F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")), F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))

@@ -7,7 +7,7 @@ import pytest
 
 from rulelake.plans import queries as Q
 
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
 @pytest.fixture(scope="module")
