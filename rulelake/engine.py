@@ -80,11 +80,11 @@ def resolved(session: Session, spec: Spec, current: DataFrame | None = None) ->
         raise ValueError(f"enrichment is one of {MODES}, not {spec.enrichment}")
     if spec.enrichment == "reuse" and not spec.source and current is not None:
         return current
-    entries = static_layers(session, spec)
+    entries = cut(static_layers(session, spec), "layers")
     if spec.enrichment in ("auto-detect-from-memory", "auto-detect") and session.working_memory:
         seen = A.memory_types(session["facts"], session["insertions"])
         more = A.memory_delta(A.merge(entries, bindings=session.tables.get("bindings")), seen, session.tables.get("bindings"))
-        entries = entries.unionByName(A.as_layer(more, MEMORY, len(spec.source) + 2))
+        entries = cut(entries.unionByName(A.as_layer(more, MEMORY, len(spec.source) + 2)), "layers")
     return entries
 
 
