@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import exact_dedup, langid, mixing, ngram_join, packing, quality_gam, secret_forest, sharding, sql, suffix_dedup, weak_quality
+from . import exact_dedup, filter_audit, langid, mixing, ngram_join, packing, piece_bpe, quality_gam, secret_forest, sharding, source_audit, sql, suffix_dedup, weak_quality
 from .common import partitions
 
 
@@ -62,9 +62,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_documents(spark, sf_dir)).withColumnRenamed("n_grams", "n_shingles")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(_documents(spark, sf_dir))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_bpe.decode(piece_bpe.encode(_documents(spark, sf_dir)))
+    digest = F.sha2(F.encode("decoded", "UTF-8"), 256)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), digest.alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op5_secret_forest": op5, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op8_suffix_array_dedup": op8, "op9_quality_gam": op9, "op10_ngram_jaccard_join": op10}
+    return {"op1_language_id": op1, "op2_curriculum_mix": op2, "op3_best_two_fit_packing": op3, "op4_two_pass_shuffle": op4, "op5_secret_forest": op5, "op6_exact_dedup": op6, "op7_weak_quality_rules": op7, "op8_suffix_array_dedup": op8, "op9_quality_gam": op9, "op10_ngram_jaccard_join": op10, "op11_filter_audit": op11, "op12_source_divergence": op12, "op13_piece_bpe": op13}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": sql.EXACT_DEDUP, "op8_suffix_array_dedup": sql.REPEATS, "op10_ngram_jaccard_join": sql.NGRAM_JOIN}
+    return {"op6_exact_dedup": sql.EXACT_DEDUP, "op8_suffix_array_dedup": sql.REPEATS, "op10_ngram_jaccard_join": sql.NGRAM_JOIN, "op11_filter_audit": sql.FILTER_AUDIT, "op12_source_divergence": sql.DIVERGENCE}
