@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -24,11 +24,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     No node's neighbours are ever collected. Self-loops and repeated edges are fine; an empty table gives an empty one."""
 
     def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
-        """The edges as a table, with their number and two sums over all of them, taken as they are written."""
-        seen = Observation()
-        sums = [F.coalesce(F.sum(h("a", "b").cast("decimal(38,0)")), F.lit(0)).alias(k) for h, k in ((F.xxhash64, "x"), (F.hash, "h"))]
-        table = cut(rows.observe(seen, F.count(F.lit(1)).alias("n"), *sums), "edges")
-        return table, tuple(seen.get[k] for k in ("n", "x", "h"))
+        """The edges as a table, with their number and two sums over all of them."""
+        table = cut(rows, "edges")
+        sums = [F.sum(h("a", "b").cast("decimal(38,0)")) for h in (F.xxhash64, F.hash)]
+        return table, tuple(table.agg(F.count("*"), *sums).first())
 
     now, state = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):

@@ -7,13 +7,15 @@ labelled findings tells secrets from hashes, identifiers, paths and words.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, shared_dir
 
 CHARS = "A-Za-z0-9+/_-"
 #: A run's part up to an = that 16 characters follow, or to its end. Shorter values stay with their names.
@@ -104,9 +106,16 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
 
 
 def train(findings: DataFrame, trees: int = 30, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest from findings(before, candidate, label)."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(findings))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(rows.select("features", "label").coalesce(1))
+    """A forest from findings(before, candidate, label), the same one for the same rows.
+
+    It is written to the shared folder and read again: the model that `fit` returns holds its training summary, and with that
+    the session, which must not go to the tasks."""
+    dealt = described(findings.repartition(8, "candidate", "before", "label").sortWithinPartitions("candidate", "before", "label"))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(dealt).select("features", "label")
+    fitted = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(rows)
+    path = f"{shared_dir(findings.sparkSession)}/forest-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def probability(model: RandomForestClassificationModel) -> Column:

@@ -48,3 +48,17 @@ def test_planted_secrets_are_found(documents):
     found = {(r.doc_id, r.candidate) for r in secret_forest.scan(documents).filter("is_secret").collect()}
     assert planted <= found
     assert len(found - planted) <= max(3, len(planted))
+
+
+def test_sessions_that_observe(spark):
+    """Scoring tasks carry no session, whatever ran in it before: components, or a caller's own observation."""
+    from pyspark.sql import Observation
+
+    from rulelake.llm.components import components
+
+    assert components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+    seen = Observation()
+    spark.range(9).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 9
+    docs = spark.createDataFrame([(0, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')], "doc_id long, text string")
+    assert [r.is_secret for r in secret_forest.scan(docs).collect()] == [True]
