@@ -1,8 +1,9 @@
 """Quality rules under weak supervision, with DataFrame functions only.
 
-Each rule votes for or against a document or abstains. Documents are good or bad in one of several kinds, one for each
-rule that may have found it out. Expectation and maximisation over the counts of vote patterns estimates how often each
-rule condemns, passes or abstains in each kind; a document's posterior probability of being good decides.
+Each rule votes for or against a document or abstains. Documents are good, or bad in one of several kinds; three rules look
+for each kind, so that their agreement tells a kind from false alarms. Expectation and maximisation over the counts of vote
+patterns estimates how often each rule condemns documents of each kind and good ones; a document's posterior probability
+of being good decides.
 """
 
 from __future__ import annotations
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, col, cut, words
 
-RULES = ("length", "symbols", "repeated_lines", "repeated_words", "word_length", "upper", "variety", "shouting")
+#: What is bad in one way, and the rules that look for it. Whether a text is long tells of no kind.
+KINDS = {"junk": ("symbols", "letters", "wordless"), "repetition": ("repeated_lines", "repeated_words", "variety"), "shouting": ("upper", "shouting", "word_length")}
+RULES = ("length", *[r for rules in KINDS.values() for r in rules])
 LEAST_WORDS = 50
+#: ASCII characters that aren't letters, in words.
+MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORDLESS = r"(?<![^\x20\x09-\x0D])[!-@\[-`{-~]++(?![^\x20\x09-\x0D])"
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,6 +49,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
         gone("!").cast("long").alias("n_shouts"),
+        gone(MARKS).cast("long").alias("n_marks"),
+        F.regexp_count("text", F.lit(_WORDLESS)).cast("long").alias("n_wordless"),
         gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
     )
 
@@ -54,6 +62,8 @@ def votes(m: DataFrame) -> DataFrame:
     rules = {
         "length": vote(F.lit(False), n >= 2 * LEAST_WORDS),  # the base rules see to short ones
         "symbols": vote(share("n_symbols", 25, "n_words"), ~share("n_symbols", 5, "n_words")),
+        "letters": vote(share("n_marks", 12, "word_chars"), ~share("n_marks", 8, "word_chars")),
+        "wordless": vote(share("n_wordless", 20, "n_words"), ~share("n_wordless", 8, "n_words")),
         "repeated_lines": vote(share("n_dup_lines", 30, "n_lines"), (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1)),
         "repeated_words": vote(share("n_repeat_words", 35, "n_words"), ~share("n_repeat_words", 15, "n_words")),
         "word_length": vote((F.col("word_chars") < 3 * n) | (F.col("word_chars") > 12 * n), (F.col("word_chars") >= 4 * n) & (F.col("word_chars") <= 9 * n)),
@@ -64,51 +74,60 @@ def votes(m: DataFrame) -> DataFrame:
     return m.withColumns({f"v_{k}": v.cast("int") for k, v in rules.items()})
 
 
-#: P(vote) by kind (0: good, k: what the k-th rule finds), rule and vote, after the share of each kind.
-Estimates = tuple[list[float], list[list[dict[int, float]]]]
-
-
-def estimate(patterns: DataFrame, rounds: int = 25, false_alarms: float = 0.004, own: float = 0.97, weight: float = 1.0) -> Estimates:
-    """Shares of the kinds and P(vote | kind, not abstaining) of each rule, from patterns(v_..., n): at most 3 ** rules rows.
-
-    What is known beforehand counts as pseudo-documents: good ones, `weight` times as many as there are votes, of which a
-    rule condemns the share false_alarms; and of a rule's own kind a tenth as many, of which it condemns the share `own`. All
-    other rates, and these as far as the data move them, are estimated. Abstaining says nothing."""
-    rows = [([r[f"v_{k}"] for k in RULES], r["n"]) for r in patterns.collect()]
-    kinds = len(RULES) + 1
-    total = sum(n for _, n in rows)
-    # first, a document is of the kinds of all rules against it, or good
-    post = []
-    for v, _ in rows:
-        against = [k + 1 for k, x in enumerate(v) if x < 0] or [0]
-        post.append([1 / len(against) if y in against else 0.0 for y in range(kinds)])
-    shares, tables = [1 / kinds] * kinds, [[{1: 0.5, 0: 1.0, -1: 0.5} for _ in RULES] for _ in range(kinds)]
-    for _ in range(rounds if total else 0):
-        for y in range(kinds):
-            weight = sum(p[y] * n for p, (_, n) in zip(post, rows, strict=True))
-            shares[y] = (weight + 0.1) / (total + 0.1 * kinds)
-            for j in range(len(RULES)):
-                c = {x: sum(p[y] * n for p, (v, n) in zip(post, rows, strict=True) if v[j] == x) + 0.1 for x in (1, -1)}
-                size, mean = (weight * total, false_alarms) if y == 0 else (weight * total / 10, own) if j == y - 1 else (0.0, 0.0)
-                condemns = (c[-1] + size * mean) / (c[1] + c[-1] + size)
-                t = {1: 1 - condemns, 0: 1.0, -1: condemns}
-                tables[y][j] = t
-        for i, (v, _) in enumerate(rows):
-            p = [shares[y] * math.prod(tables[y][j][x] for j, x in enumerate(v)) for y in range(kinds)]
-            post[i] = [x / sum(p) for x in p]
-    return shares, tables
+#: The share of good documents and of each kind, and P(condemns | kind, not abstaining) of each rule, good ones first.
+Estimates = tuple[list[float], list[dict[str, float]]]
+
+
+def estimate(patterns: DataFrame, most_rounds: int = 300, false_alarms: float = 0.01, own: float = 0.5, prior: float = 2.0) -> Estimates:
+    """Shares and rates from patterns(v_..., n): at most 3 ** rules rows.
+
+    At first a document is of a kind as far as the rules for it condemn it, and good for the rest. `prior` documents of a rate of
+    `own` (a kind's own rules) or `false_alarms` (others) are added to each, which keeps rates off 0 and 1 and is outweighed
+    by a few dozen documents. Abstaining says nothing. Rounds end when no posterior moves by a millionth."""
+    rows = [({k: r[f"v_{k}"] for k in RULES}, r["n"]) for r in patterns.collect()]
+    kinds, total = [(), *KINDS.values()], sum(n for _, n in rows)
+
+    def first(votes: dict[str, int]) -> list[float]:
+        heard = [[votes[r] for r in rules if votes[r]] for rules in KINDS.values()]
+        against = [sum(v < 0 for v in x) / len(x) if x else 0.0 for x in heard]
+        against = [x / max(1.0, sum(against)) for x in against]
+        return [1 - sum(against), *against]
+
+    def maximised() -> Estimates:
+        shares, rates = [], []
+        for y, rules in enumerate(kinds):
+            part = [(votes, p[y] * n) for p, (votes, n) in zip(posteriors, rows, strict=True)]
+            shares.append((sum(w for _, w in part) + 1) / (total + len(kinds)))
+            rates.append({})
+            for r in RULES:
+                condemned, passed = (sum(w for votes, w in part if votes[r] == v) for v in (-1, 1))
+                rates[y][r] = (condemned + prior * (own if r in rules else false_alarms)) / (condemned + passed + prior)
+        return shares, rates
+
+    def posterior(votes: dict[str, int]) -> list[float]:
+        logs = [math.log(share) + sum(math.log(rate[r] if v < 0 else 1 - rate[r]) for r, v in votes.items() if v) for share, rate in zip(shares, rates, strict=True)]
+        odds = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(odds) for x in odds]
+
+    posteriors = [first(votes) for votes, _ in rows]
+    for _ in range(most_rounds):
+        shares, rates = maximised()
+        before, posteriors = posteriors, [posterior(votes) for votes, _ in rows]
+        if all(abs(a - b) < 1e-6 for x, y in zip(before, posteriors, strict=True) for a, b in zip(x, y, strict=True)):
+            break
+    return maximised()
 
 
 def quality(estimates: Estimates) -> Column:
     """The posterior probability of being good, given the columns v_<rule>."""
-    shares, tables = estimates
+    shares, rates = estimates
     odds = F.lit(0.0)
     for y in range(1, len(shares)):  # bad of this kind to good
         one = F.lit(math.log(shares[y] / shares[0]))
-        for j, r in enumerate(RULES):
-            ratio = {x: math.log(tables[y][j][x] / tables[0][j][x]) for x in (1, -1)}
+        for r in RULES:
             v = F.col(f"v_{r}")
-            one = one + F.when(v == 1, ratio[1]).when(v == -1, ratio[-1]).otherwise(0.0)
+            passes, condemns = math.log((1 - rates[y][r]) / (1 - rates[0][r])), math.log(rates[y][r] / rates[0][r])
+            one = one + F.when(v == 1, passes).when(v == -1, condemns).otherwise(0.0)
         odds = odds + F.exp(one)
     return 1 / (1 + odds)
 

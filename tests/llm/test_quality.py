@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rulelake.llm import quality_gam, weak_quality
@@ -91,21 +92,24 @@ def test_scores_are_sums_of_bins():
     assert abs(m.score(x[:1])[0] - 1 / (1 + np.exp(-one))) < 1e-12
 
 
-def test_estimates_move_with_the_data(spark):
-    """The rates at which a rule condemns good documents and those of its own kind are estimated, not given."""
-    names = [f"v_{r}" for r in weak_quality.RULES]
-    k = weak_quality.RULES.index("symbols")
-
-    def rates(alarms, misses):
-        good, bad = [1] * len(names), [1] * len(names)
-        loud, found, missed = list(good), list(bad), list(bad)
-        loud[k] = -1
-        found[k] = found[k + 1] = -1
-        missed[k + 1] = -1
-        rows = [(*good, 1000 - alarms), (*loud, alarms), (*found, 200 - misses), (*missed, misses)]
-        _, tables = weak_quality.estimate(spark.createDataFrame(rows, ", ".join(f"{x} int" for x in names) + ", n long"))
-        return tables[0][k][-1], tables[k + 2][k][-1]
-
-    few, many = rates(2, 10), rates(80, 10)
-    assert few[0] < many[0] and few[0] < 0.01
-    assert rates(2, 150)[1] < few[1]
+@pytest.mark.parametrize("rate", [0.005, 0.05, 0.3])
+def test_planted_rates_are_recovered(spark, rate):
+    """How often a rule condemns good documents, and those of its own kind, comes from the data, within a tenth."""
+    rng, n = np.random.default_rng(5), 200_000
+    kind = rng.choice(4, n, p=[0.85, 0.05, 0.05, 0.05])
+    votes = {}
+    for r in weak_quality.RULES:
+        own = np.array([False, *[r in rules for rules in weak_quality.KINDS.values()]])[kind]
+        condemns = np.where(own, 0.8, np.where((r == "symbols") & (kind == 0), rate, 0.01))
+        votes[r] = np.where(rng.random(n) < 0.1, 0, np.where(rng.random(n) < condemns, -1, 1))
+    counts = Counter(zip(*[votes[r].tolist() for r in weak_quality.RULES], strict=True))
+    schema = ", ".join(f"v_{r} int" for r in weak_quality.RULES) + ", n long"
+    shares, rates = weak_quality.estimate(spark.createDataFrame([(*k, c) for k, c in counts.items()], schema))
+    assert abs(rates[0]["symbols"] / rate - 1) < 0.1 and abs(shares[0] - 0.85) < 0.01
+    assert all(abs(rates[y][r] / 0.8 - 1) < 0.1 for y, rules in enumerate(weak_quality.KINDS.values(), 1) for r in rules)
+
+
+def test_words_without_letters(spark):
+    texts = ["1 a 2b !! é %% &&&", "", None, "12\t34\n56", "x1x"]
+    rows = weak_quality.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_wordless for r in rows] == [4, 0, 0, 3, 0] and [r.n_marks for r in rows] == [9, 0, 0, 6, 1]
