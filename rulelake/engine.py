@@ -83,7 +83,7 @@ def resolved(session: Session, spec: Spec, current: DataFrame | None = None) ->
     entries = cut(static_layers(session, spec), "layers")
     if spec.enrichment in ("auto-detect-from-memory", "auto-detect") and session.working_memory:
         seen = A.memory_types(session["facts"], session["insertions"])
-        more = A.memory_delta(A.merge(entries, bindings=session.tables.get("bindings")), seen, session.tables.get("bindings"))
+        more = A.memory_delta(A.merge(entries, bindings=session.names), seen, session.names)
         entries = cut(entries.unionByName(A.as_layer(more, MEMORY, len(spec.source) + 2)), "layers")
     return entries
 
@@ -96,7 +96,7 @@ class Analysis:
 
     @cached_property
     def merged(self) -> A.Merged:
-        return A.merge(self.entries, bindings=self.session.tables.get("bindings"))
+        return A.merge(self.entries, bindings=self.session.names)
 
     @cached_property
     def productions(self) -> DataFrame:

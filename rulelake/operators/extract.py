@@ -162,13 +162,6 @@ def usage(conds: DataFrame, types: DataFrame) -> DataFrame:
     return read_types(conds).select("prod", F.lit("consume").alias("role"), "pos", "type").unionByName(types.select(F.col("rule").alias("prod"), F.col("dim").alias("role"), F.col("pos").cast("int").alias("pos"), "type"))
 
 
-def resolve_symbols(rows: DataFrame, column: str, ns: str, table: DataFrame) -> DataFrame:
-    """A symbol's name replaced with what its namespace knows it as; others stay. table(ns, symbol, resolved)."""
-    b = table.select(F.col("ns").alias("__ns"), F.col("symbol").alias("__symbol"), "resolved")
-    out = rows.join(b, (F.col(ns) == F.col("__ns")) & (F.col(column) == F.col("__symbol")), "left")
-    return out.withColumn(column, F.coalesce("resolved", column)).drop("__ns", "__symbol", "resolved")
-
-
 def form_of(condition) -> str:
     """A condition as it would be written in a rule."""
     if isinstance(condition, list):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import annotations as A
+from . import annotations as A, symbols
 from . import callsites
 
 FINDING = ("severity", "type", "layer", "rule", "dim", "callsite_id", "message")
@@ -110,7 +110,7 @@ def no_ops(entries: DataFrame) -> DataFrame:
     return finding(plain, "warn", "no-op-entry", message).unionByName(finding(typed, "warn", "no-op-entry", message))
 
 
-def derivation_drops(entries: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+def derivation_drops(entries: DataFrame, bindings: DataFrame | symbols.Table | None = None) -> DataFrame:
     """Authored types that are lost if types come from callsites alone."""
     plain, strict = A.merge(entries, derivation="none", bindings=bindings), A.merge(entries, derivation="from-callsites", bindings=bindings)
     has = plain.detections.select("rule", "dim")
@@ -121,7 +121,7 @@ def derivation_drops(entries: DataFrame, bindings: DataFrame | None = None) -> D
     return finding(rows, "warn", "derivation-dropped-authored-type", F.concat(F.lit("authored type "), "type", F.lit(" has no callsite to support it")))
 
 
-def validate(entries: DataFrame, known: DataFrame | None = None, derivation: str = "additive", bindings: DataFrame | None = None) -> DataFrame:
+def validate(entries: DataFrame, known: DataFrame | None = None, derivation: str = "additive", bindings: DataFrame | symbols.Table | None = None) -> DataFrame:
     """Distinct findings of all lints; unknown rules only if the known ones are given."""
     merged = A.merge(entries, derivation=derivation, bindings=bindings)
     out = no_ops(entries).unionByName(structure(entries)).unionByName(ambiguous(entries, merged)).unionByName(dangling(merged))

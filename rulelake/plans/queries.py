@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules
+from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules, symbols
 from ..operators import resolution as inference
 from ..runtime import cut
 from ..sources.star import CTE, Star
@@ -21,7 +21,8 @@ def query(sql: str | None = None, cte: bool = True):
     def add(f: Callable[[Star], DataFrame]):
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Star(spark, sf_dir))
         if sql:
-            _SQL[f.__name__] = f"WITH RECURSIVE {CTE} {sql}" if cte else sql
+            more = "," if sql.lstrip().split(" ", 2)[1:2] == ["AS"] else ""  # relations of its own come first
+            _SQL[f.__name__] = f"WITH RECURSIVE {CTE.rstrip()}{more} {sql}" if cte else sql
         return f
 
     return add
@@ -73,6 +74,30 @@ def edge_matches(s: Star) -> DataFrame:
     return depgraph.edge_matches(*_graph(s))
 
 
+_WRITTEN = """written AS (
+  SELECT DISTINCT 'r' || (l_suppkey % 5) || '/' || l_suppkey AS prod, l_linenumber % 4 AS how, l_partkey AS k, 'kind:' || p_brand || '/' || p_size AS kind, l_suppkey % 5 = 1 AS in_r1
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N'),
+meant AS (
+  SELECT prod, CASE how WHEN 0 THEN 'part:' || k WHEN 1 THEN CASE WHEN in_r1 AND k % 10 = 0 THEN NULL WHEN in_r1 AND k % 2 = 0 THEN kind ELSE 'part:' || k END WHEN 2 THEN kind ELSE 'Q' || k END AS type
+  FROM written)"""
+
+
+@query(f"{_WRITTEN} SELECT DISTINCT m.prod AS producer, c.prod AS consumer FROM meant m JOIN up USING (type) JOIN usage c ON c.type = up.up AND c.role = 'consume'")
+def resolved_edges(s: Star) -> DataFrame:
+    """Edges from what suppliers insert under names that their namespaces resolve: as themselves, imported or defined, through an
+    alias, or not at all. They are written as layer entries and come through the merge."""
+    i = s.table("lineitem").filter("l_returnflag = 'N'")
+    rule = F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    key, how = F.col("l_partkey").cast("string"), F.col("l_linenumber") % 4
+    token = F.concat(F.when(how == 0, "part:").when(how == 1, "P").when(how == 2, "lib/P").otherwise("Q"), key)
+    listed = i.select(rule.alias("rule"), token.alias("type")).distinct().groupBy("rule").agg(F.to_json(F.array_sort(F.collect_list("type"))).alias("value"))
+    entries = annotations.as_layer(listed.select("rule", F.lit("insert-types").alias("key"), "value"), "written", 1)
+    types = annotations.merge(entries, bindings=symbols.Table(*s.names())).types
+    usage, up = _graph(s)
+    made = types.select(F.col("rule").alias("prod"), F.lit("insert").alias("role"), "type")
+    return depgraph.edges(usage.filter("role = 'consume'").unionByName(made), up)
+
+
 @query("SELECT prod, string_agg(DISTINCT u, ',' ORDER BY u) AS upstream, string_agg(DISTINCT d, ',' ORDER BY d) AS downstream FROM (SELECT consumer AS prod, producer AS u, NULL AS d FROM edges UNION ALL SELECT producer, NULL, consumer FROM edges) GROUP BY prod")
 def dep_neighbours(s: Star) -> DataFrame:
     n = depgraph.neighbours(depgraph.edges(*_graph(s)))
@@ -149,7 +174,7 @@ def node_reachability(s: Star) -> DataFrame:
     return callgraph.reachable(_places(s))
 
 
-@query(f"WITH {_PLACES} SELECT callee AS id, string_agg(DISTINCT caller, ',' ORDER BY caller) AS parents FROM places GROUP BY callee", cte=False)
+@query(f"WITH {_PLACES} SELECT id, coalesce(string_agg(DISTINCT p.caller, ',' ORDER BY p.caller), '') AS parents FROM (SELECT caller AS id FROM places UNION SELECT callee FROM places) LEFT JOIN places p ON p.callee = id GROUP BY id", cte=False)
 def node_parents(s: Star) -> DataFrame:
     nodes = _places(s).groupBy(F.col("caller").alias("id")).agg(F.collect_list("callee").alias("children"))
     return callgraph.parents(nodes).select("id", text("parents").alias("parents"))
@@ -346,7 +371,7 @@ def derived_types(s: Star) -> DataFrame:
 def work_list(s: Star) -> DataFrame:
     sites = _merged(s)
     status = sites.groupBy("rule", "dim").agg(callsites.resolution(callsites.field("status"), ~F.col("dangling")).alias("resolution"))
-    return reports.work_list(annotations.Merged(None, None, sites, status, None)).select("rule", "dim", "callsite_id", "status", "resolution")
+    return reports.work_list(annotations.Merged(None, None, None, sites, status, None)).select("rule", "dim", "callsite_id", "status", "resolution")
 
 
 @query("SELECT rule, key, string_agg(layer, ',' ORDER BY p) AS layers FROM (SELECT rule, key, layer, min(pos) AS p FROM live GROUP BY ALL) GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 A session folder holds a table per relation, NAME.parquet or NAME.json (a JSON object a line): productions, ancestors, nodes; of
 working memory facts, activations, matches, insertions; of source analysis usages, sources, locals, local_usages, records,
-namespace_usages. Any may be missing. Facts may lie in a folder of their own."""
+namespace_usages; of names bindings and aliases. Any may be missing. Facts may lie in a folder of their own."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations as A
+from ..operators import symbols
 
 SCHEMAS = {
     "productions": "prod_ord int, name string, ns string, kind string, doc string, props map<string,string>, params array<string>, lhs string, rhs string",
@@ -29,7 +30,8 @@ SCHEMAS = {
     "local_usages": "filename string, id long, name string, row int, col int",
     "records": "ns string, name string, type string",
     "namespace_usages": "`from` string, `to` string",
-    "bindings": "ns string, symbol string, resolved string",
+    "bindings": "ns string, symbol string, kind string, resolved string",
+    "aliases": "ns string, alias string, target string",
 }
 MEMORY = ("facts", "activations", "matches", "insertions")
 LAYER = "id string, source string, notes string, `merge-props` map<string,string>, annotations map<string,map<string,string>>"
@@ -50,6 +52,11 @@ class Session:
     def working_memory(self) -> bool:
         return "facts" in self.tables
 
+    @property
+    def names(self) -> symbols.Table | None:
+        """What namespaces know names as, if the session tells."""
+        return symbols.Table(self["bindings"], self["aliases"]) if {"bindings", "aliases"} & set(self.tables) else None
+
     def rulebase(self) -> Session:
         """The same without working memory."""
         return Session(self.spark, {k: v for k, v in self.tables.items() if k not in MEMORY})

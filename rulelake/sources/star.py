@@ -1,8 +1,10 @@
 """The relations of a rulebase derived from the star schema, so that every operator runs at the tables' scale.
 
-Rules are suppliers and queries are customers. Types: part <: kind (brand and size) <: brand. Of items of 50 or more, a
+Rules are suppliers and queries are customers. Types: part <: kind (brand and size) <: brand. Of items of 40 or more, a
 supplier inserts the parts of first and second lines (flag N), retracts those of first lines (R) and reads the kinds of first
-lines (A), so that some rules do none of these; customers read kinds of the second lines of their orders (A)."""
+lines (A); customers read kinds of the second lines of their orders (A). By their keys a fifth of suppliers insert nothing, a
+third retract nothing, a quarter read nothing, and an eleventh make only parts of sizes that nobody reads, so that every
+kind of rule occurs."""
 
 from __future__ import annotations
 
@@ -23,14 +25,16 @@ class Star:
 
     def usage(self) -> DataFrame:
         """prod, role, type; one scan of line items for suppliers, one for customers."""
-        part = self.table("part").select("p_partkey", self.kind().alias("kind"))
-        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag").filter("l_quantity >= 50").join(part, F.col("l_partkey") == F.col("p_partkey"))
-        flag, line = F.col("l_returnflag"), F.col("l_linenumber")
-        role = F.when((flag == "N") & (line <= 2), "insert").when((flag == "R") & (line == 1), "retract").when((flag == "A") & (line == 1), "consume")
+        part = self.table("part").select("p_partkey", "p_size", self.kind().alias("kind"))
+        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag").filter("l_quantity >= 40").join(part, F.col("l_partkey") == F.col("p_partkey"))
+        flag, line, key = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_suppkey")
+        makes = (key % 11 != 0) | (F.col("p_size") > 45)
+        reads = F.col("p_size") <= 45
+        role = F.when((flag == "N") & (line <= 2) & (key % 5 != 1) & makes, "insert").when((flag == "R") & (line == 1) & (key % 3 != 0) & makes, "retract").when((flag == "A") & (line == 1) & (key % 4 != 2) & reads, "consume")
         kind = F.when(role == "consume", F.col("kind")).otherwise(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")))
         rules = items.select(F.concat(F.lit("rule/"), F.col("l_suppkey").cast("string")).alias("prod"), role.alias("role"), kind.alias("type")).filter("role is not null")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        reads = items.filter((line == 2) & (flag == "A")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        reads = items.filter((line == 2) & (flag == "A") & reads).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         queries = reads.select(F.concat(F.lit("query/"), F.col("o_custkey").cast("string")).alias("prod"), F.lit("consume").alias("role"), F.col("kind").alias("type"))
         return rules.unionByName(queries).distinct()
 
@@ -53,6 +57,17 @@ class Star:
         e = self.table("events")
         return e.select(F.concat(F.lit("rule/"), F.col("user_id").cast("string")).alias("rule"), F.when(F.col("event_type") == "error", "view").otherwise(F.col("event_type")).alias("key"), F.col("event_id").alias("pos"), F.concat(F.lit("layer-"), (F.col("event_id") % 7).cast("string")).alias("layer"), F.floor(F.col("value") / 10).cast("long").cast("string").alias("value"), (F.col("event_type") == "error").alias("tombstone"))
 
+    def names(self) -> tuple[DataFrame, DataFrame]:
+        """What the namespaces r0 to r4 know of parts: P<key> is imported everywhere, but defined in r1 (even keys: as the kind; every
+        tenth: as nothing); lib is an alias of shared, which defines P<key> as the kind."""
+        p, kind = self.table("part"), self.kind()
+        key = F.col("p_partkey")
+        row = lambda ns, kind, value: F.struct(F.lit(ns).alias("ns"), F.concat(F.lit("P"), key.cast("string")).alias("symbol"), F.lit(kind).alias("kind"), value.alias("resolved"))
+        part = F.concat(F.lit("part:"), key.cast("string"))
+        rows = F.array(*[row(f"r{i}", "import", part) for i in range(5)], row("shared", "define", kind), F.when(key % 2 == 0, row("r1", "define", F.when(key % 10 != 0, kind))))
+        aliases = self.spark.createDataFrame([(f"r{i}", "lib", "shared") for i in range(5)], "ns string, alias string, target string")
+        return p.select(F.explode(F.array_compact(rows)).alias("b")).select("b.*"), aliases
+
     def calls(self) -> DataFrame:
         """Parts as functions in groups of 50: each calls the next one and the seventh next, so that walks are long and meet again."""
         p = F.col("p_partkey")
@@ -72,11 +87,11 @@ class Star:
 
 #: The same relations for DuckDB.
 CTE = """
-items AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS n, l_returnflag AS f, 'kind:' || p_brand || '/' || p_size AS kind FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50),
+items AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS n, l_returnflag AS f, p_size, 'kind:' || p_brand || '/' || p_size AS kind, l_suppkey % 11 <> 0 OR p_size > 45 AS makes FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40),
 usage AS (
   SELECT DISTINCT 'rule/' || l_suppkey AS prod, CASE WHEN f = 'N' THEN 'insert' WHEN f = 'R' THEN 'retract' ELSE 'consume' END AS role, CASE WHEN f = 'A' THEN kind ELSE 'part:' || l_partkey END AS type
-  FROM items WHERE (f = 'N' AND n <= 2) OR (f = 'R' AND n = 1) OR (f = 'A' AND n = 1)
-  UNION SELECT 'query/' || o_custkey, 'consume', kind FROM items JOIN orders ON l_orderkey = o_orderkey WHERE n = 2 AND f = 'A'),
+  FROM items WHERE (f = 'N' AND n <= 2 AND l_suppkey % 5 <> 1 AND makes) OR (f = 'R' AND n = 1 AND l_suppkey % 3 <> 0 AND makes) OR (f = 'A' AND n = 1 AND l_suppkey % 4 <> 2 AND p_size <= 45)
+  UNION SELECT 'query/' || o_custkey, 'consume', kind FROM items JOIN orders ON l_orderkey = o_orderkey WHERE n = 2 AND f = 'A' AND p_size <= 45),
 ancestors AS (SELECT 'part:' || p_partkey AS type, 'kind:' || p_brand || '/' || p_size AS ancestor FROM part UNION SELECT 'part:' || p_partkey, 'brand:' || p_brand FROM part UNION SELECT 'kind:' || p_brand || '/' || p_size, 'brand:' || p_brand FROM part),
 types AS (SELECT type FROM ancestors UNION SELECT ancestor FROM ancestors),
 up AS (SELECT type, type AS up FROM types UNION SELECT type, ancestor FROM ancestors),
