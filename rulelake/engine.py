@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import annotations as A
-from .operators import depgraph, extract, hierarchy, memory, nodes, resolution
+from .operators import callgraph, depgraph, extract, hierarchy, memory, nodes, resolution, sourcing
 from .runtime import cut
 from .sources.session import Session, layer_of, read_layers
 
@@ -27,13 +27,14 @@ GENERATED, MEMORY = "generated", "memory"
 @dataclass(frozen=True)
 class Spec:
     """source: layers, lowest first (paths, {rule: {key: value}} or entries); enrichment: one of MODES; what a caller knows of
-    constructors (specs, spec_resolver) and of arguments (resolver)."""
+    constructors (specs, spec_resolver), of arguments (resolver), and of facts that stand for functions: functions(type, var)."""
 
     source: tuple = ()
     enrichment: str | None = None
     specs: DataFrame | None = None
     spec_resolver: Callable | None = None
     resolver: Callable | None = None
+    functions: DataFrame | None = None
 
     @staticmethod
     def of(x) -> Spec:
@@ -47,12 +48,36 @@ class Spec:
         return Spec(tuple(x) if isinstance(x, (list, tuple)) else (x,))
 
 
+def sourced(session: Session) -> Session:
+    """The session with the relations of a source analysis that it lacks, read from its texts."""
+    if "sources" not in session.tables or "usages" in session.tables:
+        return session
+    found = sourcing.read(session["sources"]).tables()
+    return replace(session, tables=found | session.tables)
+
+
+def aliases_of(session: Session, conds: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """usages with those of facts that are functions of their own, and by which alias each caller is reached.
+
+    functions(type, var): the variable that a bound fact of a type stands for."""
+    usages = session["usages"]
+    bound = extract.bindings(conds).withColumnRenamed("prod", "rule")
+    own = usages.select(callgraph.qualified(F.col("from"), F.col("from_var")).alias("rule"), "name")
+    pairs = cut(callgraph.alias_pairs(bound, own, functions), "pairs")
+    more = cut(callgraph.alias_usages(pairs).withColumn("usage_id", -1 - F.monotonically_increasing_id()), "aliases")
+    every = usages.unionByName(more)
+    near = callgraph.reachable(callgraph.calls(every), pairs.select("var").distinct(), callgraph.BOUNDARY, itself=True).toDF("inserter", "node")
+    return every, callgraph.alias_contexts(pairs, near)
+
+
 def generated(session: Session, spec: Spec, pos: int) -> DataFrame:
     """The layer of what the source says: inferred callsites of all rules."""
+    session = sourced(session)
     p = session["productions"]
     rules = extract.rule_names(p).withColumnRenamed("name", "rule")
-    read = extract.rulebase_types(extract.conditions(p))
-    sites = resolution.infer(rules, session["usages"], session["sources"], session["locals"], session["local_usages"], session["records"], spec.specs, spec.spec_resolver, spec.resolver, None, read, session["ancestors"])
+    conds = extract.conditions(p)
+    usages, aliases = aliases_of(session, conds, spec.functions) if spec.functions is not None else (session["usages"], None)
+    sites = resolution.infer(rules, usages, session["sources"], session["locals"], session["local_usages"], session["records"], spec.specs, spec.spec_resolver, spec.resolver, aliases, extract.rulebase_types(conds), session["ancestors"])
     return resolution.entries(cut(sites, "inferred"), rules, GENERATED, pos)
 
 

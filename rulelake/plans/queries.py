@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules, symbols
+from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules, sourcing, symbols
 from ..operators import resolution as inference
 from ..runtime import cut
 from ..sources.star import CTE, Star
@@ -255,6 +255,21 @@ def handled_args(s: Star) -> DataFrame:
     return inference.handled(some("true"), some("l_returnflag = 'A' and idx = 1"), some("l_returnflag = 'R' and idx = 7"))
 
 
+_LINES = "lines AS (SELECT 'k' || substr(p_brand, 7) || '.s' || p_size AS ns, p_partkey AS k, length(p_partkey::VARCHAR) AS n, 1 + row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS row FROM part)"
+
+
+@query(f"WITH {_LINES} SELECT ns AS \"from\", 'f' || k AS from_var, 'other.ns' AS \"to\", 'g' || k AS name, row::INT AS row, (13 + n)::INT AS col, (39 + 2 * n)::INT AS end_col FROM lines UNION ALL SELECT ns, 'f' || k, 'lib.facts', 'make', row::INT, (29 + 2 * n)::INT, (37 + 2 * n)::INT FROM lines UNION ALL SELECT ns, 'f' || k, ns, 'again', row::INT, (40 + 2 * n)::INT, (45 + 2 * n)::INT FROM lines", cte=False)
+def source_usages(s: Star) -> DataFrame:
+    """Usages read from texts: each kind of part is a namespace, each part a function in a line of its own."""
+    key = F.col("p_partkey").cast("string")
+    line = F.concat(F.lit("(defn f"), key, F.lit(" [x] (o/g"), key, F.lit(" (let [y x] (make y))) again)"))
+    ns = F.concat(F.lit("k"), F.substring("p_brand", 7, 9), F.lit(".s"), F.col("p_size").cast("string"))
+    lines = s.table("part").groupBy(ns.alias("ns")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    head = F.concat(F.lit("(ns "), "ns", F.lit(" (:require [other.ns :as o] [lib.facts :refer [make]]))"))
+    texts = lines.select(F.concat("ns", F.lit(".clj")).alias("filename"), F.concat_ws("\n", head, "body", F.lit("(def again 1)")).alias("text"))
+    return sourcing.read(texts).usages.filter("`to` is not null").select("from", "from_var", "to", "name", "row", "col", "end_col")
+
+
 @query("SELECT event_id AS uid, event_type AS type, row_number() OVER (ORDER BY o, event_type, canon, event_id) AS fact_id FROM (SELECT event_id, event_type, coalesce(props, '') AS canon, min(event_id) OVER (PARTITION BY event_type) AS o FROM events)", cte=False)
 def fact_ids(s: Star) -> DataFrame:
     e = s.table("events").select(F.col("event_id").alias("uid"), F.col("event_type").alias("type"), F.coalesce("props", F.lit("")).alias("canon"))
