@@ -27,7 +27,7 @@ from .common import col
 
 BLANK = "▁"
 #: Stretches and pairs kept per worker, and the longest stretch that is kept, in characters.
-KEPT, LONGEST = 800_000, 64
+KEPT, LONGEST = 300_000, 64
 #: A text is taken in blocks of about so many characters.
 BLOCK = 1 << 20
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -186,19 +186,30 @@ def loaded(path: str) -> Pieces:
     return _models[path]
 
 
-def _each(rows: DataFrame, name: str, kind: str, one: Callable, value: str) -> DataFrame:
-    """rows with a further column: one(value) of each row, a few hundred rows at a time."""
+def _each(rows: DataFrame, value: str, drop: bool, **columns: tuple[str, Callable]) -> DataFrame:
+    """rows with further columns: (type, function of the value, or of the column before) each, a few hundred rows at a time."""
     kinds = {"binary": pa.binary(), "string": pa.string()}
+    kept = [f for f in rows.schema if not (drop and f.name == value)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                found = pa.array([one(x.as_py()) for x in b.column(value)], kinds[kind])
-                kept = [c for c in b.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*map(b.column, kept), found], names=[*kept, name])
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                out, now = [b.column(f.name) for f in kept], b.column(value)
+                for kind, one in columns.values():
+                    now = pa.array([one(x.as_py()) for x in now], kinds[kind])
+                    out.append(now)
+                yield pa.RecordBatch.from_arrays(out, names=[*(f.name for f in kept), *columns])
 
-    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema if f.name != "text"], T.StructField(name, T._parse_datatype_string(kind))]))
+    return rows.mapInArrow(run, T.StructType([*kept, *[T.StructField(k, T._parse_datatype_string(kind)) for k, (kind, _) in columns.items()]]))
+
+
+def _encoded(model: str) -> tuple[str, Callable]:
+    return "binary", lambda text: loaded(model).encode(text or "")
+
+
+def _decoded(model: str) -> tuple[str, Callable]:
+    return "string", lambda ids: loaded(model).model.decode(np.frombuffer(ids, "<u4").tolist()) if ids else ""
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,14 +218,18 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     Null and empty texts are the begin and end id alone. Rows that repeat an id, or have none, are encoded each for itself.
     An empty table gives an empty result; only id and text are read. `model` is a file of a merge-type model that all
     executors can read; a model of another type, or with user-defined or unused pieces, is an error."""
-    path = model or default_model()
-    return _each(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), "ids", "binary", lambda t: loaded(path).encode(t or ""), "text")
+    return _each(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), "text", True, ids=_encoded(model or default_model()))
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     """Adds the text that the model's decode(ids) gives, as `decoded`, to rows(ids, ...); null ids give an empty one."""
-    path = model or default_model()
-    return _each(rows, "decoded", "string", lambda b: loaded(path).model.decode(np.frombuffer(b, "<u4").tolist()) if b else "", "ids")
+    return _each(rows, "ids", False, decoded=_decoded(model or default_model()))
+
+
+def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass, with one worker's memory."""
+    model = model or default_model()
+    return _each(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), "text", True, ids=_encoded(model), decoded=_decoded(model))
 
 
 def unpacked(ids: Column) -> Column:

@@ -71,7 +71,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = piece_bpe.decode(piece_bpe.encode(_documents(spark, sf_dir)))
+    rows = piece_bpe.round_trip(_documents(spark, sf_dir))
     digest = F.sha2(F.encode("decoded", "UTF-8"), 256)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), digest.alias("decoded_sha256"))
 
