@@ -9,7 +9,8 @@ from rulelake.llm import queries as Q
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query(spark, sf, name):
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "labels"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want, got = c.sql(Q.oracle_sql()[name]), Q.queries()[name](spark, sf)
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
