@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import annotations as A
-from .operators import callgraph, depgraph, extract, hierarchy, memory, nodes, resolution, sourcing
+from .operators import callgraph, depgraph, extract, hierarchy, memory, nodes, resolution, sourcing, synthesis
 from .runtime import cut
 from .sources.session import Session, layer_of, read_layers
 
@@ -49,11 +49,18 @@ class Spec:
 
 
 def sourced(session: Session) -> Session:
-    """The session with the relations of a source analysis that it lacks, read from its texts."""
-    if "sources" not in session.tables or "usages" in session.tables:
+    """The session with the relations of a source analysis that it lacks, read from its texts.
+
+    Namespaces that own rules are read from assembled texts: right sides that the session has come after the text there is, or
+    one made from the namespace's mappings."""
+    if "usages" in session.tables or not {"sources", "mappings"} & set(session.tables):
         return session
-    found = sourcing.read(session["sources"]).tables()
-    return replace(session, tables=found | session.tables)
+    texts, productions = session["sources"], session["productions"]
+    made = synthesis.combined(productions.filter("rhs <> ''"), sourcing.namespace_texts(texts), session["mappings"], session["var_defs"])
+    every = cut(synthesis.all_texts(texts, made), "texts")
+    found = sourcing.read(every)
+    usages = synthesis.pruned_usages(found.usages, productions, made)
+    return replace(session, tables=found.tables() | session.tables | {"usages": usages, "sources": every})
 
 
 def aliases_of(session: Session, conds: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:

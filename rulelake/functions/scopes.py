@@ -70,6 +70,28 @@ def parsed(text: str) -> list[Form]:
     return top
 
 
+def single(text: str | None) -> bool:
+    """Whether a text is one form, and a whole one."""
+    depth, top, wanted, waits = 0, 0, 1, False
+    for m in _TOKEN.finditer(text or ""):
+        kind = m.lastgroup
+        if kind == "prefix":
+            waits = True
+            wanted += not depth and m[0] in ("^", "#^", "#_")  # another form comes first
+        elif kind is None:
+            if not m[0].isspace() and m[0][0] not in ";,":
+                return False
+        elif kind == "text" and not (len(m[0]) > 1 and m[0].endswith('"')):
+            return False
+        else:
+            top += not depth and kind != "close"
+            depth += (kind == "open") - (kind == "close")
+            waits = False
+        if depth < 0:
+            return False
+    return depth == 0 and top == wanted and not waits
+
+
 class Walk:
     """The events of a text. A scope maps local names to the ids of their bindings."""
 

@@ -145,15 +145,17 @@ def scanned(starting: DataFrame, namespace_usages: DataFrame, include: tuple[str
     return starting.select("ns").unionByName(near).distinct()
 
 
-def pruned(rows: DataFrame, offsets: DataFrame, tags: DataFrame) -> DataFrame:
+def pruned(rows: DataFrame, offsets: DataFrame, tags: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Rows of a source analysis (ns, name, row, ..) once production texts were appended: those of known productions up to
     their namespace's offset go (the appended texts stand for them), and a tag's name becomes its production's.
 
-    offsets(ns, offset); tags(ns, tag, production): both of the size of the rulebase."""
-    known = tags.select("ns", F.col("production").alias("name")).distinct().withColumn("__known", F.lit(True))
-    out = rows.join(known, ["ns", "name"], "left").join(offsets, "ns", "left")
+    offsets(ns, offset); tags(ns, tag, production); known(ns, name): all productions, those of tags if not given. All are of the
+    size of the rulebase. Rows without a namespace, name or row stay."""
+    every = tags.select("ns", F.col("production").alias("name")) if known is None else known.select("ns", "name")
+    every = every.distinct().withColumn("__known", F.lit(True))
+    out = rows.join(every, ["ns", "name"], "left").join(offsets, "ns", "left")
     gone = F.col("__known").isNotNull() & (F.col("row") <= F.coalesce("offset", F.lit(0)))
-    out = out.filter(~gone).drop("__known", "offset").join(tags.withColumnRenamed("tag", "name"), ["ns", "name"], "left")
+    out = out.filter(~F.coalesce(gone, F.lit(False))).drop("__known", "offset").join(tags.withColumnRenamed("tag", "name"), ["ns", "name"], "left")
     return out.withColumn("name", F.coalesce("production", "name")).drop("production").select(*rows.columns)
 
 

@@ -52,6 +52,12 @@ def events(sources: DataFrame) -> DataFrame:
     return sources.select("filename", "text").mapInArrow(rows, f"filename string, {scopes.EVENT}").withColumn("event", F.monotonically_increasing_id())
 
 
+def namespace_texts(sources: DataFrame) -> DataFrame:
+    """ns, filename, text: which text declares which namespace."""
+    declared = events(sources).filter("kind = 'ns' and ns is not null").select("ns", "filename").distinct()
+    return declared.join(sources.select("filename", "text"), "filename").select("ns", "filename", "text")
+
+
 def class_name(ns, name):
     """The class that a record of a namespace is compiled to."""
     return F.concat(F.translate(ns, "-", "_"), F.lit("."), F.translate(name, "-", "_"))

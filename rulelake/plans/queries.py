@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules, sourcing, symbols
+from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules, sourcing, symbols, synthesis
 from ..operators import resolution as inference
 from ..runtime import cut
 from ..sources.star import CTE, Star
@@ -270,6 +270,38 @@ def source_usages(s: Star) -> DataFrame:
     return sourcing.read(texts).usages.filter("`to` is not null").select("from", "from_var", "to", "name", "row", "col", "end_col")
 
 
+_OWN = """own AS (SELECT 'b' || substr(p_brand, 7) || '.s-' || p_size AS ns, p_partkey AS k, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS i FROM part),
+heads AS (SELECT DISTINCT ns, '(ns ' || ns || ' (:refer-clojure :exclude [get] :rename {map core-map}) (:require [far.away :as f] [lib.facts :as l] [lib.facts :refer [insert! make]]) (:import [java.util Date UUID]))' || chr(10) || '(ns-unmap (the-ns ''' || ns || ') ''Process)' || chr(10) || '(declare helper)' || chr(10) || '(defn helper [x] x)' || chr(10) AS head FROM own)"""
+
+
+def _assembled(s: Star) -> tuple[synthesis.Combined, DataFrame]:
+    """Each kind of part is a namespace without a text, each part a rule of it, whose right side has two lines."""
+    ns = F.concat(F.lit("b"), F.substring("p_brand", 7, 9), F.lit(".s-"), F.col("p_size").cast("string"))
+    key = F.col("p_partkey").cast("string")
+    rows = s.table("part").select(F.col("p_partkey").cast("int").alias("prod_ord"), F.concat(ns, F.lit("/p"), key).alias("name"), ns.alias("ns"), F.lit("rule").alias("kind"), F.concat(F.lit("(do (l/make "), key, F.lit(")\n (helper 1))")).alias("rhs"))
+    mapped = [("exclude", "get", None), ("rename", "core-map", "map"), ("alias", "l", "lib.facts"), ("alias", "f", "far.away"), ("refer", "make", "lib.facts/make"), ("refer", "insert!", "lib.facts/insert!"), ("refer", "inc", "clojure.core/inc"), ("import", "Date", "java.util.Date"), ("import", "UUID", "java.util.UUID"), ("import", "String", "java.lang.String"), ("unmap", "Process", None), ("define", "helper", None)]
+    spaces = rows.select("ns").distinct()
+    each = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("kind", "symbol", "target"), row, strict=True)]) for row in mapped])
+    own = rows.select("ns", F.lit("define").alias("kind"), names.local_name(F.col("name")).alias("symbol"), F.lit(None).cast("string").alias("target"))
+    made = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), F.lit(f).alias("form")) for i, (n, f) in enumerate([("helper", "(defn helper [x] x)"), ("bad", "(defn bad [x"), ("two", "(def two\n2)")])])
+    none = s.spark.createDataFrame([], "ns string, filename string, text string")
+    return synthesis.combined(rows, none, spaces.select("ns", F.inline(each)).unionByName(own), spaces.select("ns", F.inline(made))), rows
+
+
+@query(f"WITH {_OWN} SELECT ns, translate(ns, '.-', '/_') || '.clj' AS filename, 4 AS \"offset\", any_value(head) || chr(10) || string_agg('(def __rule_' || i || '__ (fn [] (do (l/make ' || k || ')' || chr(10) || ' (helper 1))))' || chr(10), '' ORDER BY i) AS text FROM own JOIN heads USING (ns) GROUP BY ns", cte=False)
+def assembled_sources(s: Star) -> DataFrame:
+    return _assembled(s)[0].texts.select("ns", "filename", "offset", "text")
+
+
+@query(f"WITH {_OWN} SELECT ns, 'p' || k AS production, u.name, (6 + 2 * i + u.down)::INT AS row FROM own, (VALUES ('make', 0), ('helper', 1)) u(name, down)", cte=False)
+def assembled_usages(s: Star) -> DataFrame:
+    """From rows to texts and back: what each rule uses, and in which line, read from the assembled texts."""
+    made, rows = _assembled(s)
+    found = sourcing.read(cut(made.texts.select("filename", "text"), "texts"))
+    usages = synthesis.pruned_usages(found.usages, rows, made)
+    return usages.filter("name in ('make', 'helper') and from_var is not null and from_var <> 'helper' and `to` is not null").select(F.col("from").alias("ns"), F.col("from_var").alias("production"), "name", "row")
+
+
 @query("SELECT event_id AS uid, event_type AS type, row_number() OVER (ORDER BY o, event_type, canon, event_id) AS fact_id FROM (SELECT event_id, event_type, coalesce(props, '') AS canon, min(event_id) OVER (PARTITION BY event_type) AS o FROM events)", cte=False)
 def fact_ids(s: Star) -> DataFrame:
     e = s.table("events").select(F.col("event_id").alias("uid"), F.col("event_type").alias("type"), F.coalesce("props", F.lit("")).alias("canon"))

@@ -2,7 +2,8 @@
 
 A session folder holds a table per relation, NAME.parquet or NAME.json (a JSON object a line): productions, ancestors, nodes; of
 working memory facts, activations, matches, insertions; of source analysis usages, sources, locals, local_usages, records,
-namespace_usages; of names bindings and aliases. Any may be missing. Facts may lie in a folder of their own."""
+namespace_usages; of names bindings and aliases; to assemble texts mappings
+and var_defs. Any may be missing. Facts may lie in a folder of their own."""
 
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ SCHEMAS = {
     "namespace_usages": "`from` string, `to` string",
     "bindings": "ns string, symbol string, kind string, resolved string",
     "aliases": "ns string, alias string, target string",
+    "mappings": "ns string, kind string, symbol string, target string",
+    "var_defs": "ns string, pos int, name string, form string",
 }
 MEMORY = ("facts", "activations", "matches", "insertions")
 LAYER = "id string, source string, notes string, `merge-props` map<string,string>, annotations map<string,map<string,string>>"
