@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import annotations as A
-from .operators import callgraph, depgraph, extract, hierarchy, memory, nodes, resolution, sourcing, synthesis
+from .operators import callgraph, depgraph, extract, hierarchy, lookup, memory, nodes, resolution, sourcing, synthesis
 from .runtime import cut
 from .sources.session import Session, layer_of, read_layers
 
@@ -194,6 +194,40 @@ class Analysis:
         per = rows.groupBy("rule", "dim").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "ns", "filename", "status", "types", "constructor", "chain"))).alias("callsites"))
         return self.merged.detections.join(per, ["rule", "dim"], "left")
 
+    @cached_property
+    def production_index(self) -> lookup.Index:
+        """Whole answers of productions, by route id."""
+        d = self.detections.groupBy(F.col("rule").alias("name")).agg(F.collect_list(F.struct("dim", "resolution", "callsites")).alias("detections"))
+        return lookup.written(cut(self.summaries.join(d, "name", "left"), "answers"), "id")
+
+    @cached_property
+    def type_index(self) -> lookup.Index:
+        return lookup.written(self.types.drop("place"), "id")
+
+    @cached_property
+    def session_type_index(self) -> lookup.Index:
+        m = self.memory
+        near = lambda role: m.groups(role).groupBy(F.col("type").alias("name")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "id", "ns", "kind", "facts"))).alias(role))
+        return lookup.written(cut(m.types().join(near("inserted_from"), "name", "left").join(near("used_by"), "name", "left"), "answers"), "id")
+
+    @cached_property
+    def session_facts(self) -> DataFrame:
+        return cut(self.memory.facts(), "answers")
+
+    @cached_property
+    def fact_index(self) -> lookup.Index:
+        return lookup.written(self.session_facts, "id")
+
+    @cached_property
+    def activity_index(self) -> lookup.Index:
+        """What each production matched, with bindings, and what it inserted, by its name."""
+        m = self.memory
+        facts = self.session_facts.withColumnRenamed("id", "fact_id")
+        fact = F.struct(F.col("fact_id").alias("id"), "type", "ns", "data", "is_root", "inserted_from", "used_by").alias("fact")
+        met = m.activity().join(facts, "fact_id").select("prod", F.lit("match").alias("what"), fact, "bindings", F.col("fact_id").alias("place"))
+        made = m.inserted().join(facts, "fact_id").select("prod", F.lit("inserted").alias("what"), fact, F.array().cast("array<string>").alias("bindings"), "place")
+        return lookup.written(cut(met.unionByName(made), "answers"), "prod")
+
     @cached_property
     def counts(self) -> dict[str, int]:
         p = self.productions.agg(F.count_if(F.col("kind") == "rule").alias("r"), F.count_if(F.col("kind") == "query").alias("q")).first()
@@ -308,8 +342,10 @@ class Engine:
             raise NoWorkingMemory("rulebase-input")
         return self.analysis.memory
 
-    def _one(self, rows: DataFrame, value, by: str = "id") -> DataFrame:
-        out = rows.filter(F.col(by) == value)
+    def _one(self, index: lookup.Index, value, kind: str | None = None) -> DataFrame:
+        """The answer with this id, of productions those of a kind; written when the first one is asked for, and read by its id."""
+        out = index.get(value)
+        out = out if kind is None else out.filter(F.col("kind") == kind)
         if not out.limit(1).count():
             raise NotFound(value)
         return out
@@ -321,39 +357,31 @@ class Engine:
         return self.analysis.summaries.filter(F.col("kind") == kind).orderBy("prod_ord").select(*LIST[:5], "params", "upstream", "downstream") if kind == "query" else self.analysis.summaries.filter(F.col("kind") == kind).orderBy("prod_ord").select(*LIST)
 
     def production(self, kind: str, ident: str) -> DataFrame:
-        row = self._one(self.analysis.summaries.filter(F.col("kind") == kind), ident)
-        d = self.analysis.detections.groupBy(F.col("rule").alias("name")).agg(F.collect_list(F.struct("dim", "resolution", "callsites")).alias("detections"))
-        return row.join(d, "name", "left")
+        return self._one(self.analysis.production_index, ident, kind)
 
     def fact_types(self) -> DataFrame:
         return self.analysis.types.orderBy("place").drop("ancestors", "descendants", "place")
 
     def fact_type(self, ident: str) -> DataFrame:
-        return self._one(self.analysis.types, ident).drop("place")
+        return self._one(self.analysis.type_index, ident)
 
     def session_types(self) -> DataFrame:
         return self._memory().types()
 
     def session_type(self, ident: str) -> DataFrame:
-        m = self._memory()
-        row = self._one(m.types(), ident)
-        near = lambda role: m.groups(role).groupBy(F.col("type").alias("name")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "id", "ns", "kind", "facts"))).alias(role))
-        return row.join(near("inserted_from"), "name", "left").join(near("used_by"), "name", "left")
+        self._memory()
+        return self._one(self.analysis.session_type_index, ident)
 
     def fact(self, ident: int) -> DataFrame:
-        return self._one(self._memory().facts(), int(ident))
+        self._memory()
+        return self._one(self.analysis.fact_index, int(ident))
 
     def activity(self, kind: str, ident: str) -> DataFrame:
-        """What a production matched, with bindings, and what it inserted: rows (what, fact, bindings, place)."""
-        m = self._memory()
-        name = self._one(self.analysis.summaries.filter(F.col("kind") == kind), ident).first()["name"]
-        facts = m.facts().withColumnRenamed("id", "fact_id")
-        near = lambda rows: rows.filter(F.col("prod") == name).join(facts, "fact_id")
-        fact = F.struct(F.col("fact_id").alias("id"), "type", "ns", "data", "is_root", "inserted_from", "used_by").alias("fact")
-        out = near(m.activity()).select(F.lit("match").alias("what"), fact, "bindings", F.col("fact_id").alias("place"))
-        if kind == "rule":
-            out = out.unionByName(near(m.inserted()).select(F.lit("inserted").alias("what"), fact, F.array().cast("array<string>").alias("bindings"), "place"))
-        return out.orderBy("what", "place")
+        """What a production matched, with bindings, and what it inserted (rules alone): rows (what, fact, bindings, place)."""
+        self._memory()
+        name = self._one(self.analysis.production_index, ident, kind).first()["name"]
+        out = self.analysis.activity_index.get(name).drop("prod")
+        return out.filter(F.lit(kind == "rule") | (F.col("what") == "match")).orderBy("what", "place")
 
     def annotations(self) -> DataFrame:
         return self.analysis.merged.annotations()
@@ -374,7 +402,7 @@ class Engine:
             "/v1/session/facts/*": self.fact,
             "/v1/session/rules/*": lambda i: self.activity("rule", i),
             "/v1/session/queries/*": lambda i: self.activity("query", i),
-            "/v1/memory-analysis": lambda: self._memory().facts(),
+            "/v1/memory-analysis": lambda: self._memory() and self.analysis.session_facts,
             "/v1/annotations": self.annotations,
         }
 

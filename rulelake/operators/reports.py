@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import annotations as A, symbols
-from . import callsites
+from . import annotations as A
+from . import callsites, prefix, symbols
 
 FINDING = ("severity", "type", "layer", "rule", "dim", "callsite_id", "message")
 
@@ -88,26 +88,12 @@ def dangling(merged: A.Merged) -> DataFrame:
     return finding(merged.sites.filter("dangling"), "warn", "dangling-callsite", F.lit("no layer has discovered this callsite; it annotates nothing"), layer="from_layer")
 
 
-def no_ops(entries: DataFrame) -> DataFrame:
-    """Entries that repeat what the layers beneath them come to already, for keys whose last value wins and for types.
+def no_ops(entries: DataFrame, bindings: DataFrame | symbols.Table | None = None) -> DataFrame:
+    """Entries that repeat what the layers beneath them come to already, for all keys; what erases a key repeats nothing.
 
-    A union of types repeats nothing unless the entry is the whole list so far, in its order."""
-    from pyspark.sql import Window as W
-
-    e = A.normalised(entries)
-    w = W.partitionBy("rule", "key").orderBy("layer_pos")
-    rows = e.withColumn("below", F.lag(F.struct("value", "strategy")).over(w))
-    plain = rows.filter(~F.col("key").isin(*A.TYPES.values(), *A.DETECTIONS.values()) & F.col("value").isNotNull() & (F.col("below.value") == F.col("value")))
-    plain = plain.filter((F.col("key") != "notes") | ~F.col("below.strategy").eqNullSafe(F.lit("append")))
-    # a running union: all entries since the last one that erased or replaced
-    typed = e.filter(F.col("key").isin(*A.TYPES.values())).withColumn("list", F.from_json("value", "array<string>"))
-    resets = F.col("value").isNull() | (F.col("strategy") == "replace")
-    typed = typed.withColumn("run", F.coalesce(F.max(F.when(resets, F.col("layer_pos"))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)))
-    beneath = F.collect_list(F.struct("layer_pos", "list")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    typed = typed.withColumn("sofar", F.array_distinct(F.flatten(F.transform(F.filter(beneath, lambda x: (x["layer_pos"] >= F.col("run")) & x["list"].isNotNull()), lambda x: x["list"]))))
-    typed = typed.filter(F.col("value").isNotNull() & (F.size("sofar") > 0) & (F.col("list") == F.col("sofar")))
-    message = F.concat("key", F.lit(" repeats the merged value beneath it"))
-    return finding(plain, "warn", "no-op-entry", message).unionByName(finding(typed, "warn", "no-op-entry", message))
+    A union of types repeats only the whole list so far, in its order; callsites only with the stamps that the merge gives them."""
+    same = prefix.beneath(entries, bindings).filter("entry = beneath")
+    return finding(same, "warn", "no-op-entry", F.concat("key", F.lit(" repeats the merged value beneath it")))
 
 
 def derivation_drops(entries: DataFrame, bindings: DataFrame | symbols.Table | None = None) -> DataFrame:
@@ -124,7 +110,7 @@ def derivation_drops(entries: DataFrame, bindings: DataFrame | symbols.Table | N
 def validate(entries: DataFrame, known: DataFrame | None = None, derivation: str = "additive", bindings: DataFrame | symbols.Table | None = None) -> DataFrame:
     """Distinct findings of all lints; unknown rules only if the known ones are given."""
     merged = A.merge(entries, derivation=derivation, bindings=bindings)
-    out = no_ops(entries).unionByName(structure(entries)).unionByName(ambiguous(entries, merged)).unionByName(dangling(merged))
+    out = no_ops(entries, bindings).unionByName(structure(entries)).unionByName(ambiguous(entries, merged)).unionByName(dangling(merged))
     if known is not None:
         out = out.unionByName(unknown_rules(entries, known))
     if derivation == "from-callsites":

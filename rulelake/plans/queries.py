@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, memory, rebase, reports, rules, sourcing, symbols, synthesis
+from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, lookup, memory, prefix, rebase, reports, rules, sourcing, symbols, synthesis
 from ..operators import resolution as inference
 from ..runtime import cut
 from ..sources.star import CTE, Star
@@ -365,6 +365,21 @@ def lint_no_op(s: Star) -> DataFrame:
     return layers.no_op_entries(s.entries()).select("rule", "key", "pos")
 
 
+@query("SELECT layer_pos, rule, key, value FROM (SELECT *, lag(value) OVER (PARTITION BY rule, key ORDER BY layer_pos) AS b FROM (SELECT rule, key, (pos % 7)::INT AS layer_pos, CASE WHEN arg_max(tombstone, pos) THEN NULL ELSE arg_max(value, pos) END AS value FROM entries GROUP BY ALL)) WHERE value = b")
+def lint_restated(s: Star) -> DataFrame:
+    """Entries that restate what lies beneath them, through the fold of all layers."""
+    e = s.entries().groupBy("rule", "key", (F.col("pos") % 7).cast("int").alias("layer_pos")).agg(F.max_by(F.struct("value", "tombstone"), "pos").alias("v"))
+    e = e.select("layer_pos", F.concat(F.lit("layer-"), "layer_pos").alias("layer"), "rule", "key", F.when(~F.col("v.tombstone"), F.col("v.value")).alias("value"), F.create_map().cast("map<string,string>").alias("props"))
+    return prefix.beneath(e).filter("entry = beneath").select("layer_pos", "rule", "key", F.col("entry").alias("value"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey IN (SELECT (count(*) // 2)::BIGINT FROM customer)", cte=False)
+def point_lookup(s: Star) -> DataFrame:
+    """The customer in the middle of all, found by key through a written index."""
+    c = s.table("customer").select("c_custkey", "c_name", "c_nationkey")
+    return lookup.written(c, "c_custkey", 1000).get(c.count() // 2)
+
+
 _IDS = """WITH b AS (SELECT event_id, user_id, 'app.' || event_type AS ns, CASE WHEN event_id % 3 > 0 THEN 'lib/make-' || event_type END AS ctor, props AS source FROM events),
 h AS (SELECT *, sha256('[' || ns || ' ' || coalesce(ctor, 'nil') || ' "' || replace(source, '"', '\\"') || '"]') AS h FROM b)
 SELECT event_id, user_id, ns || ':' || CASE WHEN ctor IS NULL THEN '-' ELSE split_part(ctor, '/', 2) END || ':' || substr(h, 1, 8) || ':' || (row_number() OVER (PARTITION BY user_id, ns, ctor, source ORDER BY event_id) - 1) AS callsite_id FROM h"""

@@ -56,17 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     Later jobs restart from the table, whatever executors are lost meanwhile. The table goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
