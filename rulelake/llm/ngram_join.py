@@ -36,6 +36,8 @@ BINS = 16
 COUNTERS, ROW, DEVIATIONS = 1 << 19, 1 << 15, 5
 #: Members of a frequent gram beyond which no pair of its group is listed; pairs a member above which none is; leaders of a large cluster.
 LARGE, DENSE, LEADERS = 4096, 8, 4
+#: Members beyond which a group is treated as a frequent gram's, whatever the sketch has told of the gram.
+OWN = 256
 #: Grams per further common gram that a pair must have in its prefixes.
 FURTHER = 100
 #: Members and grams of a block that is counted, and members of a block of bitmaps.
@@ -223,6 +225,8 @@ def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
 
 
 def _candidates(percent: int, order):
+    own = OWN
+
     def find(key: tuple, t: pa.Table) -> pa.Table:
         m = np.frombuffer(b"".join(t.column("members").to_pylist()), dtype=_MEMBER)
         m = m[np.lexsort([m["doc"], m["gram"]])]
@@ -246,7 +250,7 @@ def _candidates(percent: int, order):
             early = (1 + np.minimum(na - a["at"] - 1, nb - b["at"] - 1)) * (100 + percent) >= percent * (na + nb)
             return np.stack([np.minimum(a["doc"], b["doc"]), np.maximum(a["doc"], b["doc"]), early, 1 + np.minimum(na, nb) // FURTHER], 1)
 
-        salted, often = order.value.salts(m["gram"][starts]) > 1, order.value.frequent(m["gram"][starts])
+        salted, often = order.value.salts(m["gram"][starts]) > 1, order.value.frequent(m["gram"][starts]) | (counts > own)
         large = (counts > 16) | salted
         for size in np.unique(counts[(counts > 1) & ~large]):
             at = starts[(counts == size) & ~large]

@@ -81,6 +81,14 @@ def test_large_clusters_meet_in_several_blocks(spark, edits, monkeypatch):
     test_large_groups_of_near_copies.__wrapped__(spark, edits) if hasattr(test_large_groups_of_near_copies, "__wrapped__") else test_large_groups_of_near_copies(spark, edits)
 
 
+@pytest.mark.parametrize("edits", [2, 5])
+def test_grams_that_the_sketch_takes_for_rare(spark, edits, monkeypatch):
+    """A group that is large itself is told so, where a full sketch hides that its gram is frequent."""
+    for name, value in (("DEVIATIONS", 10**9), ("OWN", 24)):
+        monkeypatch.setattr(ngram_join, name, value)
+    test_large_groups_of_near_copies(spark, edits)
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 700):
