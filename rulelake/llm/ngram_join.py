@@ -281,11 +281,13 @@ def _candidates(percent: int, order):
         p = p[np.lexsort([p[:, 1], p[:, 0]])]
         new = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(1)])) if len(p) else np.zeros(0, int)
         out = np.stack([p[new, 0], p[new, 1], np.diff(np.append(new, len(p))), np.maximum.reduceat(p[:, 2], new), p[new, 3]], 1) if len(p) else np.zeros((0, 5), np.int64)
-        cuts = np.flatnonzero(np.diff(out[:, 0])) + 1
-        rows = [(0, int(x[0, 0]), *x[:, 1:].T.tolist()) for x in (np.split(out, cuts) if len(out) else [])] + [(1, a, d.tolist(), [], [], []) for a, d in members]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4]
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "a", "docs", "times", "early", "need"), cols, kinds, strict=True)})
+        first = np.flatnonzero(np.concatenate([[True], out[1:, 0] != out[:-1, 0]])) if len(out) else np.zeros(0, int)
+        ends, none = len(out) + np.cumsum([0, *(len(d) for _, d in members)]), np.full(len(members) + 1, len(out))
+        lists = lambda values, rest: pa.ListArray.from_arrays(pa.array(np.concatenate([first, rest]), pa.int32()), pa.array(values, pa.int64()))
+        docs = lists(np.concatenate([out[:, 1], *(d for _, d in members)]).astype(np.int64), ends)
+        kinds = pa.array(np.repeat([0, 1], [len(first), len(members)]), pa.int32())
+        heads = pa.array([*out[first, 0].tolist(), *(x for x, _ in members)], pa.int64())
+        return pa.table([kinds, heads, docs, *(lists(np.ascontiguousarray(out[:, k]), none) for k in (2, 3, 4))], names=["kind", "a", "docs", "times", "early", "need"])
 
     return find
 
