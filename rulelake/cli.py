@@ -41,6 +41,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--annotations", help="specification as JSON, or a file with it")
     p.add_argument("--printer", choices=("pretty", "compact"), default="pretty")
     p.add_argument("--generate-analysis", metavar="DIR", help="write annotations and analysis there, and end")
+    p.add_argument("--export", metavar="DIR", help="write all answers there as a tree, and end")
     p.add_argument("--load-session-state-fn", help="dotted name of a function that loads the session")
     p.add_argument("--get", metavar="ROUTE", help="print a route's answer, and end")
     return p
@@ -119,6 +120,9 @@ def main(argv: list[str] | None = None) -> int:
         generate(session, o.generate_analysis, o.layer, o.printer == "pretty")
         return 0
     engine = E.Engine(session, specification(o.annotations, o.layer), o.working_memory_enabled)
+    if o.export:
+        engine.export(o.export)
+        return 0
     if o.get:
         try:
             print(printed(engine.get(o.get), o.printer == "pretty"))

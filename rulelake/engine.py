@@ -17,7 +17,7 @@ from .functions import names
 from .operators import annotations as A
 from .operators import callgraph, depgraph, extract, hierarchy, lookup, memory, nodes, resolution, sourcing, synthesis
 from .runtime import cut
-from .sources.session import Session, layer_of, read_layers
+from .sources.session import Session, layer_of, read_layers, write_export
 
 #: How a session's own evidence is added to the layers that are given.
 MODES = ("none", "reuse", "auto-detect-from-rulebase", "auto-detect-from-memory", "auto-detect")
@@ -386,6 +386,29 @@ class Engine:
     def annotations(self) -> DataFrame:
         return self.analysis.merged.annotations()
 
+    def elements(self, node: str) -> DataFrame:
+        """The facts that a node holds, by id."""
+        m = self._memory()
+        return memory.node_elements(self._require().session["elements"].filter(F.col("node") == node), m.ids).orderBy("fact_id", "bindings")
+
+    def tokens(self, node: str) -> DataFrame:
+        """The partial matches that a node holds."""
+        m = self._memory()
+        return memory.node_tokens(self._require().session["tokens"].filter(F.col("node") == node), m.ids).orderBy("token")
+
+    def export(self, root: str) -> None:
+        """All answers, written once: lists as they are, and a folder for each object that they name."""
+        a = self.analysis
+        by = lambda kind: a.summaries.filter(F.col("kind") == kind)
+        tree = {"rules": by("rule"), "queries": by("query"), "fact-types": a.types.drop("place"), "annotations": self.annotations()}
+        tree["rulebase-summary"] = a.session.spark.createDataFrame([tuple(self.summary().values())], ", ".join(f"`{k}` {'boolean' if isinstance(v, bool) else 'long'}" for k, v in self.summary().items()))
+        if self.working_memory and self._require().session.working_memory:
+            ids = a.summaries.select(F.col("name").alias("prod"), "id", "kind")
+            rows = a.activity_index.all().join(ids, "prod")
+            tree |= {"session/fact-types": a.session_type_index.all(), "session/facts": a.session_facts}
+            tree |= {f"session/{many}": rows.filter(F.col("kind") == kind).filter(F.lit(kind == "rule") | (F.col("what") == "match")).drop("kind") for kind, many in (("rule", "rules"), ("query", "queries"))}
+        write_export(tree, root)
+
     def routes(self) -> dict[str, Callable]:
         """Route patterns: a trailing * is an id."""
         return {
@@ -402,6 +425,8 @@ class Engine:
             "/v1/session/facts/*": self.fact,
             "/v1/session/rules/*": lambda i: self.activity("rule", i),
             "/v1/session/queries/*": lambda i: self.activity("query", i),
+            "/v1/session/elements/*": self.elements,
+            "/v1/session/tokens/*": self.tokens,
             "/v1/memory-analysis": lambda: self._memory() and self.analysis.session_facts,
             "/v1/annotations": self.annotations,
         }

@@ -33,6 +33,11 @@ def production_ns(ns: Column, name: Column) -> Column:
     return F.coalesce(ns, namespace(name))
 
 
+def collated(name: Column) -> Column:
+    """A name that sorts as readers expect it: letters first, then accents, then small before large, by the root locale."""
+    return F.collate(name, "UNICODE")
+
+
 def resource_path(ns: Column) -> Column:
     """Namespace to source path: dots to slashes, hyphens to underscores."""
     return F.translate(ns, ".-", "/_")

@@ -112,3 +112,8 @@ def text_keys(values: Column) -> Column:
 
 def unknown(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
     return rows.join(known.select(on).distinct(), on, "left_anti")
+
+
+def by_name(rows: DataFrame, name: str = "name") -> DataFrame:
+    """rows in the order in which readers expect names; of names that are equal in it, and without one, by code point."""
+    return rows.orderBy(names.collated(F.col(name)).asc_nulls_last(), name)

@@ -31,6 +31,10 @@ class Index:
         return rows.filter((F.col(BUCKET) == bucket_of(wanted, self.buckets)) & (F.col(self.key) == wanted)).drop(BUCKET)
 
 
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField(BUCKET, T.IntegerType())])).parquet(self.path).drop(BUCKET)
+
+
 def bucket_of(key, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 

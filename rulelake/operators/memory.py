@@ -5,12 +5,8 @@ insertions(seq, prod, uid); data and bindings are JSON. productions(name, prod_o
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import names
 from ..runtime import ranks
@@ -22,17 +18,10 @@ UNKNOWN_TYPE = ":unknown/fact-type"
 LAST = 2**31 - 1
 
 
-@F.pandas_udf(T.StringType())
-def canonical(data: pd.Series) -> pd.Series:
-    """JSON with the keys of all objects in order, so that equal values have equal texts; other texts stay."""
-
-    def one(x: str | None) -> str | None:
-        try:
-            return None if x is None else json.dumps(json.loads(x), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            return x
-
-    return data.map(one)
+def canonical(data: Column) -> Column:
+    """JSON with the keys of all objects in order and numbers in their shortest form, so that equal values have equal texts; texts
+    that aren't JSON, or repeat a key in an object, stay."""
+    return F.coalesce(F.to_json(F.try_parse_json(data)), data)
 
 
 def type_order(read: DataFrame) -> DataFrame:
@@ -140,7 +129,21 @@ class Memory:
         return rows.groupBy("prod", "fact_id").agg(F.min("seq").alias("place"))
 
 
-def node_rows(rows: DataFrame, node: str) -> DataFrame:
-    """Elements or tokens held at a node. rows(node_id, ..)."""
-    return rows.filter(F.col("node_id") == node)
+def node_elements(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, fact_id, n and bindings: the facts that a node holds, once for each different binding, and how often. Facts without
+    an id are left out; bindings that are equal as values are one.
+
+    elements(node, uid, bindings); ids(uid, fact_id). No node's facts are ever gathered."""
+    rows = elements.join(ids.select("uid", "fact_id"), "uid").withColumn("bindings", canonical(F.col("bindings")))
+    return rows.groupBy("node", "fact_id", "bindings").agg(F.count("*").alias("n"))
+
+
+def node_tokens(tokens: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, token, fact_ids (in the order of their conditions; null for one without an id) and bindings of each partial match
+    that a node holds.
 
+    tokens(node, token, pos, uid, bindings): a row for each fact of a token, or one without a fact. A token has as many facts
+    as its production has conditions."""
+    rows = tokens.join(ids.select("uid", "fact_id"), "uid", "left")
+    facts = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "fact_id")))), lambda x: x["fact_id"])
+    return rows.groupBy("node", "token").agg(facts.alias("fact_ids"), canonical(F.min("bindings")).alias("bindings"))

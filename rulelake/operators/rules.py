@@ -1,56 +1,18 @@
-"""Rules that insert facts, run until nothing new comes of them.
+"""Facts by type, with the fields of their data as columns, joins on bindings and queries with parameters. What a rule makes of
+these is a plan of the caller's; nothing here runs rules.
 
-facts(type, data): data is JSON, and a fact is known by both. A rule's body is a plan over the facts; what it depends on by
-negation or accumulation must be settled before it runs, so rules are put into strata. Within a stratum, rounds are joins over
-all facts, each round written to the shared folder."""
+facts(type, data): data is JSON, and a fact is known by both."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
-
 FACTS = "type string, data string"
 
 
-@dataclass(frozen=True)
-class Rule:
-    """name, the types it reads, those it reads by negation or accumulation, those it makes, and its body: facts by type ->
-    DataFrame(type, data). retracts: what the body returns goes instead. unconditional: it stays, whatever it rested on."""
-
-    name: str
-    reads: tuple[str, ...]
-    makes: tuple[str, ...]
-    body: Callable[[Callable[[str], DataFrame]], DataFrame]
-    settled: tuple[str, ...] = field(default=())
-    retracts: bool = False
-    unconditional: bool = False
-
-
-def strata(rules: list[Rule]) -> list[list[Rule]]:
-    """Rules in the order in which they may run. A rule that needs a settled type which rests on it is an error."""
-    makers: dict[str, list[int]] = {}
-    for i, r in enumerate(rules):
-        for t in r.makes if not r.retracts else ():
-            makers.setdefault(t, []).append(i)
-    level = [0] * len(rules)
-    for _ in range(len(rules) + 1):
-        moved = False
-        for i, r in enumerate(rules):
-            needs = [level[j] for t in r.reads for j in makers.get(t, ())] + [level[j] + 1 for t in r.settled for j in makers.get(t, ())]
-            # a retraction waits for whoever makes what it takes away
-            needs += [level[j] + 1 for t in r.makes for j in makers.get(t, ()) if r.retracts]
-            if needs and max(needs) > level[i]:
-                level[i], moved = max(needs), True
-        if not moved:
-            return [[r for r, at in zip(rules, level, strict=True) if at == n] for n in sorted(set(level))]
-    raise ValueError("a rule rests on its own absence: there is no order to run these rules in")
-
-
 def typed(facts: DataFrame, ancestors: DataFrame | None, schemas: dict[str, str]) -> Callable[[str], DataFrame]:
     """Facts of a type and of its descendants, with the fields of its schema as columns, and the whole fact as `fact`."""
 
@@ -90,27 +52,3 @@ def query(facts: Callable[[str], DataFrame], name: str, **params) -> DataFrame:
     for k, v in params.items():
         out = out.filter(F.col(k).eqNullSafe(F.lit(v)))
     return out
-
-
-def chain(rules: list[Rule], facts: DataFrame, schemas: dict[str, str], ancestors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all facts, insertions(rule, type, data)) once no rule has anything to add. Facts are distinct; root facts that rules
-    also insert stay root facts with an origin. It ends when rules make finitely many facts."""
-    now = cut(facts.select("type", "data").distinct(), "facts")
-    origins = None
-    for stratum in strata(rules):
-        while True:
-            of = typed(now, ancestors, schemas)
-            found = None
-            for r in stratum:
-                rows = r.body(of).select("type", "data").distinct().withColumn("rule", F.lit(r.name)).withColumn("gone", F.lit(r.retracts))
-                found = rows if found is None else found.unionByName(rows)
-            found = cut(found, "found")
-            gone, came = found.filter("gone").select("type", "data").distinct(), found.filter("not gone")
-            new = came.select("type", "data").distinct().join(now, ["type", "data"], "left_anti").join(gone, ["type", "data"], "left_anti")
-            lost = now.join(gone, ["type", "data"], "left_semi")
-            if not new.limit(1).count() and not lost.limit(1).count():
-                break
-            now = cut(now.join(gone, ["type", "data"], "left_anti").unionByName(new), "facts")
-        settled = found.filter("not gone").select("rule", "type", "data").join(now, ["type", "data"], "left_semi").select("rule", "type", "data")
-        origins = settled if origins is None else origins.unionByName(settled)
-    return now, (origins if origins is not None else now.select(F.lit("").alias("rule"), "type", "data").limit(0))

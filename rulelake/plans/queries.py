@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import annotations, callgraph, callsites, catalog, conditions, depgraph, hierarchy, layers, lookup, memory, prefix, rebase, reports, rules, sourcing, symbols, synthesis
 from ..operators import resolution as inference
-from ..runtime import cut
+from ..runtime import cut, ranks
 from ..sources.star import CTE, Star
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,17 +480,16 @@ def rule_query(s: Star) -> DataFrame:
 
 @query("WITH rich AS (SELECT DISTINCT c_custkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND o_totalprice > 300000), vip AS (SELECT DISTINCT id, n_regionkey AS region FROM rich JOIN customer ON id = c_custkey JOIN nation ON c_nationkey = n_nationkey) SELECT 'rich' AS type, id, NULL AS region FROM rich UNION ALL SELECT 'vip', id, region FROM vip UNION ALL SELECT 'plain', c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT id FROM rich)", cte=False)
 def rule_chain(s: Star) -> DataFrame:
-    """Rich customers, from them those of a region, and the rest, which a negation tells."""
-    base = rules.made(s.table("customer"), "customer", id="c_custkey", nation="c_nationkey", balance="c_acctbal").unionByName(rules.made(s.table("orders"), "order", id="o_custkey", price="o_totalprice")).unionByName(rules.made(s.table("nation"), "nation", nation="n_nationkey", region="n_regionkey"))
-    schemas = {"customer": "id long, nation int, balance double", "order": "id long, price double", "nation": "nation int, region int", "rich": "id long", "vip": "id long, region int", "plain": "id long"}
-    chain = [
-        rules.Rule("rich", ("customer", "order"), ("rich",), lambda of: rules.made(of("customer").filter("balance > 5000").drop("fact").join(of("order").filter("price > 300000").drop("fact"), "id"), "rich", id="id")),
-        rules.Rule("vip", ("rich", "customer", "nation"), ("vip",), lambda of: rules.made(of("rich").drop("fact").join(of("customer").drop("fact"), "id").join(of("nation").drop("fact"), "nation"), "vip", id="id", region="region")),
-        rules.Rule("plain", ("customer",), ("plain",), lambda of: rules.made(conditions.absent(of("customer").drop("fact"), of("rich").drop("fact"), ["id"]), "plain", id="id"), settled=("rich",)),
-    ]
-    facts, _ = rules.chain(chain, base, schemas)
+    """Rich customers, from them those of a region, and the rest, which a negation tells: facts of one rule feed the next."""
+    c = s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n_nationkey"), "c_acctbal")
+    dear = s.table("orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
+    rich = conditions.exists(c.filter("c_acctbal > 5000"), dear, ["id"]).select("id", "n_nationkey")
+    rich = rules.made(rich, "rich", id="id", n_nationkey="n_nationkey")
+    of = rules.typed(cut(rich, "rich"), None, {"rich": "id long, n_nationkey int"})("rich").select("id", "n_nationkey")
+    vip = rules.made(rules.bound(of, s.table("nation").select("n_nationkey", "n_regionkey"), n_nationkey="n_nationkey"), "vip", id="id", region="n_regionkey")
+    plain = rules.made(conditions.absent(c.select("id"), of.select("id"), ["id"]), "plain", id="id")
     f = F.from_json("data", "id long, region int")
-    return facts.filter("type in ('rich', 'vip', 'plain')").select("type", f["id"].alias("id"), f["region"].alias("region"))
+    return rich.unionByName(vip).unionByName(plain).select("type", f["id"].alias("id"), f["region"].alias("region"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", cte=False)
@@ -543,6 +542,22 @@ def related_refs(s: Star) -> DataFrame:
     return catalog.related(depgraph.dependencies(p, matches), "upstream", first or "").select("name", F.size("refs").cast("long").alias("n"))
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(n), n DESC, p_partkey) - 1 AS place FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS n FROM part)", cte=False)
+def nav_locale_order(s: Star) -> DataFrame:
+    """Names in the order of the root locale: by letters, then small ones first."""
+    n = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return ranks(s.table("part").select("p_partkey", n.alias("n")), [], [names.collated(F.col("n")), F.col("p_partkey")], "place").select("p_partkey", "place")
+
+
+@query("SELECT 'node/' || l_linestatus AS node, o_custkey AS fact_id, count(*) AS n, '{\"flag\":\"' || l_returnflag || '\",\"line\":' || l_linenumber || '}' AS bindings FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL", cte=False)
+def node_elements(s: Star) -> DataFrame:
+    """What nodes hold: line items by ship mode, their orders' customers as facts; equal bindings are written with keys in two orders."""
+    line, flag = F.col("l_linenumber").cast("string"), F.col("l_returnflag")
+    text = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit('{"line": '), line, F.lit(', "flag":"'), flag, F.lit('"}'))).otherwise(F.concat(F.lit('{"flag":"'), flag, F.lit('","line":'), line, F.lit("}")))
+    rows = s.table("lineitem").select(F.concat(F.lit("node/"), "l_linestatus").alias("node"), F.col("l_orderkey").alias("uid"), text.alias("bindings"))
+    return memory.node_elements(rows, s.table("orders").select(F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("fact_id")))
+
+
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN ':' || p_name WHEN 2 THEN '\"' || p_name || '\\\"\"' ELSE 'symbol[' || p_name || ']' END AS type_name FROM part", cte=False)
 def type_name(s: Star) -> DataFrame:
     k = F.col("p_size") % 4

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import annotations as A
 from ..operators import symbols
@@ -34,9 +35,11 @@ SCHEMAS = {
     "bindings": "ns string, symbol string, kind string, resolved string",
     "aliases": "ns string, alias string, target string",
     "mappings": "ns string, kind string, symbol string, target string",
+    "elements": "node string, uid long, bindings string",
+    "tokens": "node string, token long, pos int, uid long, bindings string",
     "var_defs": "ns string, pos int, name string, form string",
 }
-MEMORY = ("facts", "activations", "matches", "insertions")
+MEMORY = ("facts", "activations", "matches", "insertions", "elements", "tokens")
 LAYER = "id string, source string, notes string, `merge-props` map<string,string>, annotations map<string,map<string,string>>"
 
 
@@ -164,16 +167,32 @@ EXPORT_FACT = f"id long, type {REF}, ns string, data string, `is-root` boolean,
 EXPORTS = {"rules": EXPORT_PRODUCTION, "queries": EXPORT_PRODUCTION, "fact-types": EXPORT_TYPE, "session/facts": EXPORT_FACT}
 
 
-def read_export(spark: SparkSession, root: str, resource: str) -> DataFrame:
-    """All objects of a resource of an exported tree: a file of JSON each."""
-    return spark.read.schema(EXPORTS[resource]).json(f"{root}/{resource}/*.json", multiLine=True)
+def read_export(spark: SparkSession, root: str, resource: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """All objects of a resource of an exported tree, whether written by write_export or a file of JSON each (resource/ID.json)."""
+    kind = schema or EXPORTS[resource]
+    if exists(spark, f"{root}/resource={resource.replace('/', '%2F')}"):
+        rows = spark.read.schema("value string, resource string, id string").text(root).filter(F.col("resource") == resource)
+        return rows.select(F.from_json("value", kind).alias("v")).select("v.*")
+    return spark.read.schema(kind).json(f"{root}/{resource}/*.json", multiLine=True)
 
 
 def export_location(route: str, root: str) -> str:
-    """Where the export tree keeps the answer of a route: /v1/x is x.json."""
-    return f"{root.rstrip('/')}/{route.removeprefix('/v1/').strip('/')}.json"
-
-
-def write_export(rows: DataFrame, root: str, resource: str) -> None:
-    """A folder per object, named by its id, with its JSON as text."""
-    rows.select("id", F.to_json(F.struct(*[c for c in rows.columns])).alias("value")).write.mode("overwrite").partitionBy("id").text(f"{root}/{resource}")
+    """Where the export tree keeps the answers of a route: a folder for each resource, and in it one for each id."""
+    resource, _, ident = route.removeprefix("/v1/").strip("/").rpartition("/")
+    whole = lambda x: x.replace("/", "%2F")
+    if resource in ("", "session"):  # a list, or a summary
+        resource, ident = f"{resource}/{ident}".lstrip("/"), ""
+    return f"{root.rstrip('/')}/resource={whole(resource)}" + (f"/id={ident}" if ident else "")
+
+
+def write_export(answers: dict[str, DataFrame], root: str) -> None:
+    """One job: the rows of each resource as JSON texts in a folder by resource and id. Rows without an id are in one folder.
+
+    Each id's rows are written by one task; a resource is dealt over all."""
+    every = None
+    for resource, rows in answers.items():
+        ident = F.coalesce(F.col("id").cast("string"), F.lit("none")) if "id" in rows.columns else F.lit("all")
+        some = rows.select(F.lit(resource).alias("resource"), ident.alias("__id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))
+        every = some if every is None else every.unionByName(some)
+    if every is not None:
+        every.withColumnRenamed("__id", "id").repartition("resource", "id").write.mode("overwrite").partitionBy("resource", "id").text(root)

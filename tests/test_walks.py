@@ -1,4 +1,4 @@
-"""Walks over graphs, callsite resolution, and rules to a fixpoint."""
+"""Walks over graphs, and callsite resolution."""
 
 import json
 from collections import defaultdict
@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from rulelake.functions import forms
-from rulelake.operators import callgraph, graph, hierarchy, resolution, rules
+from rulelake.operators import callgraph, graph, hierarchy, resolution
 from rulelake.operators import annotations as A
 
 
@@ -134,22 +134,3 @@ def test_aliases(spark):
     assert (u["from"], u.from_var, u.to, u.name, u.row) == ("app", "r", "lib", "run", None)
     near = spark.createDataFrame([("lib/run", "lib/run"), ("lib/run", "lib/deep")], "inserter string, node string")
     assert {(r.rule, r.caller, r.type) for r in callgraph.alias_contexts(pairs, near).collect()} == {("app/r", "lib/run", ":fn"), ("app/r", "lib/deep", ":fn")}
-
-
-def test_rules_run_until_nothing_is_new(spark):
-    facts = spark.createDataFrame([("step", '{"i":0}'), ("seed", '{"i":1}')], rules.FACTS)
-    schemas = {"step": "i int", "seed": "i int", "done": "i int", "none": "i int", "any": "i int"}
-    up = spark.createDataFrame([("step", "any"), ("seed", "any")], "type string, ancestor string")
-    r = [
-        rules.Rule("next", ("step",), ("step",), lambda of: rules.made(of("step").filter("i < 3"), "step", i="i + 1")),
-        rules.Rule("done", ("any",), ("done",), lambda of: rules.made(of("any").filter("i = 3"), "done", i="i")),
-        rules.Rule("none", ("seed",), ("none",), lambda of: rules.made(of("seed").join(of("done").select("i"), "i", "left_anti"), "none", i="i"), settled=("done",)),
-        rules.Rule("start", (), ("seed",), lambda of: rules.made(rules.once(facts), "seed", i="cast(7 as int)")),
-        rules.Rule("forget", ("seed",), ("step",), lambda of: rules.made(of("seed").filter("i = 1"), "step", i="cast(0 as int)"), retracts=True),
-    ]
-    every, origins = rules.chain(r, facts, schemas, up)
-    got = sorted((x.type, json.loads(x.data)["i"]) for x in every.collect())
-    assert got == [("done", 3), ("none", 1), ("none", 7), ("seed", 1), ("seed", 7), ("step", 1), ("step", 2), ("step", 3)]
-    assert ("done", "done") in {(x.rule, x.type) for x in origins.collect()}
-    with pytest.raises(ValueError):
-        rules.strata([rules.Rule("odd", (), ("a",), lambda of: None, settled=("a",))])
