@@ -15,9 +15,9 @@ def grams(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute(texts, percent=85):
+def brute(texts, percent=85, n=4):
     """Component by id over all pairs; equal ids are one document."""
-    ids, sets, up = list(texts), {i: grams(t) for i, t in texts.items()}, {i: i for i in texts}
+    ids, sets, up = list(texts), {i: grams(t, n) for i, t in texts.items()}, {i: i for i in texts}
 
     def find(x):
         while up[x] != x:

@@ -45,7 +45,7 @@ def test_exact(spark, sf, documents, repeated):
 
 
 def test_near(spark, sf, documents):
-    want = {i for i, (_, c) in brute({r.doc_id: r.text for r in documents.collect()}).items() if i == c}
+    want = {i for i, (_, c) in brute({r.doc_id: r.text for r in documents.collect()}, 80, 5).items() if i == c}
     assert {r.doc_id for r in stage(2)(spark, documents, sf).collect()} == want
 
 
