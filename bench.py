@@ -18,6 +18,7 @@ def main() -> None:
     names = (
         "type_usage", "dep_edges", "edge_matches", "fact_type_usage", "source_rules", "node_reachability", "reachability", "shortest_call_paths", "fact_ids",
         "fact_used_by", "layer_union", "match_bindings", "callsite_ids", "callsite_merge", "span_containment", "stable_keys", "rule_not", "rule_accumulate",
+        "resolved_edges", "source_usages", "assembled_usages", "node_elements", "point_lookup",
     )
     found = {"flagship": core.flagship} | {k: core.queries()[k] for k in names}
     took = {}
