@@ -56,3 +56,15 @@ def test_type_usage_has_no_row_for_each_reader_of_each_type(spark):
             metrics.append(node.metrics().apply("numOutputRows").value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert metrics and max(metrics) < 10_000
+
+
+def test_edges_are_distinct_without_a_shuffle_of_pairs(rulebase, monkeypatch):
+    usage, _, reflexive, u, _, up = rulebase
+    monkeypatch.setattr(depgraph, "MEMBERS", 2)
+    expected = {(a, b) for a, b, _ in _matches(usage, reflexive)}
+    out = depgraph.edges(u, up)
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    near = {r.prod: (r.upstream, r.downstream) for r in depgraph.neighbours(u, up).collect()}
+    assert near == {p: (sorted(a for a, b in expected if b == p), sorted(b for a, b in expected if a == p)) for pair in expected for p in pair}
