@@ -68,3 +68,17 @@ def test_edges_are_distinct_without_a_shuffle_of_pairs(rulebase, monkeypatch):
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
     near = {r.prod: (r.upstream, r.downstream) for r in depgraph.neighbours(u, up).collect()}
     assert near == {p: (sorted(a for a, b in expected if b == p), sorted(b for a, b in expected if a == p)) for pair in expected for p in pair}
+
+
+def test_first_digits_are_those_of_the_whole_number(spark):
+    def whole(n: int) -> str:
+        out = ""
+        while n:
+            n, r = divmod(n, 36)
+            out = names.BASE36[r] + out
+        return out or "0"
+
+    n = [36**k * a + b for k in range(31) for a in (1, 7) for b in (-1, 0, 1)] + [0, 2**160 - 1] + [int(hashlib.sha1(str(i).encode()).hexdigest(), 16) for i in range(2000)]
+    rows = spark.createDataFrame([(f"{x:040x}",) for x in n if x >= 0], "h string")
+    for length in (5, 8, 12):
+        assert all(r.d == whole(int(r.h, 16))[:length] for r in rows.select("h", names.first_digits(F.col("h"), length).alias("d")).collect())
