@@ -82,3 +82,15 @@ def test_first_digits_are_those_of_the_whole_number(spark):
     rows = spark.createDataFrame([(f"{x:040x}",) for x in n if x >= 0], "h string")
     for length in (5, 8, 12):
         assert all(r.d == whole(int(r.h, 16))[:length] for r in rows.select("h", names.first_digits(F.col("h"), length).alias("d")).collect())
+
+
+@pytest.mark.parametrize("side", ["upstream", "downstream"])
+def test_productions_met_through_a_type_are_counted_without_pairs(rulebase, side):
+    usage, _, reflexive, u, _, up = rulebase
+    matches = {(a, b, t, v) for a, r, t in usage if r != "consume" for x, v in reflexive if x == t for b, s, w in usage if s == "consume" and w == v and a != b}
+    assert {r.type for r in depgraph.meeting_types(u, up).collect()} == {v for *_, v in matches}
+    for chosen in ("k1", "top", "t3", "t7"):
+        ident = u.select(names.route_id(F.lit(chosen)).alias("i")).first()["i"]
+        pairs = {(b, a) if side == "upstream" else (a, b) for a, b, t, v in matches if (v if side == "upstream" else t) == chosen}
+        found = {r.name: r.n for r in depgraph.met(u, up, side, ident).collect()}
+        assert found == {p: sum(1 for q, _ in pairs if q == p) for p, _ in pairs}
