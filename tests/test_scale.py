@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulelake.functions import names
-from rulelake.operators import depgraph
+from rulelake.operators import depgraph, graph
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +94,44 @@ def test_productions_met_through_a_type_are_counted_without_pairs(rulebase, side
         pairs = {(b, a) if side == "upstream" else (a, b) for a, b, t, v in matches if (v if side == "upstream" else t) == chosen}
         found = {r.name: r.n for r in depgraph.met(u, up, side, ident).collect()}
         assert found == {p: sum(1 for q, _ in pairs if q == p) for p, _ in pairs}
+
+
+@pytest.mark.parametrize("most", [0, 6, 1000])
+def test_walks_by_component_and_through_leaves(spark, most):
+    """Components below and above the bound, and leaves with one parent: the same as walking one by one."""
+    r = random.Random(3)
+    small = [(f"s{k}.{a}", f"s{k}.{b}") for k in range(12) for a, b in [(0, 1), (1, 2), (2, 0), (1, 3)][: 1 + k % 4]]
+    large = [(f"L{r.randrange(12)}", f"L{r.randrange(12)}") for _ in range(20)] + [("x", "x")]
+    tree = [("root", f"m{i}") for i in range(3)] + [(f"m{i % 3}", f"leaf{i}") for i in range(80)] + [("m0", "root")]
+    for pairs in (small + large, small + large + tree):
+        after = {}
+        for a, b in pairs:
+            after.setdefault(a, set()).add(b)
+        starts = sorted({a for a, _ in pairs}) + ["nowhere"]
+        expected = set()
+        for s in starts:
+            seen, todo = set(), list(after.get(s, ()))
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += after.get(x, ())
+            expected |= {(s, x) for x in seen}
+        e, st = spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame([(s,) for s in starts], "start string")
+        found = [tuple(r) for r in graph.reach(e, st, most).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+    paths = lambda m: {(r.start, r.node): tuple(r.path) for r in graph.shortest(e, st, m).collect()}
+    if most:
+        assert paths(most) == paths(10_000)
+
+
+def test_a_large_graph_does_not_come_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    e = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(9)], "a string, b string")
+
+    def refuse(self):
+        raise AssertionError("edges are collected")
+
+    monkeypatch.setattr(DataFrame, "collect", refuse)
+    assert graph._small(e, 8) is None
