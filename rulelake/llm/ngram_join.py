@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning, and its components.
 
-Word n-grams have one global order, by how many documents have them as far as a sketch of fixed size tells, which is cut into
-fragments. Two similar sets share grams among their
+Word n-grams have one global order, by how many documents have them as far as sketches tell, which is cut into
+fragments. One sketch has counters in proportion to the grams, which stay where they are added up: of each, two bits for how
+many it counts come back. Sums of its counters are the other one, of fixed size. Two similar sets share grams among their
 first ones (prefixes), the more the larger they are, so groups by prefix gram give candidates. What candidates can't have in
 common is bounded from below, by how many grams each has in each of 16 fragments, and then by a bitmap of parities. Candidates
 that pass form clusters. A cluster's grams meet in blocks: there, a pair's common grams are counted fragment by fragment, apart from each
@@ -32,8 +33,13 @@ from .components import components
 CUTS = (2**61, 9 * 2**60)
 #: Fragments whose sizes are compared first: the highest bits of a gram say which.
 BINS = 16
-#: Counters of the sketch, and those in a row of it; deviations above its mean that make a gram frequent.
-COUNTERS, ROW, DEVIATIONS = 1 << 19, 1 << 15, 5
+#: Counters of the small sketch; deviations above its mean that make a gram frequent.
+COUNTERS, DEVIATIONS = 1 << 19, 5
+#: Bytes of text per counter of the large sketch, its least counters, those that a task adds up at once, counters per level that comes
+#: back, and the most levels.
+PER, LEAST, SLICE, FOLD, LEVELS = 5, 1 << 20, 1 << 20, 4, 1 << 28
+#: Documents that a gram of each level but the last has at most.
+STEPS = (4, 16, 64)
 #: Members of a frequent gram beyond which no pair of its group is listed; pairs a member above which none is; leaders of a large cluster.
 LARGE, DENSE, LEADERS = 4096, 8, 4
 #: Members beyond which a group is treated as a frequent gram's, whatever the sketch has told of the gram.
@@ -81,16 +87,22 @@ _LOW = np.uint64((1 << 48) - 1)
 
 
 class Order:
-    """The global order of grams: those of which the sketch counts no more than most others by hash, then the frequent ones,
-    rarer first. The sketch never counts too few documents."""
+    """The global order of grams: by the large sketch's level and then by hash, and at the end those of which the small
+    one counts more than of most others, rarer first. The sketches never count too few documents.
 
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.hot = counts, HOT
+    Both have a row per slice, which a gram's lowest bits tell; levels are two bits each."""
+
+    def __init__(self, counts: np.ndarray, levels: np.ndarray):
+        self.counts, self.levels, self.hot = counts, levels, HOT
         self.mean = float(counts.mean())
         self.limit = self.mean + DEVIATIONS * max(1.0, float(np.sqrt(self.mean)))
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        return self.counts[(mix64(h & _LOW) % np.uint64(len(self.counts))).astype(np.int64)]
+        return self.counts[_place(h, *self.counts.shape)]
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        at, within = _place(h, len(self.levels), 4 * self.levels.shape[1])
+        return (self.levels[at, within >> 2] >> (2 * (within & 3)).astype(np.uint8)) & np.uint8(3)
 
     def frequent(self, h: np.ndarray) -> np.ndarray:
         return self.count(h) > self.limit
@@ -100,13 +112,22 @@ class Order:
         return np.maximum(1, np.ceil((self.count(h) - self.mean) / self.hot)).astype(np.uint64)
 
     def sort(self, h: np.ndarray) -> tuple[np.ndarray, int]:
-        """The grams in order, and how many of them aren't frequent."""
-        c = self.count(h)
-        often = c > self.limit
-        if not often.any():
+        """The grams in order, and how many of them are of the lowest level."""
+        level = self.level(h)
+        common = np.flatnonzero(level)
+        if not len(common):
             return h, len(h)
-        some = h[often]
-        return np.concatenate([h[~often], some[np.argsort(c[often], kind="stable")]]), int((~often).sum())
+        some, key = h[common], level[common].astype(np.int64)
+        top = key == len(STEPS)
+        c = self.count(some[top])
+        key[top] += np.where(c > self.limit, c, 0)
+        return np.concatenate([h[level == 0], some[np.argsort(key, kind="stable")]]), len(h) - len(common)
+
+
+def _place(h: np.ndarray, slices: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slice of each gram, and its place among `size` counters there; both are powers of 2."""
+    m = mix64(h & _LOW)
+    return (m & np.uint64(slices - 1)).astype(np.int64), ((m >> np.uint64(slices.bit_length() - 1)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -117,42 +138,63 @@ def _texts(b: pa.RecordBatch, k: int) -> Iterator[bytes | None]:
     return (x.as_py() for x in b.column(k).cast(pa.large_binary()))
 
 
+def _gaps(at: np.ndarray) -> bytes:
+    """Sorted numbers as their differences: how many bytes of each, then all lowest bytes, all next ones and so on."""
+    gaps = np.diff(at, prepend=at.dtype.type(0)).astype("<u4")
+    k = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([k]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4)[:, :k].T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    """What _gaps was given."""
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    return np.cumsum(sum(x.astype(np.int64) << (8 * i) for i, x in enumerate(planes)))
+
+
 def _order(docs: DataFrame, n: int) -> Order:
-    """The order that a sketch of all documents gives: each gram of a document adds one to one of COUNTERS counters."""
+    """The order that sketches of all documents give: each gram of a document adds one to one of the counters, of which a task
+    adds up a slice. What comes back has a fixed bound: COUNTERS sums and at most LEVELS levels."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = 1 << max(LEAST.bit_length(), (size // PER).bit_length()) - 1
+    slices = min(max(16, counters // SLICE), COUNTERS)
+    kind = np.uint32 if counters <= 1 << 32 else np.uint64
+    own, levels = counters // slices, min(counters // FOLD, LEVELS) // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(COUNTERS, dtype=np.int64), [], 0
+        waiting, held = [], 0
 
-        def add() -> None:
-            if waiting:
-                total[:] += np.bincount((mix64(np.concatenate(waiting) & _LOW) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-                waiting.clear()
+        def rows() -> pa.RecordBatch:
+            at, within = _place(np.concatenate([np.zeros(0, np.uint64), *waiting]), slices, own)
+            key = np.sort((at * own + within).astype(kind))
+            ends = [*np.searchsorted(key, (np.arange(slices) * own).astype(kind)), len(key)]
+            some = [k for k in range(slices) if ends[k] < ends[k + 1]]
+            parts = [_gaps(key[ends[k] : ends[k + 1]] - kind(k * own)) for k in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counted"])
 
         for b in batches:
             for t in _texts(b, 0):
                 h = gram_hashes(t, n)
                 waiting.append(h)
-                size += len(h)
-                if size > 2 * COUNTERS:
-                    add()
-                    size = 0
-        add()
-        rows = [x.astype("<u4").tobytes() for x in total.reshape(-1, ROW)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["row", "counts"])
+                held += len(h)
+                if held > SLICE:
+                    yield rows()
+                    waiting, held = [], 0
+        yield rows()
 
     def add_up(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.zeros(ROW, dtype=np.int64)
-        for x in t.column("counts").to_pylist():
-            total += np.frombuffer(x, "<u4")
-        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    # a task sends all counters: as few tasks as have work enough
-    few = docs.select("text").coalesce(max(6, docs.count() // 20_000))
-    found = few.mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(add_up, "row int, counts binary").collect()  # COUNTERS numbers
-    counts = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(own, dtype=np.int64)
+        for x in t.column("counted"):
+            total += np.bincount(_numbers(x.as_py()), minlength=own)
+        level = np.searchsorted(np.array(STEPS), total).astype(np.uint8).reshape(-1, levels).max(0)  # counters that share a place give it the highest
+        packed = (level.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
+        sums = total.reshape(-1, COUNTERS // slices).sum(0)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary()), "levels": pa.array([packed.tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(count, "slice int, counted binary").groupBy("slice").applyInArrow(add_up, "slice int, sums binary, levels binary").collect()
+    sums, packed = np.zeros((slices, COUNTERS // slices), dtype=np.int64), np.zeros((slices, levels // 4), dtype=np.uint8)
     for r in found:
-        counts[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
-    return Order(counts)
+        sums[r["slice"]], packed[r["slice"]] = np.frombuffer(r["sums"], np.int64), np.frombuffer(r["levels"], np.uint8)
+    return Order(sums, packed)
 
 
 def _sketch(h: np.ndarray, fine: int = 2) -> bytes:
@@ -577,7 +619,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     """
     spark = docs.sparkSession
     docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(_order(docs, n))  # COUNTERS numbers
+    order = spark.sparkContext.broadcast(_order(docs, n))  # COUNTERS sums and LEVELS levels at most
     table = cut(_prefixes(docs, order, n, percent), "prefixes")
     firsts = cut(table.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = firsts.groupBy("rep").agg(F.min("digest").alias("digest")).withColumnRenamed("rep", "doc_id")

@@ -89,6 +89,20 @@ def test_grams_that_the_sketch_takes_for_rare(spark, edits, monkeypatch):
     test_large_groups_of_near_copies(spark, edits)
 
 
+def test_a_full_sketch_does_not_hide_which_grams_are_common(spark, monkeypatch):
+    """Grams of a tenth of the documents come after those of one, though the small sketch can't tell them apart."""
+    for name in ("COUNTERS", "ROW"):
+        monkeypatch.setattr(ngram_join, name, 64, raising=False)
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [" ".join([*(f"d{i}w{k}" for k in range(60)), passage if i < 30 else ""]) for i in range(300)]
+    order = ngram_join._order(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4)
+    common = set(ngram_join.gram_hashes(passage.encode()).tolist())
+    for t in texts[:30]:
+        h = ngram_join.gram_hashes(t.encode())
+        ordered, rare = order.sort(h)
+        assert sorted(ordered.tolist()) == h.tolist() and not common & set(ordered[: len(h) // 2].tolist()) and rare >= len(h) // 2
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 700):
