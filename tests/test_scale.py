@@ -70,6 +70,17 @@ def test_edges_are_distinct_without_a_shuffle_of_pairs(rulebase, monkeypatch):
     assert near == {p: (sorted(a for a, b in expected if b == p), sorted(b for a, b in expected if a == p)) for pair in expected for p in pair}
 
 
+def test_lists_of_types_are_not_shuffled_for_each_type(rulebase, monkeypatch):
+    """What is read goes to where classes are, in several parts as well, and each pair comes once."""
+    usage, _, reflexive, u, _, up = rulebase
+    monkeypatch.setattr(depgraph, "MEETING", 5, raising=False)
+    out = depgraph.edges(u, up)
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b, _ in _matches(usage, reflexive)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(t" not in plan
+
+
 def test_first_digits_are_those_of_the_whole_number(spark):
     def whole(n: int) -> str:
         out = ""
