@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, shared_dir, sized
 
-__all__ = ["SPACE", "SPACE_CHARS", "WORD", "col", "cut", "fold", "free", "mix64", "n_words", "partitions", "powers", "ranked", "shared_dir", "sized", "words"]
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "col", "cut", "fold", "free", "freeing", "mix64", "n_words", "partitions", "powers", "ranked", "shared_dir", "sized", "words"]
 
 #: ASCII white space; everything else belongs to words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -48,6 +54,33 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the system. The C library keeps up to 64 MB of it, and Python workers live on through later stages."""
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(f: Callable) -> Callable:
+    """f, a generator over a task's batches or a function of a group's key and table, that gives freed memory back at its end."""
+    if inspect.isgeneratorfunction(f):
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from f(batches)
+            finally:
+                give_back()
+
+        return rows
+
+    def group(key: tuple, t: pa.Table) -> pa.Table:
+        try:
+            return f(key, t)
+        finally:
+            give_back()
+
+    return group
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A mixing of 64-bit numbers that loses nothing."""
     for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):

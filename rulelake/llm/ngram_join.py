@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, col, cut, mix64, powers, sized
+from .common import SPACE_CHARS, col, cut, freeing, mix64, powers, sized
 from .components import components
 
 #: Where the order of the grams that aren't frequent is cut for counting; those are the last fragment.
@@ -190,7 +190,7 @@ def _order(docs: DataFrame, n: int) -> Order:
         sums = total.reshape(-1, COUNTERS // slices).sum(0)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary()), "levels": pa.array([packed.tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(count, "slice int, counted binary").groupBy("slice").applyInArrow(add_up, "slice int, sums binary, levels binary").collect()
+    found = docs.select("text").mapInArrow(freeing(count), "slice int, counted binary").groupBy("slice").applyInArrow(freeing(add_up), "slice int, sums binary, levels binary").collect()
     sums, packed = np.zeros((slices, COUNTERS // slices), dtype=np.int64), np.zeros((slices, levels // 4), dtype=np.uint8)
     for r in found:
         sums[r["slice"]], packed[r["slice"]] = np.frombuffer(r["sums"], np.int64), np.frombuffer(r["levels"], np.uint8)
@@ -229,7 +229,7 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                         o.append(v)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), *[pa.array(o, pa.binary()) for o in out[1:]]], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return docs.mapInArrow(rows, SETS)
+    return docs.mapInArrow(freeing(rows), SETS)
 
 
 _MEMBER = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("at", "<u4"), ("sizes", "u1", BINS)])
@@ -263,7 +263,7 @@ def _deal(reps: DataFrame, order, buckets: int) -> DataFrame:
                 groups = np.split(by, cuts) if len(by) else []
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[g[0]]) for g in groups], pa.int64()), pa.array([every[g].tobytes() for g in groups], pa.binary())], names=["bucket", "members"])
 
-    return reps.select("doc_id", "n_grams", "prefix", "sizes").mapInArrow(deal, "bucket long, members binary")
+    return reps.select("doc_id", "n_grams", "prefix", "sizes").mapInArrow(freeing(deal), "bucket long, members binary")
 
 
 def _candidates(percent: int, order):
@@ -541,7 +541,7 @@ def _wanted(docs: DataFrame, wanted: DataFrame, order, n: int, f, schema: str) -
                 cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds, strict=True)], names=[k.name for k in kinds])
 
-    return docs.join(sized(cut(wanted, "wanted")), "doc_id").select("doc_id", "text", "digest", "blocks").mapInArrow(make, schema)
+    return docs.join(sized(cut(wanted, "wanted")), "doc_id").select("doc_id", "text", "digest", "blocks").mapInArrow(freeing(make), schema)
 
 
 def _segments(doc: int, h: np.ndarray, blocks: list[str], order: Order) -> list[tuple]:
@@ -566,7 +566,7 @@ def _counted(docs: DataFrame, wanted: DataFrame, order, n: int, percent: int) ->
     named = wanted.join(sizes.withColumn("own", F.concat_ws("|", own, "block")), "block")
     blocks = named.groupBy("doc_id", "digest").agg(F.collect_set("own").alias("blocks"))
     parts = _wanted(docs, blocks, order, n, _segments, "block string, doc long, n long, fragment int, grams binary")
-    return parts.withColumn("bucket", F.substring_index("block", "|", 1)).groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
+    return parts.withColumn("bucket", F.substring_index("block", "|", 1)).groupBy("bucket").applyInArrow(freeing(_forest(percent)), "a long, b long")
 
 
 def _by_leader(pairs: DataFrame) -> DataFrame:
@@ -626,12 +626,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     reps = table.join(chosen.hint("merge"), ["doc_id", "digest"], "left_semi")
     total = table.agg(F.sum(F.length("prefix") / 6)).first()[0] or 0
     buckets = max(1, int(-(-total // members_per_bucket))) * 3
-    found = cut(_deal(reps, order, buckets).groupBy("bucket").applyInArrow(_candidates(percent, order), "kind int, a long, docs array<long>, times array<long>, early array<long>, need array<long>"), "candidates")
+    found = cut(_deal(reps, order, buckets).groupBy("bucket").applyInArrow(freeing(_candidates(percent, order)), "kind int, a long, docs array<long>, times array<long>, early array<long>, need array<long>"), "candidates")
     listed = found.filter("kind = 0").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    pairs = cut(listed.groupBy("bucket").applyInArrow(_paired, "a long, b long"), "pairs")
+    pairs = cut(listed.groupBy("bucket").applyInArrow(freeing(_paired), "a long, b long"), "pairs")
     sets = table.filter("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), "digest", F.col("n_grams").alias("n"), "sketch").join(chosen.withColumnRenamed("doc_id", "doc").hint("merge"), ["doc", "digest"], "left_semi").dropDuplicates(["doc"])
     sets = cut(sets, "sets")
-    likely = cut(_dealt(_by_leader(pairs), sets, 5000).groupBy("bucket").applyInArrow(_likely(percent), "a long, b long").filter("a <> b").distinct(), "likely")
+    likely = cut(_dealt(_by_leader(pairs), sets, 5000).groupBy("bucket").applyInArrow(freeing(_likely(percent)), "a long, b long").filter("a <> b").distinct(), "likely")
 
     # a large group's gram stands for a node of its own: if it is some document's id, two clusters become one
     grouped = found.filter("kind = 1").select((-F.col("a") - 1).alias("a"), F.explode("docs").alias("b"))
@@ -651,10 +651,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
             return _dealt(_open_blocks(placed), fine, 2 * SCREENED)
 
         if clusters.groupBy("cluster").count().filter(F.col("count") > SCREENED).limit(1).count():  # several blocks of bitmaps: their nearest first
-            near = cut(open_blocks(links).groupBy("bucket").applyInArrow(_nearest(percent), "a long, b long").filter("a <> b").distinct(), "nearest")
+            near = cut(open_blocks(links).groupBy("bucket").applyInArrow(freeing(_nearest(percent)), "a long, b long").filter("a <> b").distinct(), "nearest")
             asked = _by_leader(near).select(F.col("doc").alias("doc_id"), "block").join(members, "doc_id")
             links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
-        asked = cut(open_blocks(links).groupBy("bucket").applyInArrow(_requests(percent), "block string, doc_id long"), "asked").join(members, "doc_id")
+        asked = cut(open_blocks(links).groupBy("bucket").applyInArrow(freeing(_requests(percent)), "block string, doc_id long"), "asked").join(members, "doc_id")
         links = cut(links.unionByName(_counted(docs, asked, order, n, percent)), "links")
 
     labels = components(links).select(F.col("node").alias("rep"), "label")

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, ranked
+from .common import col, cut, freeing, ranked
 
 ROOM = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoder: dict[str, tuple] = {}
-#: Parts remembered per worker, and the longest of them in bytes.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Parts remembered per worker (about 230 bytes each), and the longest of them in bytes.
+REMEMBERED, LONGEST = 200_000, 64
 #: A-Z in lower case, as the tokenizer has them, and a blank for a line end.
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: What may follow a letter at a part's end, as a token of its own, and the letters before it.
@@ -74,6 +74,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     The default tokenizer drops white space and never joins what it separates, so that a text's ids are those of its parts
     between blanks, one after the other; the ids of short parts are remembered, without the full stop or comma after them.
+    When REMEMBERED parts are reached, those that these texts have as well stay, as frequent ones do.
     Texts that hold an added token, in any case, and all texts of a tokenizer that says otherwise are encoded whole."""
     t, known, added, by_parts = _tokenizer(path)
     plain = lambda x: x.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
@@ -91,19 +92,19 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     once: dict[bytes, bytes] = {}
     if new:
         if len(known) + len(new) > REMEMBERED:
+            frequent = {w: known[w] for w in every.intersection(known)}
             known.clear()
-            new = every
-        known[b""] = b""
+            known.update(frequent)
         ends = {w for w in new if w[-1:] in _STOPS and len(w) > 1 and w[-2] in _LETTERS}
         bases = (new - ends) | {w[:-1] for w in ends} | set(_STOPS)
         bases = list(bases.difference(known))
         for i in range(0, len(bases), 20_000):
             some = bases[i : i + 20_000]
             for w, v in zip(some, _ids(t, [w.decode("utf-8", "replace") for w in some]), strict=True):
-                (known if len(w) <= LONGEST else once)[w] = v
+                (known if len(w) <= LONGEST and len(known) < REMEMBERED else once)[w] = v
         for w in ends:
-            base = w[:-1]
-            (known if len(w) <= LONGEST else once)[w] = (known[base] if base in known else once[base]) + known[w[-1:]]
+            base, stop = ((known[x] if x in known else once[x]) for x in (w[:-1], w[-1:]))
+            (known if len(w) <= LONGEST and len(known) < REMEMBERED else once)[w] = base + stop
     known[b""] = b""
     if once:
         return [b"".join([known[w] if w in known else once[w] for w in p]) for p in parts]
@@ -127,7 +128,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM, e
                             o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(pieces, PIECE)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(freeing(pieces), PIECE)
 
 
 def best_two_fit(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fold
+from .common import col, fold, freeing
 
 FEATURES = ("log_words", "word_length", "symbols", "exclamations", "upper", "digits", "commas", "distinct", "top_word", "repeats_next", "repeated_lines", "line_words", "non_ascii", "longest_word")
 _SYMBOLS = {c: None for c in map(ord, "#*$%&|<>{}[]\\^~=+@_`")}
@@ -157,7 +157,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [features(x.as_py()) for x in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(compute, "doc_id long, x array<double>")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(freeing(compute), "doc_id long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -188,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
                 s = model.score(np.array([features(t.as_py()) for t in b.column(1)], dtype=float).reshape(-1, len(FEATURES)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double, predicted int")
+    out = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(freeing(score), "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -208,4 +208,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
                 x = np.array([features(t.as_py()) for t in b.column(at)], dtype=float).reshape(-1, len(FEATURES))
                 yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(freeing(keep), docs.schema)

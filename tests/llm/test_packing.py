@@ -75,3 +75,43 @@ def test_added_tokens_are_those_of_the_file(text):
     t = Tokenizer.from_file(packing.default_tokenizer())
     got = packing.encode(["one two", text, "three."], packing.default_tokenizer())
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in ("one two", text, "three.")]
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t, known, *_ = packing._tokenizer(path)
+    known.clear()
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    for k in range(5):  # more parts in all, and in the last texts alone, than are remembered
+        texts = ["often. " + " ".join(f"w{i}x{k}" + ".,a"[i % 3] for i in range(1000 if k == 4 else 120)), "often, seen"]
+        got = packing.encode(texts, path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(known) <= 300 + 1 and b"often." in known
+
+
+def test_memory_is_given_back():
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    # a worker's memory after a task that needs much: of a new process, as others have freed memory of their own
+    code = """if True:
+        import re
+        from pathlib import Path
+        import numpy as np
+        from rulelake.llm.common import freeing
+        used = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+        def task(batches):
+            for b in batches:
+                kept = [np.ones(4000) for _ in range(4000)]
+                pins.append(np.ones(4000))  # above what is freed
+                yield b
+        pins, at = [], used()
+        assert list(freeing(task)(iter([1]))) == [1]
+        print(used() - at)
+    """
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": str(Path(packing.__file__).parents[2])}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 30
