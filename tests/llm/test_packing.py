@@ -91,6 +91,35 @@ def test_what_a_worker_remembers_is_bounded(monkeypatch):
         assert len(known) <= 300 + 1 and b"often." in known
 
 
+@pytest.mark.parametrize("text", ["J\u030c", "a T\u0308\u0301, H\u0331.", "T\u0344", "W\u030a Y\u030a"])
+def test_case_and_normal_form_in_the_tokenizer_order(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    for texts in ([text], ["one", text, "two."]):  # alone, no text is left for the parts
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, packing.default_tokenizer())] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.text(st.sampled_from("aAbZ\u00e9\u00c9\u00df\u00ff\u0178\u00d7\u00f7\u00aa'sSt.,-&([ 0\u00b2\n\u00a0\u0130\u03a3\u01c5\u0300\u65e5"), max_size=30), max_size=4))
+def test_letters_and_signs_are_encoded_like_the_whole(texts):
+    t = packing._tokenizer(packing.default_tokenizer())[0]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, packing.default_tokenizer())] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_new_words_skip_the_splitter(monkeypatch):
+    """Most words are new to a worker in a large corpus. Plain ones go to the model at once, which takes a third of the time."""
+    path = packing.default_tokenizer()
+    t, known, *_ = packing._tokenizer(path)
+    known.clear()
+    slow, ids = [], packing._ids
+    monkeypatch.setattr(packing, "_ids", lambda t, texts: slow.extend(texts) or ids(t, texts))
+    words = [f"{a}{b}e{c}" for a in "rstÉ" for b in ("", "la", "ü") for c in ("nt", "ß.", "r,", "n&&&", "s")]
+    got = packing.encode([" ".join(words), "x²y"], path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in (" ".join(words), "x²y")]
+    assert sorted(slow) == ["&&&", ",", ".", "x²y"]
+
+
 def test_memory_is_given_back():
     import os
     import subprocess
