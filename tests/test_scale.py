@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rulelake import runtime
 from rulelake.functions import names
-from rulelake.operators import depgraph, graph
+from rulelake.operators import annotations, depgraph, graph
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +147,52 @@ def test_a_large_graph_does_not_come_to_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "collect", refuse)
     assert graph._small(e, 8) is None
+
+
+@pytest.fixture
+def merging(spark):
+    """Joins are broadcast only where the code says so."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_layers_without_resets_shuffle_no_value_and_write_types_once(spark, merging, monkeypatch):
+    written = {}
+
+    def cut(df, name="cut", own=annotations.cut):
+        written[name] = own(df, name)
+        return written[name]
+
+    monkeypatch.setattr(annotations, "cut", cut)
+    rows = [(1, "low", "a/r", "insert-types", '["X", "Y"]', {}), (2, "high", "a/r", "insert-types", '["Z", "x", "X"]', {}), (2, "high", "b/r", "retract-types", '["X"]', {})]
+    entries = spark.createDataFrame(rows, annotations.ENTRIES)
+    names = spark.createDataFrame([("a", "x", "Y"), ("a", "Z", None)], "ns string, symbol string, resolved string")
+    m = annotations.merge(entries, bindings=names)
+    assert [tuple(r) for r in m.types.orderBy("rule", "pos").collect()] == [("a/r", "insert", 0, "X"), ("a/r", "insert", 1, "Y"), ("b/r", "retract", 0, "X")]
+    assert [r.type for r in m.listed.filter("rule = 'a/r'").orderBy("pos").collect()] == ["X", "Y", "Z"]
+    assert "types" in written and "derived" not in written
+    stored = {(r.rule, r.canon): r.type for r in written["types"].collect()}
+    assert set(stored.values()) == {None}  # names equal to their canonical ones aren't written again
+    plan = annotations.fold_types(annotations.normalised(entries).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_an_aggregate_is_not_made_to_be_counted(spark):
+    never = spark.range(3).select(F.raise_error(F.lit("made")).alias("x"), "id").groupBy("id").agg(F.max("x").alias("x"))
+    of = lambda most: runtime.sized(never, most, spark.range(3))._jdf.queryExecution().logical().toString()
+    assert "Hint broadcast" in of(3) and "Hint merge" in of(2)
+
+
+def test_types_are_lifted_without_being_made_distinct_first(rulebase, merging, monkeypatch):
+    """Of what is made and read, only (production, type) by type and sets by production are shuffled."""
+    plans, (_, _, _, u, _, up) = {}, rulebase
+
+    def cut(df, name="cut", own=depgraph.cut):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, name)
+
+    monkeypatch.setattr(depgraph, "cut", cut)
+    depgraph._classes(u, up)
+    assert "hashpartitioning(prod" in plans["sets"] and ", type" not in "".join(x.split(")")[0] for x in plans["sets"].split("hashpartitioning(")[1:])
