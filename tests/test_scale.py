@@ -196,3 +196,24 @@ def test_types_are_lifted_without_being_made_distinct_first(rulebase, merging, m
     monkeypatch.setattr(depgraph, "cut", cut)
     depgraph._classes(u, up)
     assert "hashpartitioning(prod" in plans["sets"] and ", type" not in "".join(x.split(")")[0] for x in plans["sets"].split("hashpartitioning(")[1:])
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_neighbours_neither_write_nor_shuffle_pairs(rulebase, spark, monkeypatch, held):
+    """Lists come to where classes are, in several batches as well; by joins only beyond the bound. Names that tie in other orders,
+    a production that meets only itself, and no production at all."""
+    usage, _, reflexive, _, _, up = rulebase
+    usage = usage | {("alone", "insert", "own"), ("alone", "consume", "own"), ("zé", "insert", "pair"), ("Z", "consume", "pair"), ("z", "consume", "pair"), ("\U0001f600", "consume", "pair"), ("￮", "consume", "pair")}
+    reflexive = reflexive | {("own", "own"), ("pair", "pair")}
+    up = up.unionByName(spark.createDataFrame([("own", "own"), ("pair", "pair")], "type string, up string"))
+    monkeypatch.setattr(depgraph, "HELD", held)
+    monkeypatch.setattr(depgraph, "NAMES", 3)
+    written = []
+    monkeypatch.setattr(depgraph, "cut", lambda df, name="cut", own=depgraph.cut: (written.append(name), own(df, name))[1])
+    found = depgraph.neighbours(spark.createDataFrame(sorted(usage), "prod string, role string, type string"), up)
+    expected = {(a, b) for a, b, _ in _matches(usage, reflexive)}
+    bytewise = lambda names: sorted(names, key=str.encode)
+    rows = {r.prod: (r.upstream, r.downstream) for r in found.collect()}
+    assert rows == {p: (bytewise(a for a, b in expected if b == p), bytewise(b for a, b in expected if a == p)) for pair in expected for p in pair}
+    assert ("pairs" in written) == (not held)
+    assert depgraph.neighbours(spark.createDataFrame([], "prod string, role string, type string"), up).count() == 0
